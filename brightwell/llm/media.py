@@ -380,7 +380,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
             for a, z in _batches([p for _, p in made]):
                 yield pd.DataFrame({"doc_id": b.doc_id.iloc[a:z].astype("Int64").to_numpy(), "n_bytes": [n for n, _ in made[a:z]], "media": encode([p for _, p in made[a:z]])})
 
-    return docs.mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return id_and_text(docs).mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
 def read_stored(stored: DataFrame) -> DataFrame:
@@ -416,4 +416,4 @@ def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_stored(stored_texts(id_and_text(read(spark, sf_dir, "documents"))))
+    return read_stored(stored_texts(read(spark, sf_dir, "documents")))

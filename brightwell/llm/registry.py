@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightwell.llm import chat, decontaminate, line_dedup, media, mixing, near_dup, toxicity
+from brightwell.llm import chat, decontaminate, line_dedup, media, mixing, near_dup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_chat_format": chat.op4_chat_format,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_media": media.op9_media,
     "op10_toxicity": toxicity.op10_toxicity,
 }
