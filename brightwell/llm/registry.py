@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightwell.llm import chat, decontaminate, line_dedup, media, mixing, near_dup, secrets, suffix_dedup, toxicity
+from brightwell.llm import chat, decontaminate, licenses, line_dedup, media, mixing, near_dup, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_chat_format": chat.op4_chat_format,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_media": media.op9_media,
