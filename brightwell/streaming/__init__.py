@@ -1,0 +1,55 @@
+"""Streams of metrics and of scores: windowed rollups, latest windows, alarm runs."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+RUN = "resource_id string, run_start timestamp, length long, seen timestamp, alarming boolean"
+LATEST = "resource_id string, end_time timestamp, x array<double>"
+
+
+def rollup(metrics: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Tumbling windows by metric: max, sum, mean. Rows later than `late` are dropped by the watermark."""
+    per = metrics.withWatermark("timestamp", late).groupBy(F.window("timestamp", width).alias("w"), "metric_name")
+    return per.agg(F.max("value").alias("max_value"), F.sum("value").alias("sum_value"), F.avg("value").alias("avg_value")).select(F.col("w.start").alias("start"), "metric_name", "max_value", "sum_value", "avg_value")
+
+
+def alarm_runs(scores: DataFrame, sustain: int = 3, idle: str | None = None) -> DataFrame:
+    """The run state of each resource after every batch: scores are resource_id, end_time, flag.
+
+    State is the start and length of the current run and the last time seen; windows that come before that time are late and ignored."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, length, seen = state.get if state.exists else (None, 0, None)
+        for b in batches:
+            for r in b.sort_values("end_time", kind="stable").itertuples():
+                at = r.end_time.value
+                if seen is not None and at <= seen:
+                    continue
+                seen = at
+                start, length = (at if length == 0 else start, length + 1) if r.flag else (None, 0)
+        state.update((start, length, seen))
+        yield pd.DataFrame({"resource_id": [key[0]], "run_start": [pd.Timestamp(start) if start is not None else pd.NaT], "length": [length], "seen": [pd.Timestamp(seen) if seen is not None else pd.NaT], "alarming": [length >= sustain]})
+
+    return scores.groupBy("resource_id").applyInPandasWithState(step, RUN, "start long, length long, seen long", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_windows(wide: DataFrame, names: list[str], size: int) -> DataFrame:
+    """The last `size` distinct times of each resource after every batch, flattened by time; only resources that have as many. State is bounded by size."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        have = {t: v for t, v in zip(*state.get, strict=True)} if state.exists else {}
+        for b in batches:
+            for r in b.itertuples():
+                have[r.timestamp.value] = [float("nan") if pd.isna(v) else float(v) for v in (getattr(r, n) for n in names)]
+        kept = sorted(have)[-size:]
+        state.update((kept, [have[t] for t in kept]))
+        if len(kept) == size:
+            yield pd.DataFrame({"resource_id": [key[0]], "end_time": [pd.Timestamp(kept[-1])], "x": [[v for t in kept for v in have[t]]]})
+
+    return wide.select("resource_id", "timestamp", *names).groupBy("resource_id").applyInPandasWithState(step, LATEST, "times array<long>, rows array<array<double>>", "update", GroupStateTimeout.NoTimeout)
