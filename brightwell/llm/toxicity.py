@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import fresh, read
+from brightwell.llm.common import fresh, materialize, read
 
 PREFIX = 4
 DISCOUNT = 1.5  # what one text alone says of a class does not count
@@ -71,27 +71,24 @@ def scores(model: dict, texts: list[str]) -> np.ndarray:
 class Model:
     """Differences of log-likelihoods by word and by beginning."""
 
-    def __init__(self, counts: pd.DataFrame, shared: pd.Series) -> None:
-        """counts: kind (w or p), key, toxic, n of the sample; shared: n over all texts, by kind and key."""
-        keys = {k: counts[counts.kind == k].pivot_table(index="key", columns="toxic", values="n", aggfunc="sum", fill_value=0).reindex(columns=[0, 1], fill_value=0) for k in "pw"}
-        begin, word = keys["p"], keys["w"]
+    def __init__(self, counts: pd.DataFrame, totals: dict[tuple[str, int], tuple[float, float]], shared: pd.Series) -> None:
+        """counts: kind (w or p), key, n0, n1 of the sample; totals: by kind and class, the sum of n and of what the discount leaves; shared: n over all texts, by kind and key."""
         self.begin, self.word, self.unseen = {}, {}, 0.0
         self.coefficients = np.zeros(3)
+        begin, word = (counts[counts.kind == k].set_index("key") for k in "pw")
         if begin.empty:
             return
-        of_all = {k: np.maximum(shared.reindex(pd.MultiIndex.from_product([[k], keys[k].index])).fillna(0).to_numpy(float), 0.5) for k in "pw"}
+        of_all = {k: np.maximum(shared.reindex(pd.MultiIndex.from_product([[k], df.index])).fillna(0).to_numpy(float), 0.5) for k, df in (("p", begin), ("w", word))}
         log_begin, log_word, log_left = [], [], []
-        head = word.index.str[:PREFIX]
-        at = begin.index.get_indexer(head)
-        within = of_all["w"] / np.bincount(at, of_all["w"], len(begin))[at]
+        at = begin.index.get_indexer(word.index.str[:PREFIX])
+        within = of_all["w"] / of_all["p"][at]
         for toxic in (0, 1):
-            b, w = begin[toxic].to_numpy(float), word[toxic].to_numpy(float)
-            total_b, total_w = max(b.sum(), 1.0), max(w.sum(), 1.0)
-            kept_b, kept_w = np.maximum(b - DISCOUNT, 0), np.maximum(w - DISCOUNT, 0)
-            left_b, left_w = 1 - kept_b.sum() / total_b, 1 - kept_w.sum() / total_w
-            p = kept_b / total_b + left_b * of_all["p"] / of_all["p"].sum()
+            (total_b, kept_b), (total_w, kept_w) = (totals.get((k, toxic), (1.0, 0.0)) for k in "pw")
+            left_b, left_w = 1 - kept_b / total_b, 1 - kept_w / total_w
+            b, w = (np.maximum(df[f"n{toxic}"].to_numpy(float) - DISCOUNT, 0) for df in (begin, word))
+            p = b / total_b + left_b * of_all["p"] / of_all["p"].sum()
             log_begin.append(np.log(p))
-            log_word.append(np.log(kept_w / total_w + left_w * p[at] * within))
+            log_word.append(np.log(w / total_w + left_w * p[at] * np.minimum(within, 1)))
             log_left.append(np.log(left_w))
         unseen = log_left[1] - log_left[0]
         telling = lambda d: np.where(np.abs(d) < EVIDENCE, 0.0, d)
@@ -117,7 +114,7 @@ class Model:
         self.coefficients = w / scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
     """Learn from at most per_class labelled rows of each class that are not held out."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -142,7 +139,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
                 tally.update((toxic, "p", w) for w in {w[:PREFIX] for w in ws})
         yield pd.DataFrame([(int(t), k, w, v) for (t, k, w), v in tally.items()], columns=["toxic", "kind", "key", "n"])
 
-    counts = chosen.mapInPandas(count, "toxic int, kind string, key string, n long").groupBy("toxic", "kind", "key").agg(F.sum("n").alias("n")).toPandas()
+    tally = chosen.mapInPandas(count, "toxic int, kind string, key string, n long").groupBy("kind", "key")
+    tally = materialize(tally.agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1))), "toxic-counts")
+    sums = tally.groupBy("kind").agg(*(f(k).alias(f"{name}{k}") for k in (0, 1) for name, f in (("all", lambda k: F.sum(f"n{k}")), ("kept", lambda k: F.sum(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)))))))
+    totals = {(r["kind"], k): (float(max(r[f"all{k}"], 1)), float(r[f"kept{k}"])) for r in sums.collect() for k in (0, 1)}
+    # a word that the discount takes from both classes scores as its beginning does, so it need not come
+    counts = tally.where((F.col("kind") == "p") | (F.greatest("n0", "n1") > DISCOUNT)).toArrow().to_pandas()
     words, heads = (spark.sparkContext.broadcast(set(counts.key[counts.kind == k])) for k in "wp")
 
     def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
                 of_heads.update({w[:PREFIX] for w in ws} & heads.value)
         yield pd.DataFrame([("w", k, v) for k, v in of_words.items()] + [("p", k, v) for k, v in of_heads.items()], columns=["kind", "key", "n"])
 
-    shared = texts.select("text").mapInPandas(count_all, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
-    model = Model(counts, shared.set_index(["kind", "key"])["n"])
+    shared = texts.select("text").mapInPandas(count_all, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    model = Model(counts, totals, shared.set_index(["kind", "key"])["n"])
     sent = spark.sparkContext.broadcast(model.state())
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
             x = features(sent.value, b.text.tolist())
             yield pd.DataFrame({"x1": x[:, 1], "x2": x[:, 2], "y": b.toxic.to_numpy()})
 
-    xy = chosen.mapInPandas(measure, "x1 double, x2 double, y int").toPandas()
+    xy = chosen.mapInPandas(measure, "x1 double, x2 double, y int").toArrow().to_pandas()
     model.calibrate(np.column_stack([np.ones(len(xy)), xy.x1, xy.x2]), xy.y.to_numpy(float), n.get(1, 0) / max(1, sum(n.values())))
     return model
 
