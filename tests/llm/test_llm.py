@@ -1,0 +1,413 @@
+"""The training-data operators against brute force, round trips and held-out labels."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brightwell.llm import chat, decontaminate, licenses, line_dedup, media, mixing, near_dup, registry, secrets, suffix_dedup, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, ids=None):
+    ids = ids or range(len(texts))
+    return spark.createDataFrame([(i, t, "en", f"src{k % 2}", len(t or "")) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], DOCS)
+
+
+def documents(spark, sf, n=10**9):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(n).collect()]
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    c = duckdb.connect()
+    for t in ("documents", "labels", "benchmark", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_matches_sql(spark, sf, duck, name):
+    def plain(df):
+        df = df[sorted(df.columns)].astype(object)
+        return sorted(map(str, df.where(df.notna(), None).itertuples(index=False, name=None)))
+
+    assert plain(registry.QUERIES[name](spark, sf).toPandas()) == plain(duck.execute(registry.ORACLE_SQL[name]).df())
+
+
+ODD = [None, "", "a", "é😀 ", "same text here twice over", "same text here twice over", "word " * 3000]
+
+
+@pytest.mark.parametrize("name", ["line", "near", "leak", "mix"])
+def test_stages_keep_columns_and_stand_odd_rows(spark, name):
+    docs = frame(spark, ODD, [None, 1, 1, 2, 3, 4, 5]).withColumn("found", F.lit(1)).withColumn("cid", F.lit("x")).withColumn("tokens", F.lit(2))
+    items = spark.createDataFrame([(1, "completely other words that nobody wrote"), (None, None)], "item_id long, text string")
+    f = {"line": lambda d: line_dedup.drop_boilerplate(d).select(*d.columns), "near": near_dup.keep_one, "leak": lambda d: decontaminate.drop_contaminated(d, items), "mix": mixing.mix_sources}[name]
+    out = f(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.count() == {"line": 7, "near": 5, "leak": 7}.get(name, out.count())
+    assert f(docs.limit(0)).count() == 0
+
+
+# -- 1 -----------------------------------------------------------------------------------------
+
+
+def fill(budget, nodes):
+    """Water-filling by repeated rounds: nodes {name: (weight, room)}."""
+    given, open_ = dict.fromkeys(nodes, 0.0), set(nodes)
+    while open_ and budget > 1e-9:
+        total = sum(nodes[n][0] for n in open_)
+        shares = {n: budget * nodes[n][0] / total for n in open_}
+        full = {n for n in open_ if given[n] + shares[n] >= nodes[n][1] - 1e-9}
+        if not full:
+            for n in open_:
+                given[n] += shares[n]
+            break
+        for n in full:
+            budget -= nodes[n][1] - given[n]
+            given[n] = nodes[n][1]
+        open_ -= full
+        budget = max(budget, 0.0)
+        rest = sum(given[n] for n in open_)
+        assert rest == 0
+    return given
+
+
+def test_budgets_share_shortages_among_siblings_first(spark):
+    mix = mixing.Mix(domains={"web": ("src0", "src1"), "forum": ("src2",)}, domain_weights={"web": 3, "forum": 1}, source_weights={"src0": 5}, budget_share=0.9, max_epochs=1)
+    tokens = {("web", "en", "src0"): 100, ("web", "en", "src1"): 1000, ("web", "de", "src0"): 50, ("forum", "en", "src2"): 500, ("other", "fr", "src9"): 10}
+    leaves = spark.createDataFrame([(*k, v) for k, v in tokens.items()], "domain string, language string, source string, tokens long")
+    got = {(r["domain"], r["language"], r["source"]): r["budget"] for r in mixing.budgets(leaves, mix).collect()}
+    room = lambda *p: sum(v for k, v in tokens.items() if k[: len(p)] == p)
+    want = {}
+    for d, b in fill(0.9 * 1660, {d: (mix.domain_weights.get(d, 1), room(d)) for d in ("web", "forum", "other")}).items():
+        for lang, c in fill(b, {k[1]: (1, room(d, k[1])) for k in tokens if k[0] == d}).items():
+            for s, e in fill(c, {k[2]: (mix.source_weights.get(k[2], 1), room(d, lang, k[2])) for k in tokens if k[:2] == (d, lang)}).items():
+                want[(d, lang, s)] = e
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_prefix_is_the_longest_that_fits(spark):
+    mix = mixing.Mix(domains={}, budget_share=1.6, max_epochs=3, bucket_tokens=20)
+    rng = random.Random(5)
+    docs = frame(spark, [" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 30))) for _ in range(120)]).withColumn("source", F.lit("one"))
+    rows = mixing.mix_sources(docs, mix).select("doc_id", "text", "epoch").collect()
+    tokens = {r["doc_id"]: len(r["text"].split()) for r in docs.collect()}
+    total = sum(tokens.values())
+    per = Counter(r["epoch"] for r in rows)
+    assert per[0] == 120 and 0 < per[1] < 120 and per[2] == 0
+    taken = {r["doc_id"] for r in rows if r["epoch"] == 1}
+    run, want = 0, set()
+    for d in sorted(tokens, key=lambda d: hashlib.md5(f"17:1:{d}".encode()).hexdigest()):
+        run += tokens[d]
+        if run <= 0.6 * total + 1e-6:
+            want.add(d)
+    assert taken == want
+
+
+# -- 2 -----------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = (text or "").split()
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def similarity(a, b):
+    both = sum((a & b).values())
+    return both / max(1, sum(a.values()) + sum(b.values()) - both)
+
+
+def components(rows, least=0.8):
+    sets, root = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = {}
+    for d, s in sets.items():
+        for g in s:
+            by.setdefault(g, []).append(d)
+    pairs = {(a, b) for ds in by.values() for i, a in enumerate(ds) for b in ds[i + 1 :]}
+    texts = dict(rows)
+    same = {}
+    for d, t in rows:
+        pairs.add((same.setdefault(t, d), d))
+    for a, b in pairs:
+        if texts[a] == texts[b] or similarity(sets[a], sets[b]) >= least:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in root}
+
+
+def test_near_classes_are_the_components(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 40, 120]))] for _ in range(25)]
+    rows = []
+    for words in base:
+        for _ in range(rng.randint(1, 8)):
+            copy = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), ""), (len(rows) + 1, ""), (len(rows) + 2, "one"), (len(rows) + 3, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.xxhash64("text"))
+    got = {r["doc_id"]: r["class_id"] for r in docs.join(near_dup.near_classes(docs), "cid").collect()}
+    assert got == components(rows)
+
+
+def test_dart_signatures_estimate_weighted_jaccard():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    a = [rng.choice(words) for _ in range(300)]
+    b = [w if rng.random() < 0.97 else rng.choice(words) for w in a]
+    texts = [" ".join(a).encode(), " ".join(b).encode(), " ".join(a + a).encode(), b"x", b""]
+    owner, cell, n = near_dup.cells(texts)
+    sig = near_dup.signatures(owner, cell, n)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        true = similarity(shingles(texts[i].decode()), shingles(texts[j].decode()))
+        assert abs((sig[i] == sig[j]).mean() - true) < 0.2
+        assert abs(near_dup.weighted_jaccard([texts[i]], [texts[j]])[0] - true) < 1e-12
+    assert (sig[:4] != 0).all() and (sig[4] == 0).all()
+
+
+# -- 3 -----------------------------------------------------------------------------------------
+
+
+def test_lines_by_host(spark):
+    texts = [f"menu\nown {i}\n\n" for i in range(10)] + ["menu\nother host"] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "a" if i < 10 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert got[3] == ("own 3\n\n", 1) and got[10] == ("menu\nother host", 0) and got[11] == ("", 0)
+
+
+# -- 4 -----------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip():
+    codec, rng = chat.Codec(chat.INSTRUCT), random.Random(6)
+    parts = [*chat.INSTRUCT.control(), chat.ESCAPE, "0", "_", "<", "[", "/", "s>", " ", "é", "\n"]
+    for _ in range(3000):
+        role = rng.choice(["user", "assistant", "system", "tool", "<|role|>", ""])
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        opens, body, closes, loss = codec.write(role, text)
+        assert codec.read(opens + body + closes) == (role, text)
+        assert loss == (role == "assistant")
+        assert not any(c in body for c in chat.INSTRUCT.control())
+
+
+def test_chat_machine(spark):
+    def valid(*roles):
+        df = spark.createDataFrame([(1, i, r, "x") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+        return chat.read_back(chat.format_chat(df)).first()["valid"]
+
+    assert valid("system", "user", "assistant") and valid("user")
+    assert not valid("assistant", "user") and not valid("user", "user") and not valid("system") and not valid("user", None)
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    assert [(r["text"], r["loss"]) for r in chat.segments(chat.format_chat(df)).collect() if r["loss"]] == [("a", True)]
+    with pytest.raises(ValueError):
+        chat.Template((("user", chat.Role("<<", "<", False, ("",))),)).check()
+
+
+# -- 5 -----------------------------------------------------------------------------------------
+
+
+def distance_within(pattern, text):
+    """The least edit distance of the pattern to any stretch of text."""
+    last = list(range(len(pattern) + 1))
+    best = last[-1]
+    for c in text:
+        now = [0]
+        for i, p in enumerate(pattern, 1):
+            now.append(min(last[i] + 1, now[-1] + 1, last[i - 1] + (p != c)))
+        last, best = now, min(best, now[-1])
+    return best
+
+
+def test_leaks_are_those_of_brute_force():
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    items = [(i, say(rng.randint(2, 25))) for i in range(12)]
+    match = decontaminate.Matcher(items)
+    for _ in range(60):
+        _, item = rng.choice(items)
+        t = list(decontaminate.normal(item))
+        for _ in range(rng.randint(0, 8)):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randint(0, 1)] = [rng.choice("abcde")] * rng.randint(0, 2)
+        text = decontaminate.normal(f"{say(4)} {''.join(t)} {say(3)}")
+        want = {}
+        for i, x in items:
+            n = decontaminate.normal(x)
+            d = distance_within(n, text)
+            if d <= decontaminate.budget_of(len(n)):
+                want[i] = d
+        assert {i: d for i, d, _ in match(text)} == want
+
+
+# -- 6 -----------------------------------------------------------------------------------------
+
+
+def test_licences_are_those_of_brute_force():
+    known = licenses.Templates(licenses.TEMPLATES, licenses.LEAST)
+    rng = random.Random(2)
+    for _ in range(120):
+        name, t = rng.choice(licenses.TEMPLATES)
+        words = t.split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = "word"
+        k = rng.randrange(len(words) + 1)
+        text = f"before\n{' '.join(words[:k])}\n{' '.join(words[k:])}\n\nafter and more"
+        want = {}
+        for _, a, z in licenses.units(text):
+            unit = licenses.bigrams(licenses.words_of(text[a:z]))
+            scored = [(2 * len(unit & s) / (len(unit) + len(s)), n) for s, n in zip(known.sets, known.names, strict=True)]
+            top = max(scored)[0]
+            for score, n in scored:
+                if score == top >= licenses.LEAST:
+                    want[n] = max(want.get(n, 0), score)
+        assert {m[0]: m[1] for m in known.match(text)} == want
+
+
+# -- 7 -----------------------------------------------------------------------------------------
+
+
+def base_spans(text):
+    out = [("assign", m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_secret_spans(spark):
+    rng = random.Random(4)
+    parts = ["password", "Secret", "token=", "api_key", "apikey", ":", "=", " ", '"', "'", "abc", "qwertz1", "AKIA", "0123456789ABCDEF", "deadbeef" * 3, "é", "😀", "\n", "k8JxQz1LmN4pRtUv7WyB2cDf9GhE0sAo3iKl5", "internationalisation" * 2]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(150))]
+    names = dict(enumerate(secrets.KINDS))
+    for r in secrets.secrets(frame(spark, texts)).collect():
+        want = base_spans(texts[r["doc_id"]] or "")
+        assert [(names[x["order"]], x["start"], x["end"]) for x in r["base"]] == want
+        spans = [(names[x["order"]], x["start"], x["end"]) for x in r["all"]]
+        assert [x for x in spans if x[0] != "random"] == want
+        assert all(not (a < e and s < z) for k, s, e in spans if k == "random" for _, a, z in want)
+    lone = ["see k8JxQz1LmN4pRtUv7WyB2cDf9GhE0sAo3iKl5 here", "internationalisationinternationalisation", "a" * 60, "thisisaratherlongbutplainenglishcompoundword"]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.secrets(frame(spark, lone)).collect()}
+    assert got == {0: 1, 1: 0, 2: 0, 3: 0}
+
+
+# -- 8 -----------------------------------------------------------------------------------------
+
+
+def removed(rows):
+    last = 2**62
+    texts = [(last if d is None else d, (t or "").encode()) for d, t in rows]
+    first = {}
+    for d, b in texts:
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(first.get(b[i : i + 50], last), d)
+    out = []
+    for (i, _), (d, b) in zip(rows, texts, strict=True):
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < d:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return sorted(map(str, out))
+
+
+def test_substrings_are_those_of_brute_force(spark, sf):
+    rng = random.Random(1)
+    say = lambda n: " ".join(rng.choice(["ab", "the", "thou", "ée", "xxxxxxx"]) + rng.choice(["ing", "er", "ñ"]) for _ in range(n))
+    shared = [say(14) for _ in range(5)]
+    rows = [(i if rng.random() < 0.9 else None, say(rng.randint(0, 30)) + rng.choice(shared) + say(rng.randint(0, 20))) for i in range(80)]
+    rows += [(200 + i, rows[i % 5][1]) for i in range(12)] + [(3, "a" * 200), (4, "a" * 120 + "b" * 60), (4, "a" * 90), (5, None), (6, ""), (900, rows[0][1]), (900, rows[0][1])]
+    rows += documents(spark, sf, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(str, map(tuple, suffix_dedup.dedup_substrings(df).collect()))) == removed(rows)
+
+
+# -- 9 -----------------------------------------------------------------------------------------
+
+
+def test_media_round_trip():
+    rng = np.random.default_rng(2)
+    payloads = [media.payload_of("")[1], media.payload_of("text é " * 500)[1], rng.integers(0, 256, 576 * 400, dtype=np.uint8).tobytes(), bytes(range(256)) * 9]
+    streams = media.encode(payloads)
+    for p, images in zip(payloads, media.decode(streams), strict=True):
+        assert b"".join(np.rint(t).astype(np.uint8).tobytes() for _, _, t in images) == p
+    with pytest.raises(ValueError):
+        media.decode([streams[1][:-40]])
+
+
+def test_decoder_reads_past_ac_and_subsampled_chroma():
+    """A hand-made 4:2:0 stream of two units with AC codes: the luminance DCs come out."""
+    dc = media._canonical([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12)))
+    ac = media._canonical([0, 2, 1] + [0] * 13, [0x00, 0x01, 0x21])
+    code = lambda table, s: next((f"{c:0{n}b}") for c, n, v in table if v == s)
+    levels, bits, last = [[5, -3, 100, 0], [-100, 7, 7, 31]], "", [0, 0, 0]
+
+    def block(component, level):
+        nonlocal bits
+        d, last[component] = level - last[component], level
+        size = abs(d).bit_length()
+        bits += code(dc, size) + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "") + code(ac, 0x01) + "1" + code(ac, 0x21) + "0" + code(ac, 0)
+
+    for unit in levels:
+        for y in unit:
+            block(0, y)
+        block(1, 9)
+        block(2, -9)
+    bits += "1" * (-len(bits) % 8)
+    raw = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    seg = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    tables = bytes([0, 0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, *range(12)]) + bytes([0x10, 0, 2, 1, *[0] * 13, 0, 1, 0x21])
+    data = b"\xff\xd8" + seg(0xDB, bytes([0, *[2] * 64])) + seg(0xC0, bytes([8, 0, 16, 0, 32, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])) + seg(0xC4, tables) + seg(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + raw + b"\xff\xd9"
+    ((width, height, thumb),) = media.decode([data])[0]
+    want = np.array([[5, -3, -100, 7], [100, 0, 7, 31]]) * 2 / 8 + 128
+    assert (width, height) == (32, 16) and np.allclose(thumb, want)
+
+
+# -- 10 ----------------------------------------------------------------------------------------
+
+
+def test_toxicity_on_held_out_labels(spark):
+    rng = random.Random(7)
+    plain, foul = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)], [f"fiend{x}" for x in "abcdefgh"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = rng.random() < 0.2
+        words = [rng.choice(plain) for _ in range(rng.randint(20, 120))]
+        for _ in range(max(2, len(words) // 30) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(foul))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(None, None), (9001, ""), (9002, "123 !!")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    truth = dict(labels)
+    held = [d for d in truth if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert sum((got[d] >= toxicity.THRESHOLD) == bool(truth[d]) for d in held) / len(held) > 0.97
+    assert got[9001] == got[9002] == got[None] < toxicity.THRESHOLD
+    blank = toxicity.fit(docs, known.limit(0))
+    assert toxicity.score(docs, blank).select("score").distinct().count() == 1
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf)
+    assert set(docs.columns) <= set(out.columns) and 0 < out.select("doc_id").distinct().count() <= docs.count()
