@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightwell.functions import severity_of_ratio
-from brightwell.operators import clustering, detection, features, forecast, quality, scoring
-from brightwell.sources import Profile, canonical, event_metrics, hourly_metrics, in_range, profiles_frame, unpivot_payload
+from brightwell.operators import clustering, detection, features, forecast, gates, quality, scoring, serving
+from brightwell.sources import Profile, canonical, event_metrics, hourly_metrics, in_range, lookback, profiles_frame, unpivot_payload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,16 +137,16 @@ def missing_features(spark, sf_dir):
     return quality.missing_features(profiles_frame(spark, PROFILES), event_metrics(spark, sf_dir))
 
 
-Q_SQL = f"""{M}, ref AS (SELECT max(timestamp) AS ref_at FROM m), g AS (SELECT resource_id, metric_name, timestamp, epoch_us(timestamp) / 1e6 - epoch_us(lag(timestamp) OVER (PARTITION BY resource_id, metric_name ORDER BY timestamp)) / 1e6 AS gap FROM m WHERE timestamp IS NOT NULL),
+Q_SQL = f"""{M}, ref AS (SELECT max(timestamp) AS ref_at FROM m), g AS (SELECT resource_id, metric_name, timestamp, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY resource_id, metric_name ORDER BY timestamp))) / 1e6 AS gap FROM m WHERE timestamp IS NOT NULL),
   s AS (SELECT resource_id, metric_name, count(*) AS points, min(timestamp) AS t0, max(timestamp) AS t1, quantile_cont(gap, 0.5) FILTER (gap > 0) AS interval_, max(gap) FILTER (gap > 0) AS longest FROM g GROUP BY 1, 2),
   q AS (SELECT resource_id, metric_name, points, interval_, longest, CASE WHEN interval_ IS NOT NULL THEN least(1.0, points / (floor((epoch_us(t1) - epoch_us(t0)) / 1e6 / interval_) + 1)) END AS density,
     (epoch_us(ref_at) - epoch_us(t1)) / 1e6 / interval_ AS behind, CASE WHEN interval_ IS NOT NULL THEN (epoch_us(ref_at) - epoch_us(t1)) / 1e6 / interval_ <= 4 END AS is_live FROM s, ref)"""
 
 
-@query(f"WITH {Q_SQL} SELECT resource_id, metric_name, points, round(interval_, 5) AS interval, round(longest, 5) AS longest_gap, round(density, 6) AS density, round(behind, 4) AS behind, is_live FROM q")
+@query(f"WITH {Q_SQL} SELECT resource_id, metric_name, points, round(interval_, 2) AS interval, round(longest, 2) AS longest_gap, round(density, 6) AS density, round(behind, 4) AS behind, is_live FROM q")
 def series_quality(spark, sf_dir):
     s = quality.series_quality(event_metrics(spark, sf_dir))
-    return s.select("resource_id", "metric_name", "points", F.round("interval", 5).alias("interval"), F.round("longest_gap", 5).alias("longest_gap"), F.round("density", 6).alias("density"), F.round("behind", 4).alias("behind"), "is_live")
+    return s.select("resource_id", "metric_name", "points", F.round("interval", 2).alias("interval"), F.round("longest_gap", 2).alias("longest_gap"), F.round("density", 6).alias("density"), F.round("behind", 4).alias("behind"), "is_live")
 
 
 @query(f"WITH {Q_SQL} SELECT count(*) AS series, count(interval_) AS analyzed, round(coalesce(100 * avg(CAST(is_live AS INT)), 0), 6) AS freshness_score, round(coalesce(100 * avg(density), 0), 6) AS gap_score FROM q")
@@ -568,3 +568,49 @@ def vendor_unpivot(spark, sf_dir):
     payload = events.select("resource_id", F.lit("h").alias("host_name"), F.lit("ds").alias("datasource_name"), F.lit("i").alias("datasource_instance"), F.array(F.lit("value"), F.lit("id")).alias("data_points"), F.array(F.unix_millis("timestamp")).alias("time"), F.array(F.array(cell, F.col("ordinal").cast("string"))).alias("values"))
     return unpivot_payload(payload).select("resource_id", "metric_name", F.unix_millis("timestamp").alias("ms"), F.round("value", 6).alias("value"))
 
+
+@query(f"WITH {M} SELECT resource_id, metric_name, epoch_us(timestamp) AS at FROM m WHERE timestamp <= TIMESTAMP '2024-01-20' AND timestamp > TIMESTAMP '2024-01-20' - INTERVAL 36 HOUR")
+def lookback_scan(spark, sf_dir):
+    kept = lookback(event_metrics(spark, sf_dir), datetime(2024, 1, 20, tzinfo=timezone.utc), 36)
+    return kept.select("resource_id", "metric_name", F.unix_micros("timestamp").alias("at"))
+
+
+# -- serving -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {H}, r AS (SELECT *, dense_rank() OVER (PARTITION BY resource_id ORDER BY timestamp DESC) AS k FROM h) SELECT resource_id, count(*) AS cells, count(DISTINCT metric_name) AS metrics, CAST(epoch(min(timestamp)) AS BIGINT) AS first_time FROM r WHERE k <= 12 GROUP BY 1")
+def recent_window(spark, sf_dir):
+    recent = serving.recent_rows(hourly_metrics(spark, sf_dir), SIZE)
+    return rounded(recent.groupBy("resource_id").agg(F.count("*").alias("cells"), F.countDistinct("metric_name").alias("metrics"), F.min("timestamp").alias("first_time")))
+
+
+@query(f"""WITH {H}, l AS (SELECT resource_id, metric_name, list(value ORDER BY timestamp) AS v FROM h WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT resource_id, metric_name, CASE WHEN metric_name IN ('signup', 'error') THEN 'categorical' ELSE 'numerical' END AS kind, len(v) AS n, round(list_sum(v[-50:]), 4) AS last_sum, round(CASE WHEN len(v) >= 50 THEN v[-50] ELSE 0 END, 6) AS first_kept FROM l""")
+def request_series(spark, sf_dir):
+    series = serving.split_series(hourly_metrics(spark, sf_dir), profiles_frame(spark, PROFILES[:1])).select("resource_id", "kind", F.explode("series").alias("metric_name", "values"))
+    fitted = serving.fit_length(series.withColumn("n", F.size("values").cast("long")), 50)
+    return fitted.select("resource_id", "metric_name", "kind", "n", F.round(F.aggregate("values", F.lit(0.0), lambda a, b: a + b), 4).alias("last_sum"), F.round(F.element_at("values", 1), 6).alias("first_kept"))
+
+
+@query(f"""WITH {Q_SQL}, r AS (SELECT coalesce(100 * avg(CAST(is_live AS INT)), 0) AS f, coalesce(100 * avg(density), 0) AS g FROM q) SELECT f >= 50 AND g >= 80 AS ready FROM r""")
+def quality_gate(spark, sf_dir):
+    return quality.quality_gate(quality.quality_rollup(quality.series_quality(event_metrics(spark, sf_dir)))).select("ready")
+
+
+@query()
+def served_scores(spark, sf_dir):
+    """The last window of every resource, scored in one job."""
+    filled = _filled(spark, sf_dir)
+    return serving.score_latest(hourly_metrics(spark, sf_dir), NUMERICAL, features.fit_zscore(filled, NUMERICAL), scoring.global_override(1.0), SIZE)
+
+
+@query()
+def rubric_gates(spark, sf_dir):
+    """Gate verdicts of the three incidents, pooled, as rows."""
+    flagged = _flagged(spark, sf_dir).persist()
+    found = detection.detect(flagged, _incidents(spark), max_lead=LONGEST_LEAD).collect()
+    pooled = {r["sustain"]: r for r in detection.pooled_lead_in(detection.lead_in_rates(flagged, _incidents(spark))).collect()}[3]
+    leads = [r["lead_seconds"] for r in found if r["detected"]]
+    bundle = gates.Bundle("incident", detected=len(leads) == len(found), bridged=any(r["bridged"] for r in found), lead_seconds=min(leads) if leads else None, lead_in_fpr=pooled["fpr"], lead_in_windows=pooled["windows"])
+    flagged.unpersist()
+    return spark.createDataFrame([(g.name, g.passed, g.reason, g.required) for g in gates.evaluate(bundle)[1]], "gate string, passed boolean, reason string, required boolean")
