@@ -14,11 +14,11 @@ weights are counts.
 Bands of 6 coordinates (each coordinate in two bands) make candidates; a pair of similarity 0.8
 shares none of 40 bands with a probability of about 1e-5. Candidates are verified exactly.
 
-Groups are never expanded into pairs. Copies are one class from the start. In a band, all
-classes are compared with the least one. Only where a class of a band does not come out
-linked with it, members of different components remain to be compared: directly if there are
-at most SMALL of them, else first split by their other bands (a true pair shares a second one
-as surely as the first), again and again. So no link is given up for the size of a group.
+Groups are never expanded into pairs. Copies are one class from the start. In a band, classes
+are compared with a leader. Only where members of a band still lie in different components
+are these compared with each other: directly if that makes at most SMALL pairs for each member,
+else first split by their other bands (a true pair shares a second one as surely as the first),
+again and again. So no link is given up for the size of a group.
 
 Classes are named by xxhash64 of the text: two of n texts collide with probability n*n/2**65.
 
@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from brightwell.llm.common import U64, fresh, id_and_text, materialize, mix, prefix_hash, read, span_hash
 
@@ -43,7 +44,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 K = 120
 ROWS = 6
+FIRST_BANDS = 6
 SMALL = 64
+BROADCAST_IDS = 500_000  # 8 bytes each
 CHUNK = 3_000_000  # bytes of text handled at once
 
 
@@ -173,7 +176,7 @@ def weighted_jaccard(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return both / np.maximum(n + m - both, 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # an instance, as a name would need a session when this is imported
 def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     a, b = ([t.encode("utf-8", "surrogatepass") for t in x] for x in (left, right))
     out = np.zeros(len(a))
@@ -191,8 +194,10 @@ def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 def linked(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Of distinct (a, b) pairs of classes, those whose texts are similar. docs: doc_id, cid, text."""
     wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
-    texts = docs.groupBy("cid").agg(F.min("text").alias("text")).join(wanted, "cid")
-    texts = materialize(texts, "near-texts")
+    wanted = materialize(wanted, "near-wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = materialize(docs.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text")), "near-texts")
     one = pairs.join(texts.toDF("b", "right"), "b")
     both = one.join(texts.toDF("a", "left"), "a")
     return materialize(both.withColumn("s", _similarity("left", "right")).where(F.col("s") >= similar).select("a", "b"), "near-links")
@@ -212,63 +217,80 @@ def connected(links: DataFrame) -> DataFrame:
         labels = new.select("cid", F.col("next").alias("comp"))
 
 
-def _rest(members: DataFrame, comps: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct (a, b) pairs of classes that share a band, lie in different components, and were not compared as (rep, cid)."""
-    with_comp = members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+def _led(bands: DataFrame) -> DataFrame:
+    """(a, b) pairs of each band's leader with its members of other components. bands: band, cid, comp, weight.
+
+    The leader has the greatest weight: it shares most bands with most others, as the original of a group of copies shares more with each copy than the copies share."""
+    tops = bands.groupBy("band").agg(F.max(F.struct("weight", "cid", "comp")).alias("top"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
+    tops = tops.select(F.col("band").alias("of_band"), F.col("top.cid").alias("leader"), F.col("top.comp").alias("of"))
+    joined = bands.join(tops, (F.col("band") == F.col("of_band")) & (F.col("comp") != F.col("of")))
+    return joined.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct()
+
+
+def _crossing(bands: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b) pairs of members of different components. of: band, main (its largest component): of a pair, one is not of it."""
+    main = of.select(F.col("band").alias("of_band"), "main")
+    others = bands.join(main, (F.col("band") == F.col("of_band")) & (F.col("comp") != F.col("main"))).select(F.col("band").alias("of_band"), F.col("cid").alias("other"), F.col("comp").alias("of"))
+    joined = bands.join(others, (F.col("band") == F.col("of_band")) & (F.col("comp") != F.col("of")))
+    return joined.select(F.least("other", "cid").alias("a"), F.greatest("other", "cid").alias("b")).distinct()
+
+
+def _rest(bands: DataFrame, known: DataFrame) -> DataFrame:
+    """All (a, b) pairs of classes that share a band and lie in different components."""
     out, level = None, 0
     while True:
-        sized = with_comp.groupBy("band").agg(F.count("*").alias("size"), (F.min("comp") != F.max("comp")).alias("mixed"))
-        with_comp = materialize(with_comp.join(sized.where("mixed").drop("mixed"), "band"), "near-rest")
-        few = with_comp.where(F.col("size") <= SMALL)
-        left, right = few.select("band", F.col("cid").alias("a"), F.col("comp").alias("x")), few.select("band", F.col("cid").alias("b"), F.col("comp").alias("y"))
-        pairs = left.join(right, "band").where((F.col("x") != F.col("y")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-        out = pairs if out is None else out.unionAll(pairs)
-        many = with_comp.where(F.col("size") > SMALL).drop("size")
+        parts = bands.groupBy("band", "comp").agg(F.count("*").alias("n"))
+        sized = parts.groupBy("band").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "comp")).alias("top")).where(F.col("parts") > 1)
+        few = (F.col("size") * F.col("size") - F.col("squares")) <= 2 * SMALL * F.col("size")
+        sized = materialize(sized.select("band", F.col("top.comp").alias("main"), few.alias("few")), "near-rest")
         level += 1
-        if level == 12 or not many.limit(1).count():
-            # after 12 shared bands the texts agree in nearly all coordinates
-            if level == 12:
-                left, right = many.select("band", F.col("cid").alias("a"), F.col("comp").alias("x")), many.select("band", F.col("cid").alias("b"), F.col("comp").alias("y"))
-                out = out.unionAll(left.join(right, "band").where((F.col("x") != F.col("y")) & (F.col("a") < F.col("b"))).select("a", "b"))
-            return materialize(out.distinct().join(found, ["a", "b"], "left_anti"), "near-pairs")
-        with_comp = many.select("cid", "comp", "bands", "band", F.explode("bands").alias("other")).where(F.col("other") != F.col("band"))
-        with_comp = with_comp.select("cid", "comp", "bands", F.xxhash64("band", "other").alias("band"))
+        # texts that share 12 bands agree in nearly all coordinates
+        last = level == 12 or not sized.where(~F.col("few")).limit(1).count()
+        pairs = _crossing(bands, sized if last else sized.where("few"))
+        out = pairs if out is None else out.unionAll(pairs)
+        if last:
+            return out.distinct()
+        many = bands.select("cid", "comp", "band").join(sized.where(~F.col("few")).select("band"), "band").join(known.select("cid", "bands"), "cid")
+        many = many.select("cid", "comp", "band", F.explode("bands").alias("other")).where(F.col("other") != F.col("band"))
+        bands = materialize(many.select("cid", "comp", F.xxhash64("band", "other").alias("band")), "near-split")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(cid, class_id, n_links): the component of each distinct text and the links found for it. docs: doc_id, cid, text."""
+    """(cid, comp, class_id, first_id): the component of each distinct text, the least doc_id of each. docs: doc_id, cid, text."""
     known = materialize(classes(docs), "near-classes")
-    bands = known.select("cid", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("cid").alias("rep"), F.count("*").alias("n")).where(F.col("n") > 1)
-    members = materialize(bands.join(shared, "band"), "near-members")
-    first = materialize(members.where(F.col("cid") != F.col("rep")).select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct(), "near-pairs")
-    links = linked(first, docs, similar)
-    comps = connected(links)
-    open_bands = members.where((F.col("n") > 2) & (F.col("cid") != F.col("rep"))).join(links.toDF("rep", "cid"), ["rep", "cid"], "left_anti").select("band").distinct()
-    unresolved = members.where(F.col("n") > 2).join(open_bands, "band", "left_semi").select("cid", "band").join(known.select("cid", "bands"), "cid")
-    rest = _rest(unresolved, comps, first)
-    if rest.limit(1).count():
-        more = linked(rest, docs, similar)
-        if more.limit(1).count():
-            links = links.unionAll(more)
+    first = known.select("cid", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
+    sizes = first.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    weights = materialize(first.join(sizes, "band").groupBy("cid").agg(F.sum("n").alias("weight")), "near-weights")
+    known = materialize(known.join(weights, "cid", "left").withColumn("weight", F.coalesce("weight", F.lit(0))), "near-classes")
+    links = compared = comps = None
+    # a few bands bring most groups together; then all bands; then what still lies apart
+    for n_bands in (FIRST_BANDS, K, 0):
+        placed = known.withColumn("comp", F.col("cid")) if comps is None else known.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        bands = placed.select("cid", "comp", "weight", F.explode(F.slice("bands", 1, n_bands or K)).alias("band"))
+        pairs = _led(bands) if n_bands else _rest(bands, known)
+        pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        compared = pairs if compared is None else compared.unionAll(pairs)
+        new = linked(pairs, docs, similar)
+        if comps is None or new.limit(1).count():
+            links = new if links is None else links.unionAll(new)
             comps = connected(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
     named = known.select("cid", "first_id").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     class_ids = named.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    return materialize(named.join(class_ids, "comp").join(degree, "cid", "left").select("cid", "class_id", "first_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-result")
+    return materialize(named.join(class_ids, "comp").select("cid", "comp", "class_id", "first_id"), "near-result")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its class; n_links counts the links found for its text."""
+    """Every document with its class."""
     docs = id_and_text(read(spark, sf_dir, "documents")).withColumn("cid", F.xxhash64("text"))
-    return docs.select("doc_id", "cid").join(near_classes(docs).drop("first_id"), "cid").select("doc_id", "class_id", "n_links")
+    return docs.select("doc_id", "cid").join(near_classes(docs).select("cid", "class_id"), "cid").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One document of each class, that with the least doc_id, with its own columns; of rows that repeat it, one."""
-    cid, class_id = fresh(docs, "cid"), fresh(docs, "class_id")
+    cid, kept_cid, kept_id = fresh(docs, "cid"), fresh(docs, "kept_cid"), fresh(docs, "kept_id")
     texts = id_and_text(docs).withColumn("cid", F.xxhash64("text"))
-    kept = near_classes(texts, similar).where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("cid").alias("cid")).select(F.col("cid").alias(cid), F.col("class_id").alias(class_id))
+    first = F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "cid")).alias("k")
+    kept = near_classes(texts, similar).groupBy("comp").agg(first).select(F.col("k.cid").alias(kept_cid), F.col("k.first_id").alias(kept_id))
     rows = docs.withColumn(cid, F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = rows.join(kept.withColumnRenamed(cid, f"{cid}_"), (F.col(cid) == F.col(f"{cid}_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(class_id)))
+    found = rows.join(kept, (F.col(cid) == F.col(kept_cid)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)))
     return found.dropDuplicates([cid]).select(*docs.columns)
