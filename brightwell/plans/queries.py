@@ -431,7 +431,7 @@ def fleet_report(spark, sf_dir):
 
 @query(f"""WITH {SCORES}, th AS (SELECT resource_id, quantile_cont(error, {QUANTILE}) AS threshold FROM scores GROUP BY 1), sl AS (SELECT resource_id || '/' || kind AS slice_id, resource_id, CASE kind WHEN 'own' THEN threshold ELSE (SELECT threshold FROM th WHERE resource_id = '2') END AS thr FROM th, (VALUES ('own'), ('incident')) v(kind) WHERE resource_id IN ('3', '5')),
 ins AS (SELECT s.*, slice_id, error > thr AS flag FROM scores s JOIN sl USING (resource_id) WHERE end_time BETWEEN TIMESTAMP '2024-01-15 06:00:00' AND TIMESTAMP '2024-01-16 06:00:00'), runs AS ({RUNS.format(by='slice_id', of='ins')})
-SELECT slice_id, count(*) AS n, count(*) FILTER (flag) AS over, (SELECT count(*) FROM runs WHERE runs.slice_id = ins.slice_id AND length >= 3) AS runs FROM ins GROUP BY 1""")
+SELECT sl.slice_id, count(ins.window_id) AS n, count(ins.window_id) FILTER (ins.flag) AS over, (SELECT count(*) FROM runs WHERE runs.slice_id = sl.slice_id AND length >= 3) AS runs FROM sl LEFT JOIN ins ON ins.slice_id = sl.slice_id GROUP BY 1""")
 def control_slices(spark, sf_dir):
     scores = _scores(spark, sf_dir)
     one = _incidents(spark).where("case_id = 'b'").select("resource_id", F.col("anchor").alias("start"), "end")
