@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from brightwell.llm.common import U64, fresh, id_and_text, materialize, mix, prefix_hash, read, span_hash
+from brightwell.llm.common import U64, batches_of, fresh, id_and_text, materialize, mix, prefix_hash, read, span_hash
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -47,7 +47,8 @@ ROWS = 6
 FIRST_BANDS = 6
 SMALL = 64
 BROADCAST_IDS = 500_000  # 8 bytes each
-CHUNK = 3_000_000  # bytes of text handled at once
+CHUNK = 1_500_000  # bytes of text handled at once
+PAIRS, TEXTS = 200, 2000  # rows that Python gets at once: a leader's text comes again with each of its pairs
 
 
 def _band_rows() -> np.ndarray:
@@ -200,7 +201,8 @@ def linked(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataF
     texts = materialize(docs.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text")), "near-texts")
     one = pairs.join(texts.toDF("b", "right"), "b")
     both = one.join(texts.toDF("a", "left"), "a")
-    return materialize(both.withColumn("s", _similarity("left", "right")).where(F.col("s") >= similar).select("a", "b"), "near-links")
+    with batches_of(docs.sparkSession, PAIRS):
+        return materialize(both.withColumn("s", _similarity("left", "right")).where(F.col("s") >= similar).select("a", "b"), "near-links")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -257,7 +259,8 @@ def _rest(bands: DataFrame, known: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(cid, comp, class_id, first_id): the component of each distinct text, the least doc_id of each. docs: doc_id, cid, text."""
-    known = materialize(classes(docs), "near-classes")
+    with batches_of(docs.sparkSession, TEXTS):
+        known = materialize(classes(docs), "near-classes")
     first = known.select("cid", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
     sizes = first.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     weights = materialize(first.join(sizes, "band").groupBy("cid").agg(F.sum("n").alias("weight")), "near-weights")
