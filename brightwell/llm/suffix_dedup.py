@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -440,7 +441,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(buckets, "route").sortWithinPartitions("route", "kind")
 
-    decided = dealt(docs.mapInPandas(_entries(buckets), ROWS)).mapInPandas(_sorted_reduce(_decide_entries, buckets), ROWS)
+    # decisions are written before texts move, so the files of the two shuffles need not exist at once
+    decided = materialize(dealt(docs.mapInPandas(_entries(buckets), ROWS)).mapInPandas(_sorted_reduce(_decide_entries, buckets), ROWS), "suffix-decided")
+    _free(docs.sparkSession)
     texts = docs.mapInPandas(_homes(buckets), "route int, kind int, doc long, text string").select("route", "kind", nothing("int").alias("width"), nothing("binary").alias("data"), "doc", "text")
     told = decided.select("route", "kind", "width", "data", F.lit(0).cast("long").alias("doc"), nothing("string").alias("text"))
     passed = materialize(dealt(texts.unionAll(told)).mapInPandas(_apply_entries(buckets), PASS), "suffix-pass")
@@ -465,9 +468,11 @@ def _homes(buckets: int):
 
 
 def _free(spark: SparkSession) -> None:
-    """Shuffle files go when the JVM collects what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files go when the JVM collects what refers to them, in its own time unless asked."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
