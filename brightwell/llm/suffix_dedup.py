@@ -450,7 +450,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     del decided, told, texts
     _free(docs.sparkSession)
     strings = passed.where(F.col("kind") == STRINGS).select("route", F.when(F.col("width") < 0, WHOLE).otherwise(ENTRY).alias("kind"), F.abs("width").alias("width"), "data")
-    later = dealt(strings).mapInPandas(_sorted_reduce(_decide_strings, buckets), ROWS)
+    later = materialize(dealt(strings).mapInPandas(_sorted_reduce(_decide_strings, buckets), ROWS), "suffix-later")
+    del strings
+    _free(docs.sparkSession)
     pending = passed.where(F.col("kind") == PENDING).select("route", F.lit(TEXT).alias("kind"), nothing("int").alias("width"), nothing("binary").alias("data"), "doc", "text", "starts")
     told = later.select("route", "kind", "width", "data", F.lit(0).cast("long").alias("doc"), nothing("string").alias("text"), nothing("binary").alias("starts"))
     result = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
