@@ -6,10 +6,11 @@ nothing. The discounted mass of a class backs off to the class's model of word b
 (PREFIX letters) times what all texts say of the words with that beginning; the beginnings
 back off to the counts of all texts. These shared counts smooth rare expressions: a word
 that a class has hardly seen gets the same likelihood from both classes, unless its beginning
-is telling. Two likelihoods of a word that differ by less than EVIDENCE are taken for equal,
-as subject matter and small samples make such differences. A score is a logistic function of (log P_toxic - log P_ordinary) / words and of
-that difference times the square root of the words; the coefficients are fitted on labelled
-texts that were kept out of the class counts.
+is telling. A text's log P_toxic - log P_ordinary is kept apart by the size of its words' differences
+(BANDS) and by sign, as subject matter and small samples make many small differences and few large
+ones. A score is a logistic function of these sums over the square root of the words; what each
+band weighs is fitted on labelled texts that were kept out of the class counts, so no difference,
+however moderate, is thrown away.
 
 Bounds: the class counts come from at most `per_class` labelled rows of each class, so the
 words and beginnings that have counts, and with them what is broadcast and what comes to the
@@ -37,7 +38,8 @@ from brightwell.llm.common import fresh, materialize, read
 
 PREFIX = 4
 DISCOUNT = 1.5  # what one text alone says of a class does not count
-EVIDENCE = 4.0  # nats; likelihoods that differ by less count as equal
+BANDS = np.array([1.0, 2.0, 3.0, 4.0])  # nats; sums of differences between these are weighed apart
+WIDTH = 2 * (len(BANDS) + 1)  # bands by sign
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
 
@@ -46,22 +48,22 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def by_band(d: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the sums of d by band of |d| and by sign; text: whose each d is."""
+    cell = text * WIDTH + 2 * np.searchsorted(BANDS, np.abs(d)) + (d < 0)
+    return np.bincount(cell, d, n * WIDTH).reshape(n, WIDTH)
+
+
 def features(model: dict, texts: list[str]) -> np.ndarray:
-    """For each text: 1, the difference by word, and that times the square root of the words."""
-    out = np.zeros((len(texts), 3))
-    out[:, 0] = 1
+    """For each text: 1, and the differences by band over the square root of the words."""
     word, begin, unseen = model["word"].get, model["begin"].get, model["unseen"]
+    length, d = np.zeros(len(texts), int), []
     for i, t in enumerate(texts):
-        total, n = 0.0, 0
-        for w, k in Counter(words_of(t)).items():
-            d = word(w)
-            if d is None:
-                d = begin(w[:PREFIX], unseen)
-            total += k * d
-            n += k
-        if n:
-            out[i, 1:] = total / n, total / n**0.5
-    return out
+        ws = words_of(t)
+        length[i] = len(ws)
+        d.extend(begin(w[:PREFIX], unseen) if (x := word(w)) is None else x for w in ws)
+    sums = by_band(np.array(d, float), np.repeat(np.arange(len(texts)), length), len(texts))
+    return np.column_stack([np.ones(len(texts)), sums / np.sqrt(np.maximum(length, 1))[:, None]])
 
 
 def scores(model: dict, texts: list[str]) -> np.ndarray:
@@ -74,7 +76,7 @@ class Model:
     def __init__(self, counts: pd.DataFrame, totals: dict[tuple[str, int], tuple[float, float]], shared: pd.Series) -> None:
         """counts: kind (w or p), key, n0, n1 of the sample; totals: by kind and class, the sum of n and of what the discount leaves; shared: n over all texts, by kind and key."""
         self.begin, self.word, self.unseen = {}, {}, 0.0
-        self.coefficients = np.zeros(3)
+        self.coefficients = np.zeros(1 + WIDTH)
         begin, word = (counts[counts.kind == k].set_index("key") for k in "pw")
         if begin.empty:
             return
@@ -91,10 +93,9 @@ class Model:
             log_word.append(np.log(w / total_w + left_w * p[at] * np.minimum(within, 1)))
             log_left.append(np.log(left_w))
         unseen = log_left[1] - log_left[0]
-        telling = lambda d: np.where(np.abs(d) < EVIDENCE, 0.0, d)
-        self.begin = dict(zip(begin.index, telling(log_begin[1] - log_begin[0] + unseen).tolist(), strict=True))
-        self.word = dict(zip(word.index, telling(log_word[1] - log_word[0]).tolist(), strict=True))
-        self.unseen = float(telling(unseen))
+        self.begin = dict(zip(begin.index, (log_begin[1] - log_begin[0] + unseen).tolist(), strict=True))
+        self.word = dict(zip(word.index, (log_word[1] - log_word[0]).tolist(), strict=True))
+        self.unseen = float(unseen)
 
     def state(self) -> dict:
         return {"word": self.word, "begin": self.begin, "unseen": self.unseen, "coefficients": self.coefficients}
@@ -105,8 +106,9 @@ class Model:
             return
         scale = np.maximum(x.std(0), 1e-9)
         scale[0] = 1
-        z, w, ridge = x / scale, np.zeros(3), np.array([1e-6, 0.1, 0.1])
-        for _ in range(60):
+        z, w, ridge = x / scale, np.zeros(x.shape[1]), np.full(x.shape[1], 0.1)
+        ridge[0] = 1e-6
+        for _ in range(100):
             q = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
             w -= np.clip(np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) + np.diag(ridge), z.T @ (q - y) + ridge * w), -2, 2)
         share, prior = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)), min(max(prior, 1e-6), 1 - 1e-6)
@@ -163,11 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[b.fold == 0]
-            x = features(sent.value, b.text.tolist())
-            yield pd.DataFrame({"x1": x[:, 1], "x2": x[:, 2], "y": b.toxic.to_numpy()})
+            yield pd.DataFrame({"x": list(features(sent.value, b.text.tolist())), "y": b.toxic.to_numpy()})
 
-    xy = chosen.mapInPandas(measure, "x1 double, x2 double, y int").toArrow().to_pandas()
-    model.calibrate(np.column_stack([np.ones(len(xy)), xy.x1, xy.x2]), xy.y.to_numpy(float), n.get(1, 0) / max(1, sum(n.values())))
+    xy = chosen.mapInPandas(measure, "x array<double>, y int").toArrow().to_pandas()
+    if len(xy):
+        model.calibrate(np.stack(xy.x), xy.y.to_numpy(float), n.get(1, 0) / max(1, sum(n.values())))
     return model
 
 

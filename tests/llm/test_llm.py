@@ -404,6 +404,23 @@ def test_toxicity_on_held_out_labels(spark):
     assert toxicity.score(docs, blank).select("score").distinct().count() == 1
 
 
+def test_many_moderate_words_are_evidence(spark):
+    """Toxic texts whose words all occur in ordinary ones too, at about an eighth of the rate."""
+    rng = random.Random(11)
+    plain, moderate = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], [f"{x}{y}mild" for x in "bcdfghjk" for y in "aeiou"]
+    rows, labels = [], []
+    for i in range(1800):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join(rng.choice(moderate if rng.random() < (0.24 if toxic else 0.03) else plain) for _ in range(rng.randint(60, 120)))))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
+    held = [d for d, _ in labels if zlib.crc32(str(d).encode()) % 3 == 1]
+    caught = [got[d] >= toxicity.THRESHOLD for d in held if d % 5 == 0]
+    wrong = [got[d] >= toxicity.THRESHOLD for d in held if d % 5]
+    assert sum(caught) / len(caught) > 0.9 and sum(wrong) / len(wrong) < 0.03
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
