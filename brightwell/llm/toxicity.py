@@ -13,8 +13,11 @@ band weighs is fitted on labelled texts that were kept out of the class counts,
 however moderate, is thrown away.
 
 Bounds: the class counts come from at most `per_class` labelled rows of each class, so the
-words and beginnings that have counts, and with them what is broadcast and what comes to the
-driver, are bounded by that parameter. The shared counts are gathered over all texts.
+words and beginnings that have class counts, and with them what is broadcast and what comes to
+the driver, are bounded by that parameter. The shared counts are a distributed table of all
+words and beginnings of all texts, joined to the class counts. A word without class counts has
+the same shared factor in both classes, which its ratio loses; so that its ratio is its
+beginning's is exact, and only the total of the table is needed for it.
 
 Edge cases: a null or empty text, or one without letters, scores as a difference of 0. Rows
 with a null doc_id are never held out nor learnt from. Of repeated labels of one doc_id the
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 from brightwell.llm.common import fresh, materialize, read
 
 PREFIX = 4
+ROWS = 200_000  # counts that a task holds before it hands them on
 DISCOUNT = 1.5  # what one text alone says of a class does not count
 BANDS = np.array([1.0, 2.0, 3.0, 4.0])  # nats; sums of differences between these are weighed apart
 WIDTH = 2 * (len(BANDS) + 1)  # bands by sign
@@ -73,29 +77,29 @@ def scores(model: dict, texts: list[str]) -> np.ndarray:
 class Model:
     """Differences of log-likelihoods by word and by beginning."""
 
-    def __init__(self, counts: pd.DataFrame, totals: dict[tuple[str, int], tuple[float, float]], shared: pd.Series) -> None:
-        """counts: kind (w or p), key, n0, n1 of the sample; totals: by kind and class, the sum of n and of what the discount leaves; shared: n over all texts, by kind and key."""
+    def __init__(self, counts: pd.DataFrame, totals: dict[tuple[str, int], tuple[float, float]], everything: float) -> None:
+        """counts: kind (w or p), key, n0, n1 of the sample and n of all texts; totals: by kind and class, the sum of n0 or n1 and of what the discount leaves; everything: the sum of n over all beginnings of all texts."""
         self.begin, self.word, self.unseen = {}, {}, 0.0
         self.coefficients = np.zeros(1 + WIDTH)
         begin, word = (counts[counts.kind == k].set_index("key") for k in "pw")
         if begin.empty:
             return
-        of_all = {k: np.maximum(shared.reindex(pd.MultiIndex.from_product([[k], df.index])).fillna(0).to_numpy(float), 0.5) for k, df in (("p", begin), ("w", word))}
-        log_begin, log_word, log_left = [], [], []
+        of_all = {k: np.maximum(df.n.to_numpy(float), 0.5) for k, df in (("p", begin), ("w", word))}
+        log_begin, log_word, log_left, log_unseen = [], [], [], []
         at = begin.index.get_indexer(word.index.str[:PREFIX])
         within = of_all["w"] / of_all["p"][at]
         for toxic in (0, 1):
             (total_b, kept_b), (total_w, kept_w) = (totals.get((k, toxic), (1.0, 0.0)) for k in "pw")
             left_b, left_w = 1 - kept_b / total_b, 1 - kept_w / total_w
             b, w = (np.maximum(df[f"n{toxic}"].to_numpy(float) - DISCOUNT, 0) for df in (begin, word))
-            p = b / total_b + left_b * of_all["p"] / of_all["p"].sum()
+            p = b / total_b + left_b * of_all["p"] / max(everything, 1.0)
             log_begin.append(np.log(p))
             log_word.append(np.log(w / total_w + left_w * p[at] * np.minimum(within, 1)))
             log_left.append(np.log(left_w))
-        unseen = log_left[1] - log_left[0]
-        self.begin = dict(zip(begin.index, (log_begin[1] - log_begin[0] + unseen).tolist(), strict=True))
+            log_unseen.append(np.log(left_w) + np.log(left_b))
+        self.begin = dict(zip(begin.index, (log_begin[1] - log_begin[0] + log_left[1] - log_left[0]).tolist(), strict=True))
         self.word = dict(zip(word.index, (log_word[1] - log_word[0]).tolist(), strict=True))
-        self.unseen = float(unseen)
+        self.unseen = float(log_unseen[1] - log_unseen[0])
 
     def state(self) -> dict:
         return {"word": self.word, "begin": self.begin, "unseen": self.unseen, "coefficients": self.coefficients}
@@ -116,6 +120,24 @@ class Model:
         self.coefficients = w / scale
 
 
+def shared_counts(texts: DataFrame) -> DataFrame:
+    """kind (w or p), key, n: in how many texts each word and each beginning occurs; a row for all there are."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally: Counter = Counter()
+        for b in batches:
+            for t in b.text:
+                ws = set(words_of(t))
+                tally.update(("w", w) for w in ws)
+                tally.update(("p", w) for w in {w[:PREFIX] for w in ws})
+                if len(tally) > ROWS:
+                    yield pd.DataFrame([(*k, v) for k, v in tally.items()], columns=["kind", "key", "n"])
+                    tally.clear()
+        yield pd.DataFrame([(*k, v) for k, v in tally.items()], columns=["kind", "key", "n"])
+
+    return texts.select("text").mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
     """Learn from at most per_class labelled rows of each class that are not held out."""
     spark = docs.sparkSession
@@ -145,21 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
     tally = materialize(tally.agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1))), "toxic-counts")
     sums = tally.groupBy("kind").agg(*(f(k).alias(f"{name}{k}") for k in (0, 1) for name, f in (("all", lambda k: F.sum(f"n{k}")), ("kept", lambda k: F.sum(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)))))))
     totals = {(r["kind"], k): (float(max(r[f"all{k}"], 1)), float(r[f"kept{k}"])) for r in sums.collect() for k in (0, 1)}
+    shared = materialize(shared_counts(texts), "toxic-shared")
+    everything = shared.where(F.col("kind") == "p").agg(F.sum("n")).first()[0] or 0
     # a word that the discount takes from both classes scores as its beginning does, so it need not come
-    counts = tally.where((F.col("kind") == "p") | (F.greatest("n0", "n1") > DISCOUNT)).toArrow().to_pandas()
-    words, heads = (spark.sparkContext.broadcast(set(counts.key[counts.kind == k])) for k in "wp")
-
-    def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_words, of_heads = Counter(), Counter()
-        for b in batches:
-            for t in b.text:
-                ws = set(words_of(t))
-                of_words.update(ws & words.value)
-                of_heads.update({w[:PREFIX] for w in ws} & heads.value)
-        yield pd.DataFrame([("w", k, v) for k, v in of_words.items()] + [("p", k, v) for k, v in of_heads.items()], columns=["kind", "key", "n"])
-
-    shared = texts.select("text").mapInPandas(count_all, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    model = Model(counts, totals, shared.set_index(["kind", "key"])["n"])
+    counts = tally.where((F.col("kind") == "p") | (F.greatest("n0", "n1") > DISCOUNT)).join(shared, ["kind", "key"]).toArrow().to_pandas()
+    model = Model(counts, totals, float(everything))
     sent = spark.sparkContext.broadcast(model.state())
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -421,6 +421,34 @@ def test_many_moderate_words_are_evidence(spark):
     assert sum(caught) / len(caught) > 0.9 and sum(wrong) / len(wrong) < 0.03
 
 
+def test_shared_counts_are_those_of_all_texts(spark):
+    """Likelihoods by whole tables over every word, labelled or not, give the model's differences."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    known = {i: int(i % 3 == 0) for i in range(120)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels).state()
+    fold = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("fold")).collect()}
+    head = lambda w: w[: toxicity.PREFIX]
+    shared = Counter(w for t in texts for w in set(t.split()))
+    heads = Counter(h for t in texts for h in {head(w) for w in t.split()})
+    p = {}
+    for k in (0, 1):
+        mine = [set(texts[i].split()) for i, y in known.items() if y == k and zlib.crc32(str(i).encode()) % 3 != 1 and fold[i] > 0]
+        n, m = Counter(w for s in mine for w in s), Counter(h for s in mine for h in {head(w) for w in s})
+        kept = lambda c: sum(max(v - toxicity.DISCOUNT, 0) for v in c.values()) / sum(c.values())
+        of_head = {h: max(m[h] - toxicity.DISCOUNT, 0) / sum(m.values()) + (1 - kept(m)) * heads[h] / sum(heads.values()) for h in heads}
+        p[k] = {w: max(n[w] - toxicity.DISCOUNT, 0) / sum(n.values()) + (1 - kept(n)) * of_head[head(w)] * min(shared[w] / heads[head(w)], 1) for w in shared}
+    seen = 0
+    for w in shared:
+        got = model["word"].get(w, model["begin"].get(head(w), model["unseen"]))
+        seen += w not in model["word"]
+        assert abs(got - np.log(p[1][w] / p[0][w])) < 1e-9
+    assert 0 < seen < len(shared)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
