@@ -1,19 +1,21 @@
 """Toxicity scores from two class-conditional Kneser-Ney models.
 
-Each class has a unigram model of words over Kneser-Ney continuation counts: a word counts
-once for each context, here a text, that it occurs in, so a text that repeats itself adds
-nothing. The discounted mass of a class backs off to the class's model of word beginnings
+Each class has a bigram model: a word's likelihood after the word before it (START at the
+beginning) comes from the discounted number of the class's texts with that pair, and what the
+discount takes backs off to the class's model of single words. That is one of continuation
+counts: a word counts once for each context, here a text, that it occurs in, so a text that
+repeats itself adds nothing. The discounted mass of a class backs off to the class's model of word beginnings
 (PREFIX letters) times what all texts say of the words with that beginning; the beginnings
 back off to the counts of all texts. These shared counts smooth rare expressions: a word
 that a class has hardly seen gets the same likelihood from both classes, unless its beginning
-is telling. A text's log P_toxic - log P_ordinary is kept apart by the size of its words' differences
-(BANDS) and by sign, as subject matter and small samples make many small differences and few large
+is telling. A text's log P_toxic - log P_ordinary is kept apart by order (that of single words, and
+what the word before adds to it), by the size of its words' differences (BANDS) and by sign, as subject matter and small samples make many small differences and few large
 ones. A score is a logistic function of these sums over the square root of the words; what each
 band weighs is fitted on labelled texts that were kept out of the class counts, so no difference,
 however moderate, is thrown away.
 
 Bounds: the class counts come from at most `per_class` labelled rows of each class, so the
-words and beginnings that have class counts, and with them what is broadcast and what comes to
+pairs, words and beginnings that have class counts, and with them what is broadcast and what comes to
 the driver, are bounded by that parameter. The shared counts are a distributed table of all
 words and beginnings of all texts, joined to the class counts. A word without class counts has
 the same shared factor in both classes, which its ratio loses; so that its ratio is its
@@ -44,6 +46,7 @@ ROWS = 200_000  # counts that a task holds before it hands them on
 DISCOUNT = 1.5  # what one text alone says of a class does not count
 BANDS = np.array([1.0, 2.0, 3.0, 4.0])  # nats; sums of differences between these are weighed apart
 WIDTH = 2 * (len(BANDS) + 1)  # bands by sign
+START = "^"  # no word, as words are letters
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
 
@@ -59,14 +62,29 @@ def by_band(d: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def features(model: dict, texts: list[str]) -> np.ndarray:
-    """For each text: 1, and the differences by band over the square root of the words."""
+    """For each text: 1, and by order the differences by band over the square root of the words."""
     word, begin, unseen = model["word"].get, model["begin"].get, model["unseen"]
-    length, d = np.zeros(len(texts), int), []
+    start, unknown = model["start"], model["start"] + 1
+    length, at, before, d = np.zeros(len(texts), int), [], [], []
     for i, t in enumerate(texts):
         ws = words_of(t)
         length[i] = len(ws)
-        d.extend(begin(w[:PREFIX], unseen) if (x := word(w)) is None else x for w in ws)
-    sums = by_band(np.array(d, float), np.repeat(np.arange(len(texts)), length), len(texts))
+        if ws:
+            ids = [word(w, unknown) for w in ws]
+            at += ids
+            before.append(start)
+            before += ids[:-1]
+            d += [begin(w[:PREFIX], unseen) if k == unknown else 0.0 for w, k in zip(ws, ids, strict=True)]
+    text = np.repeat(np.arange(len(texts)), length)
+    at, before = np.array(at, np.int64), np.array(before, np.int64)
+    single = np.array(d, float) + model["of_word"][at]
+    pairs, of_pair = model["pairs"], model["of_pair"]
+    key = (before << 32) | at
+    found = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
+    hit = pairs[found] == key if len(pairs) else np.zeros(len(key), bool)
+    added = model["of_context"][before]
+    added[hit] = of_pair[found[hit]]
+    sums = np.column_stack([by_band(x, text, len(texts)) for x in (single, added)])
     return np.column_stack([np.ones(len(texts)), sums / np.sqrt(np.maximum(length, 1))[:, None]])
 
 
@@ -75,12 +93,13 @@ def scores(model: dict, texts: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Differences of log-likelihoods by word and by beginning."""
+    """Differences of log-likelihoods by word and by beginning, and what the word before adds to them."""
 
-    def __init__(self, counts: pd.DataFrame, totals: dict[tuple[str, int], tuple[float, float]], everything: float) -> None:
-        """counts: kind (w or p), key, n0, n1 of the sample and n of all texts; totals: by kind and class, the sum of n0 or n1 and of what the discount leaves; everything: the sum of n over all beginnings of all texts."""
+    def __init__(self, counts: pd.DataFrame, totals: dict[tuple[str, int], tuple[float, float]], everything: float, pairs: pd.DataFrame, contexts: pd.DataFrame) -> None:
+        """pairs: key (two words), n0, n1 of the sample; contexts: key (the first), all0, all1, kept0, kept1, sums over all its pairs of n and of what the discount leaves; counts: kind (w or p), key, n0, n1 of the sample and n of all texts; totals: by kind and class, the sum of n0 or n1 and of what the discount leaves; everything: the sum of n over all beginnings of all texts."""
         self.begin, self.word, self.unseen = {}, {}, 0.0
-        self.coefficients = np.zeros(1 + WIDTH)
+        self.of_word, self.of_context, self.pairs, self.of_pair = np.zeros(2), np.zeros(2), np.zeros(0, np.int64), np.zeros(0)
+        self.coefficients = np.zeros(1 + 2 * WIDTH)
         begin, word = (counts[counts.kind == k].set_index("key") for k in "pw")
         if begin.empty:
             return
@@ -98,11 +117,29 @@ class Model:
             log_left.append(np.log(left_w))
             log_unseen.append(np.log(left_w) + np.log(left_b))
         self.begin = dict(zip(begin.index, (log_begin[1] - log_begin[0] + log_left[1] - log_left[0]).tolist(), strict=True))
-        self.word = dict(zip(word.index, (log_word[1] - log_word[0]).tolist(), strict=True))
+        self.word = dict(zip(word.index, range(len(word)), strict=True))
+        self.of_word = np.concatenate([log_word[1] - log_word[0], [0.0, 0.0]])  # START and words without a number add nothing
+        self._add_pairs(pairs, contexts, log_word)
         self.unseen = float(log_unseen[1] - log_unseen[0])
 
+    def _add_pairs(self, pairs: pd.DataFrame, contexts: pd.DataFrame, log_word: list[np.ndarray]) -> None:
+        start, number = len(self.word), pd.Series({**self.word, START: len(self.word)})
+        left = np.ones((2, start + 2))  # of a context without pairs all is left to the single words
+        totals = np.ones((2, start + 2))
+        at = number.reindex(contexts.key).to_numpy(int)
+        for k in (0, 1):
+            totals[k, at] = np.maximum(contexts[f"all{k}"].to_numpy(float), 1)
+            left[k, at] = 1 - contexts[f"kept{k}"].to_numpy(float) / totals[k, at]
+        self.of_context = np.log(left[1] / left[0])
+        both = pairs.key.str.split(" ", expand=True).reindex(columns=[0, 1])
+        first, second = (number.reindex(both[c]).to_numpy(int) for c in (0, 1))
+        p = [np.maximum(pairs[f"n{k}"].to_numpy(float) - DISCOUNT, 0) / totals[k, first] + left[k, first] * np.exp(log_word[k][second]) for k in (0, 1)]
+        key = (first.astype(np.int64) << 32) | second
+        order = np.argsort(key)
+        self.pairs, self.of_pair = key[order], (np.log(p[1] / p[0]) - self.of_word[second])[order]
+
     def state(self) -> dict:
-        return {"word": self.word, "begin": self.begin, "unseen": self.unseen, "coefficients": self.coefficients}
+        return {"start": len(self.word), "of_word": self.of_word, "of_context": self.of_context, "pairs": self.pairs, "of_pair": self.of_pair, "word": self.word, "begin": self.begin, "unseen": self.unseen, "coefficients": self.coefficients}
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, prior: float) -> None:
         """Logistic coefficients by Newton's method with a weak prior; then moved from the sample's share of toxic texts to the labels'."""
@@ -110,7 +147,7 @@ class Model:
             return
         scale = np.maximum(x.std(0), 1e-9)
         scale[0] = 1
-        z, w, ridge = x / scale, np.zeros(x.shape[1]), np.full(x.shape[1], 0.1)
+        z, w, ridge = x / scale, np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
         ridge[0] = 1e-6
         for _ in range(100):
             q = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
@@ -158,20 +195,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
         tally: Counter = Counter()
         for b in batches:
             for toxic, t in zip(b.toxic[b.fold > 0], b.text[b.fold > 0], strict=True):
-                ws = set(words_of(t))
+                said = words_of(t)
+                ws = set(said)
+                tally.update((toxic, "b", f"{u} {v}") for u, v in set(zip([START, *said], said, strict=False)))
                 tally.update((toxic, "w", w) for w in ws)
                 tally.update((toxic, "p", w) for w in {w[:PREFIX] for w in ws})
+                if len(tally) > ROWS:
+                    yield pd.DataFrame([(int(t), k, w, v) for (t, k, w), v in tally.items()], columns=["toxic", "kind", "key", "n"])
+                    tally.clear()
         yield pd.DataFrame([(int(t), k, w, v) for (t, k, w), v in tally.items()], columns=["toxic", "kind", "key", "n"])
 
     tally = chosen.mapInPandas(count, "toxic int, kind string, key string, n long").groupBy("kind", "key")
     tally = materialize(tally.agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1))), "toxic-counts")
-    sums = tally.groupBy("kind").agg(*(f(k).alias(f"{name}{k}") for k in (0, 1) for name, f in (("all", lambda k: F.sum(f"n{k}")), ("kept", lambda k: F.sum(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)))))))
+    measures = [f(k).alias(f"{name}{k}") for k in (0, 1) for name, f in (("all", lambda k: F.sum(f"n{k}")), ("kept", lambda k: F.sum(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)))))]
+    sums = tally.groupBy("kind").agg(*measures)
     totals = {(r["kind"], k): (float(max(r[f"all{k}"], 1)), float(r[f"kept{k}"])) for r in sums.collect() for k in (0, 1)}
+    of_pairs = tally.where(F.col("kind") == "b")
+    # a context that the discount leaves no pair adds nothing
+    contexts = of_pairs.groupBy(F.substring_index("key", " ", 1).alias("key")).agg(*measures).where(F.col("kept0") + F.col("kept1") > 0).toArrow().to_pandas()
+    pairs = of_pairs.where(F.greatest("n0", "n1") > DISCOUNT).select("key", "n0", "n1").toArrow().to_pandas()
     shared = materialize(shared_counts(texts), "toxic-shared")
     everything = shared.where(F.col("kind") == "p").agg(F.sum("n")).first()[0] or 0
     # a word that the discount takes from both classes scores as its beginning does, so it need not come
-    counts = tally.where((F.col("kind") == "p") | (F.greatest("n0", "n1") > DISCOUNT)).join(shared, ["kind", "key"]).toArrow().to_pandas()
-    model = Model(counts, totals, float(everything))
+    counts = tally.where((F.col("kind") == "p") | ((F.col("kind") == "w") & (F.greatest("n0", "n1") > DISCOUNT))).join(shared, ["kind", "key"]).toArrow().to_pandas()
+    model = Model(counts, totals, float(everything), pairs, contexts)
     sent = spark.sparkContext.broadcast(model.state())
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

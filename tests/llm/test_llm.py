@@ -443,12 +443,33 @@ def test_shared_counts_are_those_of_all_texts(spark):
         p[k] = {w: max(n[w] - toxicity.DISCOUNT, 0) / sum(n.values()) + (1 - kept(n)) * of_head[head(w)] * min(shared[w] / heads[head(w)], 1) for w in shared}
     seen = 0
     for w in shared:
-        got = model["word"].get(w, model["begin"].get(head(w), model["unseen"]))
+        got = model["of_word"][model["word"][w]] if w in model["word"] else model["begin"].get(head(w), model["unseen"])
         seen += w not in model["word"]
         assert abs(got - np.log(p[1][w] / p[0][w])) < 1e-9
     assert 0 < seen < len(shared)
 
 
+def test_expressions_of_ordinary_words_are_evidence(spark):
+    """All texts have the same words at the same rates; toxic ones have some of them in another order."""
+    rng = random.Random(13)
+    plain, firsts, seconds = ([f"{x}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)] for x, n in (("wort", 150), ("erst", 6), ("zweit", 6)))
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 4 == 0
+        words = [rng.choice(plain) for _ in range(rng.randint(40, 80))]
+        for _ in range(4):
+            k = rng.randrange(len(words))
+            words[k:k] = [rng.choice(firsts), rng.choice(seconds)][:: 1 if toxic else -1]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
+    held = [d for d, _ in labels if zlib.crc32(str(d).encode()) % 3 == 1]
+    caught = [got[d] >= toxicity.THRESHOLD for d in held if d % 4 == 0]
+    wrong = [got[d] >= toxicity.THRESHOLD for d in held if d % 4]
+    assert sum(caught) / len(caught) > 0.9 and sum(wrong) / len(wrong) < 0.03
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
