@@ -8,14 +8,16 @@ the middle of the alphabet (Wald-Wolfowitz), and for correlation of neighbours.
 p-values are combined by Fisher's method: a token that is not random at RANDOM_LEVEL is out.
 
 Being random is not yet a discovery, as short ordinary strings pass too. So each token also
-gets a p-value under the hypothesis that it is ordinary: the share of equal pairs among its
-characters is compared with what ordinary strings of that encoding have, with the spread that
-such a share has at the token's length. Short tokens cannot reach small p-values, which makes
-the control length-aware. Over all tokens of the corpus, Benjamini-Hochberg at FALSE_SHARE
-turns these p-values into one cutoff.
+gets a p-value under the hypothesis that it is ordinary: the battery's chi-squared score is held
+against its mean and deviation in ordinary strings of that encoding and length. (The scores of
+runs and neighbours are alike in ordinary and in random strings, within half a deviation, so
+they can veto a token but say nothing for it.) Short tokens cannot reach small p-values, which
+makes the control length-aware. Within each encoding and band of lengths, Benjamini-Hochberg at
+FALSE_SHARE turns these p-values into a cutoff, so many ordinary tokens of one kind do not
+hide the secrets of another.
 
 All is DataFrame functions: no Python runs on the executors. Texts are read once; what goes
-on is spans and tokens. The cutoff comes from counts by bins of log p, a table of fixed size.
+on is spans and tokens. The cutoffs come from counts by bins of log p, a table of fixed size.
 
 Edge cases: null is an empty text without spans. Spans count code points, ends are exclusive.
 Tokens that overlap a base span are not added. Rows are kept as they are, repeated or not.
@@ -43,12 +45,16 @@ RUN = r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN
 RANDOM_LEVEL = 0.001
 FALSE_SHARE = 0.01
 BINS = 50  # of ln p, for one unit
-# by encoding: pattern, alphabet, and of ordinary strings the sums of squared and of cubed character frequencies
+BANDS = (28, 36, 48)  # lengths at which strata begin
+MOST = 48  # length beyond which a mean of ordinary strings is not taken to grow
+# by encoding: pattern, alphabet, and of the chi-squared score z in ordinary strings of n characters the slope and shift of
+# the mean, slope * sqrt(n) + shift, and the deviation; fitted to runs in Python sources (base64), to joined words (lower
+# case, base32) and worked out for digits (hex)
 ENCODINGS = (
-    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.1, 0.01),
-    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, 0.0053),
-    ("lower", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz", 0.066, 0.0053),
-    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.06, 0.005),
+    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.71, -1.36, 0.9),
+    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.99, -2.63, 1.05),
+    ("lower", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz", 0.77, -2.22, 1.05),
+    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.03, -5.75, 1.6),
 )
 
 
@@ -90,18 +96,18 @@ def _pick(x: Column, values: list) -> Column:
 
 
 def battery(tokens: Column) -> Column:
-    """Each token's span with the p-values p_random (Fisher over three tests) and p_ordinary."""
+    """Each token's span and stratum (alphabet and band of lengths) with the p-values p_random (Fisher over three tests) and p_ordinary."""
     clean = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.translate(F.regexp_replace(x["value"], "=+$", ""), "-_", "+/").alias("t")))
     clean = F.transform(clean, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["t"].rlike("^[0-9A-F]+$"), F.lower(x["t"])).otherwise(x["t"]).alias("t")))
     clean = F.filter(clean, lambda x: F.length(x["t"]) >= 8)
-    coded = F.transform(clean, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["t"].alias("t"), _pick(x["t"], [e[2] for e in ENCODINGS]).alias("alphabet"), _pick(x["t"], [e[3] for e in ENCODINGS]).alias("squares"), _pick(x["t"], [e[4] for e in ENCODINGS]).alias("cubes")))
+    coded = F.transform(clean, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["t"].alias("t"), _pick(x["t"], [e[2] for e in ENCODINGS]).alias("alphabet"), *(_pick(x["t"], [e[i] for e in ENCODINGS]).alias(c) for i, c in enumerate(("slope", "shift", "deviation"), 3))))
 
     def numbers(x: Column) -> Column:
         n = F.length(x["t"]).cast("double")
         index = F.transform(F.filter(F.split(x["t"], ""), lambda c: c != ""), lambda c: F.greatest(F.instr(x["alphabet"], c) - 1, F.lit(0)).cast("double"))
         counts = F.transform(F.filter(F.split(x["alphabet"], ""), lambda c: c != ""), lambda c: (F.length(x["t"]) - F.length(F.replace(x["t"], c, F.lit("")))).cast("double"))
         squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), index.alias("index"), squares.alias("pairs"), x["squares"].alias("squares"), x["cubes"].alias("cubes"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), index.alias("index"), squares.alias("pairs"), *(x[c].alias(c) for c in ("slope", "shift", "deviation")))
 
     def sums(x: Column) -> Column:
         mean = F.aggregate(x["index"], F.lit(0.0), lambda a, v: a + v) / x["n"]
@@ -111,7 +117,7 @@ def battery(tokens: Column) -> Column:
             x["index"], begin,
             lambda a, v: F.struct((a["above"] + F.when(v >= middle, 1.0).otherwise(0.0)).alias("above"), (a["runs"] + F.when((a["last"] < 0) | ((a["last"] >= middle) != (v >= middle)), 1.0).otherwise(0.0)).alias("runs"), v.alias("last")),
         )
-        return F.struct(*(x[c].alias(c) for c in ("start", "end", "n", "k", "index", "pairs", "squares", "cubes")), mean.alias("mean"), walk.alias("walk"))
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "n", "k", "index", "pairs", "slope", "shift", "deviation")), mean.alias("mean"), walk.alias("walk"))
 
     def moments(x: Column) -> Column:
         spread = F.aggregate(x["index"], F.lit(0.0), lambda a, v: a + (v - x["mean"]) * (v - x["mean"]))
@@ -125,16 +131,16 @@ def battery(tokens: Column) -> Column:
         variance = F.greatest((expected - 1) * (expected - 2) / (x["n"] - 1), F.lit(1e-9))
         z_runs = F.when((above == 0) | (below == 0), F.sqrt(x["n"])).otherwise((x["walk"]["runs"] - expected) / F.sqrt(variance))
         z_serial = F.when(spread > 0, lagged / F.greatest(spread, F.lit(1e-9)) * F.sqrt(x["n"])).otherwise(F.sqrt(x["n"]))
-        coincidence = (x["pairs"] - x["n"]) / (x["n"] * (x["n"] - 1))
-        deviation = F.sqrt(4 * F.greatest(x["cubes"] - x["squares"] * x["squares"], F.lit(0.0)) / x["n"] + 2 * (x["squares"] - x["squares"] * x["squares"]) / (x["n"] * (x["n"] - 1)))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), ((x["squares"] - coincidence) / deviation).alias("ordinary"))
+        ordinary = (x["slope"] * F.sqrt(F.least(x["n"], F.lit(float(MOST)))) + x["shift"] - z_chi) / x["deviation"]
+        stratum = (x["k"] * 10 + sum(F.when(x["n"] >= b, 1).otherwise(0) for b in BANDS)).cast("int")
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), stratum.alias("stratum"), z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), ordinary.alias("ordinary"))
 
     def combined(x: Column) -> Column:
         logs = F.ln(upper_tail(x["chi"])) + F.ln(F.least(2 * upper_tail(F.abs(x["runs"])), F.lit(1.0))) + F.ln(F.least(2 * upper_tail(F.abs(x["serial"])), F.lit(1.0)))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), (-logs).alias("h"), upper_tail(x["ordinary"]).alias("p_ordinary"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["stratum"].alias("stratum"), (-logs).alias("h"), upper_tail(x["ordinary"]).alias("p_ordinary"))
 
     def fisher(x: Column) -> Column:
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), (F.exp(-x["h"]) * (1 + x["h"] + x["h"] * x["h"] / 2)).alias("p_random"), x["p_ordinary"].alias("p_ordinary"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["stratum"].alias("stratum"), (F.exp(-x["h"]) * (1 + x["h"] + x["h"] * x["h"] / 2)).alias("p_random"), x["p_ordinary"].alias("p_ordinary"))
 
     out = coded
     for f in (numbers, sums, moments, combined, fisher):
@@ -154,27 +160,34 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     base = F.concat("assign", "access", "hex")
     free = F.filter("runs", lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.select("doc_id", "assign", "access", "hex", F.when(F.size(free) > 0, battery(free)).otherwise(F.array().cast("array<struct<start: bigint, end: bigint, p_random: double, p_ordinary: double>>")).alias("tested"))
+    return found.select("doc_id", "assign", "access", "hex", F.when(F.size(free) > 0, battery(free)).otherwise(F.array().cast("array<struct<start: bigint, end: bigint, stratum: int, p_random: double, p_ordinary: double>>")).alias("tested"))
 
 
-def cutoff(scanned: DataFrame, false_share: float = FALSE_SHARE) -> float:
-    """The largest p that Benjamini-Hochberg admits, on bins of ln p (each bin counts as its upper end); 0 if none."""
-    p = scanned.select(F.explode("tested").alias("t")).select(F.ceil(F.ln("t.p_ordinary") * BINS).alias("bin"))
-    bins = p.groupBy("bin").agg(F.count("*").alias("n"))  # at most 700 * BINS rows
-    ranked = bins.select("bin", F.sum("n").over(Window.orderBy("bin")).alias("rank"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("m"))
-    top = ranked.select(F.exp(F.col("bin") / BINS).alias("p"), "rank", "m").where(F.col("p") * F.col("m") <= false_share * F.col("rank")).agg(F.max("p")).first()[0]
-    return top or 0.0
+def cutoffs(scanned: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, float]:
+    """By stratum, the largest p that Benjamini-Hochberg admits, on bins of ln p (each bin counts as its upper end); none where it admits none."""
+    p = scanned.select(F.explode("tested").alias("t")).select("t.stratum", F.ceil(F.ln("t.p_ordinary") * BINS).alias("bin"))
+    bins = p.groupBy("stratum", "bin").agg(F.count("*").alias("n"))  # at most 700 * BINS rows a stratum
+    own = Window.partitionBy("stratum")
+    ranked = bins.select("stratum", "bin", F.sum("n").over(own.orderBy("bin")).alias("rank"), F.sum("n").over(own).alias("m"))
+    top = ranked.select("stratum", F.exp(F.col("bin") / BINS).alias("p"), "rank", "m").where(F.col("p") * F.col("m") <= false_share * F.col("rank")).groupBy("stratum").agg(F.max("p").alias("p"))
+    return {r["stratum"]: r["p"] for r in top.collect()}  # a row for each of 16 strata at most
 
 
 def secrets(docs: DataFrame, random_level: float = RANDOM_LEVEL, false_share: float = FALSE_SHARE) -> DataFrame:
     """doc_id, base and added spans (kind, start, end), each sorted by start and kind."""
     scanned = materialize(scan(docs), "secrets")
-    most = cutoff(scanned, false_share)
+    most = cutoffs(scanned, false_share)
+
+    def admitted(x: Column) -> Column:
+        out = F.lit(False)
+        for stratum, p in most.items():
+            out = out | ((x["stratum"] == stratum) & (x["p_ordinary"] <= p))
+        return out
 
     def as_kind(column: Column, kind: str) -> Column:
         return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), x["end"].alias("end")))
 
-    added = F.filter("tested", lambda x: (x["p_random"] >= random_level) & (x["p_ordinary"] <= most))
+    added = F.filter("tested", lambda x: (x["p_random"] >= random_level) & admitted(x))
     base = F.concat(*(as_kind(F.col(k), k) for k in KINDS[:3]))
     return scanned.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), F.size(added).cast("long").alias("n_random"), F.array_sort(base).alias("base"), F.array_sort(F.concat(base, as_kind(added, "random"))).alias("all"))
 

@@ -305,6 +305,28 @@ def test_secret_spans(spark):
     assert got == {0: 1, 1: 0, 2: 0, 3: 0}
 
 
+def test_keys_among_many_ordinary_runs(spark):
+    rng = random.Random(14)
+    said = "get set user name list index file path error value count time start parse state load write cache token queue worker remote update config".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, kind = [], {}
+
+    def add(run, what):
+        kind[len(rows)] = what
+        rows.append(f"see {run} here")
+
+    for _ in range(4000):
+        words = [rng.choice(said) for _ in range(rng.randint(5, 9))]
+        add(rng.choice(["_".join(words), "-".join(words), "/".join(words), "".join(w.title() for w in words)]) + rng.choice(["", "", str(rng.randint(1, 99))]), 0)
+    for n in (32, 40):
+        for _ in range(60):
+            add("".join(rng.choice(letters) for _ in range(n)), n)
+    got = {r["doc_id"]: r["n_random"] for r in secrets.secrets(frame(spark, rows)).collect()}
+    found = Counter(kind[d] for d, n in got.items() if n)
+    print(found)
+    assert found[40] >= 0.8 * 60 and found[32] >= 0.5 * 60 and found[0] <= 0.03 * found.total()
+
+
 # -- 8 -----------------------------------------------------------------------------------------
 
 
