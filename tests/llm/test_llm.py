@@ -279,6 +279,25 @@ def test_licences_are_those_of_brute_force():
         assert {m[0]: m[1] for m in known.match(text)} == want
 
 
+@pytest.mark.parametrize("name", licenses.WHOLE)
+def test_whole_licences_are_found_under_their_name(name):
+    whole = dict(licenses.TEMPLATES[-len(licenses.WHOLE) :])[name]
+    known = licenses.Templates(licenses.TEMPLATES, licenses.LEAST)
+    for text in (whole, f"Copyright 2024 Acme Corp and others. Read this first. {' '.join(whole.split())} And here goes on what is no licence at all."):
+        best = max(known.match(text), key=lambda m: (m[1], m[4] - m[3]))
+        assert best[0] == name and best[4] - best[3] > 0.9 * len(" ".join(whole.split()))
+
+
+def test_notices_amid_other_words():
+    known = licenses.Templates(licenses.TEMPLATES, licenses.LEAST)
+    text = "Copyright 2024 Acme Corp and contributors. Released under the MIT License."
+    ((name, score, unit, start, end),) = known.match(text)
+    assert (name, score, unit, text[start:end]) == ("MIT", 1.0, "window", "Released under the MIT License")
+    (match,) = known.match("This work is licensed under the GNU General Public License, version 3.")
+    assert match[:2] == ("GPL-3.0", 1.0)
+    assert known.match("The wind was of the kind that the people of the coast know in the spring of the year. " * 50) == []
+
+
 # -- 7 -----------------------------------------------------------------------------------------
 
 
