@@ -258,6 +258,12 @@ def pooled_time_split(spark, sf_dir):
     return split.agg(F.count(F.when(F.col("part") == "fit", 1)).alias("fit"), F.count(F.when(F.col("part") == "eval", 1)).alias("later"))
 
 
+@query(f"WITH {SCORES}, o AS (SELECT *, row_number() OVER (ORDER BY end_time, resource_id, window_id) AS rn, count(*) OVER () AS n FROM scores) SELECT count(*) FILTER (rn <= n // 2) AS fit, count(*) FILTER (rn > n // 2 + 12) AS later FROM o")
+def pooled_time_split_whole(spark, sf_dir):
+    split = scoring.time_split(_scores(spark, sf_dir), 12, per_resource=False)
+    return split.agg(F.count(F.when(F.col("part") == "fit", 1)).alias("fit"), F.count(F.when(F.col("part") == "eval", 1)).alias("later"))
+
+
 HEALTHY = f"{SPLIT}, t AS (SELECT quantile_cont(error, {QUANTILE}) AS threshold, count(*) AS n_fit FROM split WHERE part = 'fit')"
 
 
@@ -563,7 +569,16 @@ def pca_scores(spark, sf_dir):
 @query("""WITH x AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms, value, event_id FROM events WHERE event_id % 10 = 0)
 SELECT CAST(user_id AS VARCHAR) AS resource_id, name AS metric_name, ms, round(CASE name WHEN 'value' THEN value ELSE CAST(event_id AS DOUBLE) END, 6) AS value FROM x, (VALUES ('value'), ('id')) v(name) WHERE NOT (name = 'value' AND event_id % 3 = 0)""")
 def vendor_unpivot(spark, sf_dir):
-    events = event_metrics(spark, sf_dir).where(F.col("ordinal") % 10 == 0)
+    return _unpivoted(event_metrics(spark, sf_dir).where(F.col("ordinal") % 10 == 0))
+
+
+@query("""WITH x AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms, value, event_id FROM events)
+SELECT CAST(user_id AS VARCHAR) AS resource_id, name AS metric_name, ms, round(CASE name WHEN 'value' THEN value ELSE CAST(event_id AS DOUBLE) END, 6) AS value FROM x, (VALUES ('value'), ('id')) v(name) WHERE NOT (name = 'value' AND event_id % 3 = 0)""")
+def vendor_unpivot_whole(spark, sf_dir):
+    return _unpivoted(event_metrics(spark, sf_dir))
+
+
+def _unpivoted(events: DataFrame) -> DataFrame:
     cell = F.when(F.col("ordinal") % 3 == 0, "No Data").otherwise(F.col("value").cast("string"))
     payload = events.select("resource_id", F.lit("h").alias("host_name"), F.lit("ds").alias("datasource_name"), F.lit("i").alias("datasource_instance"), F.array(F.lit("value"), F.lit("id")).alias("data_points"), F.array(F.unix_millis("timestamp")).alias("time"), F.array(F.array(cell, F.col("ordinal").cast("string"))).alias("values"))
     return unpivot_payload(payload).select("resource_id", "metric_name", F.unix_millis("timestamp").alias("ms"), F.round("value", 6).alias("value"))
