@@ -488,6 +488,14 @@ def interval_anomaly(spark, sf_dir):
     return rounded(out.select("resource_id", "timestamp", "score", F.array_join("violated", ",").alias("violated"), "severity"))
 
 
+# ln(1 + score) compares scores by relative precision, as intervals of no width give 1e10 and more
+@query(f"""WITH {FC}, v AS (SELECT *, greatest((actual - upper) / greatest(upper - lower, 1e-10), (lower - actual) / greatest(upper - lower, 1e-10), 0) AS x FROM f), g AS (SELECT resource_id, timestamp, max(x) AS score, coalesce(string_agg(CASE WHEN x > 0 THEN metric_name END, ',' ORDER BY metric_name), '') AS violated FROM v GROUP BY 1, 2)
+SELECT resource_id, CAST(epoch(timestamp) AS BIGINT) AS timestamp, round(ln(1 + score), 4) AS log_score, violated, CASE WHEN score >= 2 THEN 'critical' WHEN score >= 1 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS severity FROM g""")
+def interval_anomaly_whole(spark, sf_dir):
+    out = forecast.interval_anomaly(_forecasts(spark, sf_dir), ["resource_id", "timestamp"])
+    return rounded(out.select("resource_id", "timestamp", F.round(F.log1p("score"), 4).alias("log_score"), F.array_join("violated", ",").alias("violated"), "severity"))
+
+
 @query(f"WITH {FC} SELECT resource_id, metric_name, CAST(epoch(timestamp) AS BIGINT) AS timestamp, round(actual - median, 6) AS residual, round(upper - lower, 6) AS width FROM f")
 def residual_features(spark, sf_dir):
     return rounded(forecast.residuals(_forecasts(spark, sf_dir)).select("resource_id", "metric_name", "timestamp", "residual", "width"))
