@@ -12,15 +12,25 @@ weighted Jaccard similarity. Unit cells serve here in place of dyadic regions be
 weights are counts.
 
 Bands of 6 coordinates (each coordinate in two bands) make candidates; a pair of similarity 0.8
-shares none of 40 bands with a probability of about 1e-5. Candidates are verified exactly.
+shares none of 40 bands with a probability of about 1e-5. Four bits of each coordinate, the
+sketch, tell most candidates that are not similar from those that may be (MISS is how often a
+pair at the limit is lost by that); the rest are verified exactly.
 
 Groups are never expanded into pairs. Copies are one class from the start. In a band, classes
-are compared with a leader. Only where members of a band still lie in different components
-are these compared with each other: directly if that makes at most SMALL pairs for each member,
-else first split by their other bands (a true pair shares a second one as surely as the first),
-again and again. So no link is given up for the size of a group.
+are compared with a leader, in a few bands first and then in all. What then still shares a band
+but lies in different components is compared as follows, and no link is given up for the size
+of a group:
 
-Classes are named by xxhash64 of the text: two of n texts collide with probability n*n/2**65.
+- bands of at most SMALL classes: each pair of different components, by sketch inside the join;
+- classes of larger bands: by their rarest cells. Two texts of n and m cells that are similar
+  share at least o = (n + m) s / (1 + s) cells, so in any order of all cells the first n - o + 1
+  of one and the first m - o + 1 of the other have one in common. Cells are ordered by how often
+  the classes at hand have them (a table of SLOTS counts, hence of fixed size; any order is
+  right, a rare-first order is fast). Variants of one template, which have bands in common but
+  each its own changes, then have no candidates unless they share changes. Groups of one cell
+  and size are compared with their leader and then, where components differ, in blocks.
+
+Classes are named by numbers; texts are matched by two 64-bit hashes.
 
 Edge cases: null is an empty text; all texts without words are alike only if they are copies.
 Texts of fewer than five words have one shingle of all words. class_id is the least doc_id of
@@ -30,15 +40,16 @@ rows stay. Only doc_id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from brightwell.llm.common import U64, batches_of, fresh, id_and_text, materialize, mix, prefix_hash, read, span_hash
+from brightwell.llm.common import U64, batches_of, discard, fresh, id_and_text, materialize, mix, prefix_hash, read, span_hash, text_key
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -46,7 +57,14 @@ K = 120
 ROWS = 6
 FIRST_BANDS = 6
 SMALL = 64
-BROADCAST_IDS = 500_000  # 8 bytes each
+BLOCK = 4096  # members of a group of one rare cell that are compared at once
+HOT = 4096  # pairs of one leader that one task verifies
+MISS = 1e-6
+PLANES = 4  # bits of each coordinate in a sketch
+WORDS_64 = -(-K // 64)
+SLOTS = 1 << 20  # 8 MB when broadcast
+GROWTH = 1.05  # of a class of sizes to the next
+BROADCAST_IDS = 100_000  # 32 bytes each
 CHUNK = 1_500_000  # bytes of text handled at once
 PAIRS, TEXTS = 200, 2000  # rows that Python gets at once: a leader's text comes again with each of its pairs
 
@@ -141,6 +159,37 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return mix(out + np.arange(1, len(rows) + 1, dtype=U64)).view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """The low four bits of all coordinates: a number for each bit and 64 coordinates."""
+    out = np.zeros((len(signature), PLANES, WORDS_64), U64)
+    for plane in range(PLANES):
+        bits = signature >> U64(plane) & U64(1)
+        for w in range(WORDS_64):
+            part = bits[:, w * 64 : w * 64 + 64]
+            out[:, plane, w] = np.bitwise_or.reduce(part << np.arange(part.shape[1], dtype=U64), axis=1)
+    return out.reshape(len(signature), -1).view(np.int64)
+
+
+def tolerance(similar: float) -> int:
+    """In how many coordinates two sketches may differ: more is rarer than MISS at that similarity."""
+    p, tail, m = (1 - similar) * (1 - 0.5**PLANES), 1.0, -1
+    while tail > MISS and m < K:
+        m += 1
+        tail -= math.comb(K, m) * p**m * (1 - p) ** (K - m)
+    return m
+
+
+def differing(left: Column, right: Column) -> Column:
+    """In how many coordinates two sketches differ."""
+    total = F.lit(0)
+    for w in range(WORDS_64):
+        x = left[w].bitwiseXOR(right[w])
+        for plane in range(1, PLANES):
+            x = x.bitwiseOR(left[plane * WORDS_64 + w].bitwiseXOR(right[plane * WORDS_64 + w]))
+        total = total + F.bit_count(x)
+    return total
+
+
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     a = size = 0
     for i, t in enumerate(texts):
@@ -153,18 +202,20 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row for each distinct text: cid, first_id, bands (empty if it has no words). docs: doc_id, cid, text."""
+    """One row for each distinct text: k1, k2, first_id, cells (how many), sketch, bands (empty if it has no words). docs: doc_id, k1, k2, text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw = [t.encode("utf-8", "surrogatepass") for t in b.text]
             for a, z in _chunks(raw):
                 owner, cell, n = cells(raw[a:z])
-                bands = bands_of(signatures(owner, cell, n))
-                yield pd.DataFrame({"cid": b.cid.to_numpy()[a:z], "doc_id": b.doc_id.iloc[a:z].astype("Int64").array, "bands": [x if m else [] for x, m in zip(bands, n, strict=True)]})
+                signature = signatures(owner, cell, n)
+                bands = bands_of(signature)
+                keys = {"k1": b.k1.to_numpy()[a:z], "k2": b.k2.to_numpy()[a:z], "doc_id": b.doc_id.iloc[a:z].astype("Int64").array}
+                yield pd.DataFrame(keys | {"cells": n, "sketch": list(sketches(signature)), "bands": [x if m else [] for x, m in zip(bands, n, strict=True)]})
 
-    made = docs.select("cid", "doc_id", "text").mapInPandas(run, "cid long, doc_id long, bands array<long>")
-    return made.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+    made = docs.select("k1", "k2", "doc_id", "text").mapInPandas(run, "k1 long, k2 long, doc_id long, cells long, sketch array<long>, bands array<long>")
+    return made.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("cells", "sketch", "bands")))
 
 
 def weighted_jaccard(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -192,17 +243,39 @@ def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def linked(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Of distinct (a, b) pairs of classes, those whose texts are similar. docs: doc_id, cid, text."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = materialize(wanted, "near-wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = materialize(docs.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text")), "near-texts")
-    one = pairs.join(texts.toDF("b", "right"), "b")
-    both = one.join(texts.toDF("a", "left"), "a")
+def _texts_of(cids: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, text) of the classes cids, written. docs: doc_id, k1, k2, text."""
+    wanted = materialize(known.select("cid", "k1", "k2", "first_id").join(cids, "cid", "left_semi"), "near-wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    side = F.broadcast(wanted) if few else wanted
+    found = docs.join(side.withColumnsRenamed({"k1": "x1", "k2": "x2"}), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = materialize(found.groupBy("cid").agg(F.min("text").alias("text")), "near-texts")
+    discard(wanted)
+    return texts
+
+
+def _alike(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """Of distinct (a, b) pairs of classes, those that sizes and sketches do not rule out."""
+    of = {side: known.select(F.col("cid").alias(side), F.col("cells").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")) for side in "ab"}
+    both = pairs.join(of["b"], "b").join(of["a"], "a")
+    return both.where(_may_be(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), similar)).select("a", "b")
+
+
+def _may_be(n: Column, m: Column, sketch: Column, other: Column, similar: float) -> Column:
+    return (F.least(n, m) >= F.greatest(n, m) * similar) & (differing(sketch, other) <= tolerance(similar))
+
+
+def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Of distinct (a, b) pairs of classes, those whose texts are similar. A class `a` with many pairs is dealt to several tasks."""
+    texts = _texts_of(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct(), known, docs)
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).alias("slices")).where(F.col("slices") > 1)
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("slices", F.lit(1))).alias("slice"))
+    left = dealt.select("a", "slice").distinct().join(texts.toDF("a", "left"), "a")
+    both = dealt.join(texts.toDF("b", "right"), "b").join(left, ["a", "slice"])
     with batches_of(docs.sparkSession, PAIRS):
-        return materialize(both.withColumn("s", _similarity("left", "right")).where(F.col("s") >= similar).select("a", "b"), "near-links")
+        links = materialize(both.withColumn("s", _similarity("left", "right")).where(F.col("s") >= similar).select("a", "b"), "near-links")
+    discard(texts)
+    return links
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -210,13 +283,25 @@ def connected(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "near-edges")
     labels = materialize(edges.groupBy(F.col("u").alias("cid")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "near-labels")
     while True:
-        near = edges.join(labels.toDF("v", "comp"), "v").groupBy(F.col("u").alias("cid")).agg(F.min("comp").alias("near"))
+        near = edges.join(labels.select(F.col("cid").alias("v"), "comp"), "v").groupBy(F.col("u").alias("cid")).agg(F.min("comp").alias("near"))
         told = labels.join(near, "cid").select("cid", "comp", F.least("comp", "near").alias("next"))
-        jump = told.join(labels.toDF("next", "far"), "next", "left").select("cid", "comp", F.least("next", F.coalesce("far", "next")).alias("next"))
+        jump = told.join(labels.select(F.col("cid").alias("next"), F.col("comp").alias("far")), "next", "left").select("cid", F.least("next", F.coalesce("far", "next")).alias("comp"), (F.col("comp") != F.least("next", F.coalesce("far", "next"))).alias("moved"))
         new = materialize(jump, "near-labels")
-        if not new.where(F.col("comp") != F.col("next")).limit(1).count():
-            return labels
-        labels = new.select("cid", F.col("next").alias("comp"))
+        moved = new.where("moved").limit(1).count()
+        discard(labels)
+        labels = new
+        if not moved:
+            discard(edges)
+            return labels.select("cid", "comp")
+
+
+def shared_bands(bands: DataFrame, *by: str) -> DataFrame:
+    """Of (band, cid) rows those whose band has several, with n, how many. by: further columns to keep; a band with sides needs both."""
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n"), *([F.min("side").alias("low"), F.max("side").alias("high")] if "side" in by else []))
+    several = F.col("n") > 1
+    if "side" in by:
+        several &= (F.col("high") == EQUAL) | (F.col("low") != F.col("high"))
+    return bands.join(sizes.where(several), "band").select("band", "cid", "n", *by)
 
 
 def _led(bands: DataFrame) -> DataFrame:
@@ -224,76 +309,152 @@ def _led(bands: DataFrame) -> DataFrame:
 
     The leader has the greatest weight: it shares most bands with most others, as the original of a group of copies shares more with each copy than the copies share."""
     tops = bands.groupBy("band").agg(F.max(F.struct("weight", "cid", "comp")).alias("top"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
-    tops = tops.select(F.col("band").alias("of_band"), F.col("top.cid").alias("leader"), F.col("top.comp").alias("of"))
+    tops = tops.select(F.col("band").alias("of_band"), F.col("top.cid").alias("a"), F.col("top.comp").alias("of"))
     joined = bands.join(tops, (F.col("band") == F.col("of_band")) & (F.col("comp") != F.col("of")))
-    return joined.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct()
+    return joined.select("a", F.col("cid").alias("b")).distinct()
 
 
-def _crossing(bands: DataFrame, of: DataFrame) -> DataFrame:
-    """(a, b) pairs of members of different components. of: band, main (its largest component): of a pair, one is not of it."""
-    main = of.select(F.col("band").alias("of_band"), "main")
-    others = bands.join(main, (F.col("band") == F.col("of_band")) & (F.col("comp") != F.col("main"))).select(F.col("band").alias("of_band"), F.col("cid").alias("other"), F.col("comp").alias("of"))
-    joined = bands.join(others, (F.col("band") == F.col("of_band")) & (F.col("comp") != F.col("of")))
-    return joined.select(F.least("other", "cid").alias("a"), F.greatest("other", "cid").alias("b")).distinct()
+def _mixed(bands: DataFrame) -> DataFrame:
+    """band, size, main (its largest component) of the bands whose classes lie in different components."""
+    parts = bands.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    sized = parts.groupBy("band").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("top"))
+    return sized.where(F.col("parts") > 1).select("band", "size", F.col("top.comp").alias("main"))
 
 
-def _rest(bands: DataFrame, known: DataFrame) -> DataFrame:
-    """All (a, b) pairs of classes that share a band and lie in different components."""
-    out, level = None, 0
-    while True:
-        parts = bands.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        sized = parts.groupBy("band").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "comp")).alias("top")).where(F.col("parts") > 1)
-        few = (F.col("size") * F.col("size") - F.col("squares")) <= 2 * SMALL * F.col("size")
-        sized = materialize(sized.select("band", F.col("top.comp").alias("main"), few.alias("few")), "near-rest")
-        level += 1
-        # texts that share 12 bands agree in nearly all coordinates
-        last = level == 12 or not sized.where(~F.col("few")).limit(1).count()
-        pairs = _crossing(bands, sized if last else sized.where("few"))
-        out = pairs if out is None else out.unionAll(pairs)
-        if last:
-            return out.distinct()
-        many = bands.select("cid", "comp", "band").join(sized.where(~F.col("few")).select("band"), "band").join(known.select("cid", "bands"), "cid")
-        many = many.select("cid", "comp", "band", F.explode("bands").alias("other")).where(F.col("other") != F.col("band"))
-        bands = materialize(many.select("cid", "comp", F.xxhash64("band", "other").alias("band")), "near-split")
+def _crossing(bands: DataFrame, mixed: DataFrame, known: DataFrame, similar: float, rare: bool = False) -> DataFrame:
+    """(a, b) pairs of a band and different components that sizes and sketches do not rule out, nor, in rare bands, sides and positions. Of a pair, one is not of the main component; a band's members are dealt to blocks, each of which meets all such ones."""
+    mixed = mixed.select(F.col("band").alias("of_band"), "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    named = ["cid", "comp", "weight", "cells", "sketch", *(["side", "at"] if rare else [])]
+    members = bands.join(mixed, F.col("band") == F.col("of_band")).drop("of_band").join(known.select("cid", "cells", "sketch"), "cid")
+    others = members.where(F.col("comp") != F.col("main")).select(F.col("band").alias("of_band"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of_block"), *(F.col(c).alias(f"of_{c}") for c in named))
+    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    meet = (F.col("band") == F.col("of_band")) & (F.col("block") == F.col("of_block")) & (F.col("comp") != F.col("of_comp"))
+    if rare:
+        needed = F.ceil((F.col("cells") + F.col("of_cells")) * (similar / (1 + similar)) - 1e-9)
+        meet &= ((F.col("side") == EQUAL) | (F.col("side") != F.col("of_side"))) & (F.least(F.col("cells") - F.col("at"), F.col("of_cells") - F.col("of_at")) >= needed)
+    joined = members.join(others, meet & _may_be(F.col("cells"), F.col("of_cells"), F.col("sketch"), F.col("of_sketch"), similar))
+    first = (F.col("weight") > F.col("of_weight")) | ((F.col("weight") == F.col("of_weight")) & (F.col("cid") > F.col("of_cid")))
+    return joined.select(F.when(first, F.col("cid")).otherwise(F.col("of_cid")).alias("a"), F.when(first, F.col("of_cid")).otherwise(F.col("cid")).alias("b")).distinct()
+
+
+SMALLER, LARGER, EQUAL = 0, 1, 2  # a text's class of sizes beside the other's
+
+
+def _prefixes(owner: np.ndarray, cell: np.ndarray, n: np.ndarray, often: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text's index, band, side, position): its rarest cells with its class of sizes and that of a similar text, for each such class; the first cell, in this order, that similar texts share makes a band of both."""
+    order = np.lexsort((cell, often[cell & U64(len(often) - 1)], owner))
+    owner, cell = owner[order], cell[order]
+    at = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    step = math.log(GROWTH)
+    size_class = lambda x: np.floor(np.log(np.maximum(x, 1)) / step + 1e-9).astype(np.int64)
+    own, lowest, highest = size_class(n), np.ceil(n * similar - 1e-9), np.floor(n / similar + 1e-9)
+    far = math.ceil(-math.log(similar) / step) + 1
+    for d in range(-far, far + 1):
+        other = own + d
+        least = np.maximum(lowest, np.ceil(np.exp(other * step) * (1 - 1e-9) - 1e-9))
+        good = (n > 0) & (other >= size_class(lowest)) & (other <= size_class(highest)) & (least <= highest)
+        shared = np.ceil((n + least) * similar / (1 + similar) - 1e-9)
+        keep = np.where(good, np.maximum(n - shared + 1, 0), 0)
+        mine = at < keep[owner]
+        pair = np.minimum(own, other) * 4096 + np.maximum(own, other)
+        side = EQUAL if d == 0 else SMALLER if d > 0 else LARGER
+        yield owner[mine], mix(cell[mine] + mix(pair[owner[mine]].astype(U64) + U64(1))).view(np.int64), np.full(int(mine.sum()), side), at[mine]
+
+
+def rare_bands(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(band, cid, side, at): every two similar texts of (cid, text) have a band in common, on different sides or of equal classes, and as many cells from their positions on as they share."""
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            raw = [t.encode("utf-8", "surrogatepass") for t in b.text]
+            for a, z in _chunks(raw):
+                slot, n = np.unique((cells(raw[a:z])[1] & U64(SLOTS - 1)).astype(np.int64), return_counts=True)
+                yield pd.DataFrame({"slot": slot, "n": n})
+
+    counted = texts.select("text").mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.int64)
+    table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    often = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            raw, cid = [t.encode("utf-8", "surrogatepass") for t in b.text], b.cid.to_numpy()
+            for a, z in _chunks(raw):
+                for owner, band, side, at in _prefixes(*cells(raw[a:z]), often.value, similar):
+                    yield pd.DataFrame({"band": band, "cid": cid[a:z][owner], "side": side, "at": at})
+
+    return texts.select("cid", "text").mapInPandas(run, "band long, cid long, side int, at int")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(cid, comp, class_id, first_id): the component of each distinct text, the least doc_id of each. docs: doc_id, cid, text."""
+    """(k1, k2, comp, class_id, first_id): the component of each distinct text, the least doc_id of each. docs: doc_id, k1, k2, text."""
     with batches_of(docs.sparkSession, TEXTS):
-        known = materialize(classes(docs), "near-classes")
-    first = known.select("cid", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
-    sizes = first.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    weights = materialize(first.join(sizes, "band").groupBy("cid").agg(F.sum("n").alias("weight")), "near-weights")
-    known = materialize(known.join(weights, "cid", "left").withColumn("weight", F.coalesce("weight", F.lit(0))), "near-classes")
+        known = materialize(classes(docs).withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    exploded = known.select("cid", F.posexplode("bands").alias("i", "band")).select("band", "cid", (F.col("i") < FIRST_BANDS).alias("early"))
+    shared = materialize(shared_bands(exploded, "early"), "near-shared")
+    weights = materialize(shared.where("early").groupBy("cid").agg(F.sum("n").alias("weight")), "near-weights")
     links = compared = comps = None
-    # a few bands bring most groups together; then all bands; then what still lies apart
-    for n_bands in (FIRST_BANDS, K, 0):
-        placed = known.withColumn("comp", F.col("cid")) if comps is None else known.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        bands = placed.select("cid", "comp", "weight", F.explode(F.slice("bands", 1, n_bands or K)).alias("band"))
-        pairs = _led(bands) if n_bands else _rest(bands, known)
+
+    def placed(bands: DataFrame) -> DataFrame:
+        heavy = bands.join(weights, "cid", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+        if comps is None:
+            return heavy.withColumn("comp", F.col("cid"))
+        return heavy.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    def compare(pairs: DataFrame, sketched: bool = False) -> None:
+        """Adds the links among the pairs, and the components they make."""
+        nonlocal links, compared, comps
+        pairs = pairs if sketched else _alike(pairs, known, similar)
         pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
         compared = pairs if compared is None else compared.unionAll(pairs)
-        new = linked(pairs, docs, similar)
-        if comps is None or new.limit(1).count():
+        if not pairs.limit(1).count():
+            return
+        new = linked(pairs, known, docs, similar)
+        if new.limit(1).count():
             links = new if links is None else links.unionAll(new)
             comps = connected(links)
-    named = known.select("cid", "first_id").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    # a few bands bring most groups together; then all bands; then what still lies apart
+    compare(_led(placed(shared.where("early"))))
+    compare(_led(placed(shared)))
+    mixed = materialize(_mixed(placed(shared)), "near-mixed")
+    few, many = mixed.where(F.col("size") <= SMALL), mixed.where(F.col("size") > SMALL)
+    crowded = materialize(shared.join(many.select("band"), "band", "left_semi").select("cid").distinct(), "near-crowded")
+    compare(_crossing(placed(shared), few, known, similar), sketched=True)
+    if crowded.limit(1).count():
+        texts = _texts_of(crowded, known, docs)
+        with batches_of(docs.sparkSession, TEXTS):
+            rare = materialize(shared_bands(rare_bands(texts, similar), "side", "at"), "near-rare")
+        discard(texts)
+        compare(_led(placed(rare)))
+        compare(_crossing(placed(rare), _mixed(placed(rare)), known, similar, rare=True), sketched=True)
+        discard(rare)
+    discard(shared, weights, mixed, crowded)
+    named = known.select("cid", "k1", "k2", "first_id")
+    named = named.withColumn("comp", F.col("cid")) if comps is None else named.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     class_ids = named.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    return materialize(named.join(class_ids, "comp").select("cid", "comp", "class_id", "first_id"), "near-result")
+    out = materialize(named.join(class_ids, "comp").select("k1", "k2", "comp", "class_id", "first_id"), "near-result")
+    discard(known)
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    k1, k2 = text_key(F.col("text"))
+    return id_and_text(docs).select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class."""
-    docs = id_and_text(read(spark, sf_dir, "documents")).withColumn("cid", F.xxhash64("text"))
-    return docs.select("doc_id", "cid").join(near_classes(docs).select("cid", "class_id"), "cid").select("doc_id", "class_id")
+    docs = _keyed(read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "k1", "k2").join(near_classes(docs).select("k1", "k2", "class_id"), ["k1", "k2"]).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One document of each class, that with the least doc_id, with its own columns; of rows that repeat it, one."""
-    cid, kept_cid, kept_id = fresh(docs, "cid"), fresh(docs, "kept_cid"), fresh(docs, "kept_id")
-    texts = id_and_text(docs).withColumn("cid", F.xxhash64("text"))
-    first = F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "cid")).alias("k")
-    kept = near_classes(texts, similar).groupBy("comp").agg(first).select(F.col("k.cid").alias(kept_cid), F.col("k.first_id").alias(kept_id))
-    rows = docs.withColumn(cid, F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = rows.join(kept, (F.col(cid) == F.col(kept_cid)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)))
-    return found.dropDuplicates([cid]).select(*docs.columns)
+    k1, k2, x1, x2, kept_id = (fresh(docs, name) for name in ("k1", "k2", "x1", "x2", "kept_id"))
+    first = F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "k1", "k2")).alias("k")
+    kept = near_classes(_keyed(docs), similar).groupBy("comp").agg(first).select(F.col("k.k1").alias(x1), F.col("k.k2").alias(x2), F.col("k.first_id").alias(kept_id))
+    key = text_key(F.coalesce("text", F.lit("")))
+    rows = docs.withColumns({k1: key[0], k2: key[1]})
+    found = rows.join(kept, (F.col(k1) == F.col(x1)) & (F.col(k2) == F.col(x2)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)))
+    return found.dropDuplicates([k1, k2]).select(*docs.columns)

@@ -161,8 +161,8 @@ def test_near_classes_are_the_components(spark):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(copy)))
     rows += [(len(rows), ""), (len(rows) + 1, ""), (len(rows) + 2, "one"), (len(rows) + 3, rows[0][1])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.xxhash64("text"))
-    got = {r["doc_id"]: r["class_id"] for r in docs.join(near_dup.near_classes(docs), "cid").collect()}
+    docs = near_dup._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["class_id"] for r in docs.join(near_dup.near_classes(docs), ["k1", "k2"]).collect()}
     assert got == components(rows)
 
 
