@@ -35,8 +35,8 @@ def severity_of_ratio(ratio: Column) -> Column:
 
 
 def severity_of_violation(score: Column) -> Column:
-    """Band of a normalised interval violation."""
-    return F.when(score >= 2, "critical").when(score >= 1, "high").when(score >= 0.5, "medium").when(score > 0, "low").otherwise("none")
+    """Band of a normalised interval violation; no violation is low too."""
+    return F.when(score >= 2, "critical").when(score >= 1, "high").when(score >= 0.5, "medium").otherwise("low")
 
 
 def last_or_padded(values: Column, n: int) -> Column:

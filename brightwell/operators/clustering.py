@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHA = 1.0
 SILHOUETTE_ROWS = 2000
-# fixed values: id, name, what to do, priority
-CLUSTERS = ((0, "normal", "none", 0), (1, "degraded", "watch", 1), (2, "saturated", "scale", 2), (3, "failing", "page", 3), (4, "unknown", "inspect", 1))
+# fixed values: id, name, action, priority, description
+CLUSTERS = (
+    (0, "NORMAL", "NONE", "LOW", "System operating normally"),
+    (1, "PRE_SCALE", "SCALE", "MEDIUM", "Consider proactive scaling"),
+    (2, "PRE_FAILURE", "DIAGNOSTIC", "HIGH", "Collect diagnostics, prepare remediation"),
+    (3, "ACTIVE_DEGRADATION", "REMEDIATE", "CRITICAL", "Immediate action required"),
+    (4, "ANOMALY", "ALERT", "HIGH", "Unknown pattern, investigate"),
+)
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -45,13 +55,16 @@ def hard_assign(q: DataFrame) -> DataFrame:
 
 
 def cluster_summary(rows: DataFrame, assigned: DataFrame, centers: DataFrame) -> DataFrame:
-    """Per centre: size, percent, mean and spread of the distance to it; zeros for empty clusters."""
+    """Per centre: size, percent, mean and spread of the distance to it, and the mean spread of its members' dimensions; zeros for empty clusters."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    near = rows.withColumn("_x", x).join(assigned.select("vec_id", "cluster_id"), "vec_id").join(F.broadcast(centers), "cluster_id").withColumn("d", F.sqrt(squared_distance(F.col("_x"), F.col("centroid"))))
+    of = rows.withColumn("_x", x).join(assigned.select("vec_id", "cluster_id"), "vec_id")
+    near = of.join(centers, "cluster_id").withColumn("d", F.sqrt(squared_distance(F.col("_x"), F.col("centroid"))))
     per = near.groupBy("cluster_id").agg(F.count("*").alias("size"), F.avg("d").alias("mean_distance"), F.stddev_pop("d").alias("distance_std"))
-    total = assigned.agg(F.count("*")).scalar()
-    out = centers.select("cluster_id").join(per, "cluster_id", "left").withColumns({c: F.coalesce(c, F.lit(z)) for c, z in (("size", 0), ("mean_distance", 0.0), ("distance_std", 0.0))})
-    return out.withColumn("percent", F.coalesce(F.try_divide(100.0 * F.col("size"), total), F.lit(0.0)))
+    dims = of.select("cluster_id", F.posexplode("_x").alias("pos", "v")).groupBy("cluster_id", "pos").agg(F.stddev_pop("v").alias("s")).groupBy("cluster_id").agg(F.avg("s").alias("mean_std"))
+    out = centers.select("cluster_id").join(per.join(dims, "cluster_id"), "cluster_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(z)) for c, z in (("size", 0), ("mean_distance", 0.0), ("distance_std", 0.0), ("mean_std", 0.0))})
+    total = assigned.agg(F.count("*").alias("_total"))
+    return out.join(F.broadcast(total)).withColumn("percent", F.coalesce(F.try_divide(100.0 * F.col("size"), F.col("_total")), F.lit(0.0))).drop("_total")
 
 
 def changed_share(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -60,18 +73,45 @@ def changed_share(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.agg(F.avg((F.col("_was") != F.col("cluster_id")).cast("int")).alias("changed"))
 
 
+def _silhouettes(x: np.ndarray, label: np.ndarray, block: int = 512) -> np.ndarray:
+    """Of each point (its cluster's alone: 0); distances are made for a block of points at a time."""
+    names, group = np.unique(label, return_inverse=True)
+    sizes = np.bincount(group)
+    if len(names) < 2:
+        return np.zeros(len(x))
+    member = np.eye(len(names))[group]
+    square = (x * x).sum(1)
+    out = np.zeros(len(x))
+    for at in range(0, len(x), block):
+        part = slice(at, at + block)
+        d2 = square[part, None] + square[None, :] - 2 * x[part] @ x.T
+        near = d2 <= 1e-9 * (square[part, None] + square[None, :])  # there the difference has lost its digits
+        i, j = np.nonzero(near)
+        d2[i, j] = ((x[part][i] - x[j]) ** 2).sum(1)
+        sums = np.sqrt(np.maximum(d2, 0)) @ member
+        mine = group[part]
+        row = np.arange(len(mine))
+        a = sums[row, mine] / np.maximum(sizes[mine] - 1, 1)
+        others = sums / sizes
+        others[row, mine] = np.inf
+        b = others.min(1)
+        most = np.maximum(a, b)
+        out[part] = np.where((sizes[mine] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0)
+    return out
+
+
 def silhouette(rows: DataFrame, key: str = "label", most: int = SILHOUETTE_ROWS) -> DataFrame:
     """The mean silhouette by Euclidean distance over at most `most` rows, the feature of this operator: those of the least hash of vec_id. 0 for fewer than two labels.
 
-    The sample goes out as one array, so each of its rows finds its mean distances without pairs being made."""
-    sample = rows.select("vec_id", F.col(key).alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
-    known = F.broadcast(sample.groupBy("label").agg(F.collect_list("x").alias("xs")).agg(F.array_sort(F.collect_list(F.struct("label", "xs"))).alias("groups")))
-    sums = sample.join(known).select("label", F.transform("groups", lambda g: F.struct(g["label"].alias("label"), F.size(g["xs"]).alias("n"), F.aggregate(g["xs"], F.lit(0.0), lambda s, y: s + F.sqrt(squared_distance(F.col("x"), y))).alias("sum"))).alias("g"))
-    own = F.element_at(F.filter("g", lambda g: g["label"] == F.col("label")), 1)
-    b = F.array_min(F.transform(F.filter("g", lambda g: g["label"] != F.col("label")), lambda g: g["sum"] / g["n"]))
-    each = sums.withColumns({"_own": own, "b": b}).withColumn("a", F.try_divide(F.col("_own.sum"), F.col("_own.n") - 1))
-    s = F.when((F.col("_own.n") == 1) | F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return each.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette"), F.count("*").alias("rows"))
+    The sample is bounded by `most`, so one task makes its distances."""
+    sample = rows.select("vec_id", F.col(key).cast("string").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have = pd.concat([*batches, pd.DataFrame({"label": [], "x": []})])
+        s = _silhouettes(np.stack(have.x), have.label.fillna("").to_numpy(str)) if len(have) else np.zeros(0)
+        yield pd.DataFrame({"silhouette": [float(s.mean()) if len(s) else 0.0], "rows": [len(s)]})
+
+    return sample.select("label", "x").coalesce(1).mapInPandas(run, "silhouette double, rows long").agg(F.coalesce(F.sum("silhouette"), F.lit(0.0)).alias("silhouette"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
 
 
 def kmeans(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -94,5 +134,5 @@ def sweep_k(rows: DataFrame, ks: range = range(2, 11), seed: int = 42) -> list[t
 
 
 def describe_clusters(assigned: DataFrame) -> DataFrame:
-    table = assigned.sparkSession.createDataFrame(list(CLUSTERS), "cluster_id int, name string, action string, priority int")
+    table = assigned.sparkSession.createDataFrame(list(CLUSTERS), "cluster_id int, name string, action string, priority string, description string")
     return assigned.join(F.broadcast(table), "cluster_id", "left")

@@ -115,12 +115,13 @@ def incident_coverage(found: DataFrame, incidents: DataFrame) -> DataFrame:
     return out.withColumns({"coverage": share(F.col("covered_seconds"), seconds_between(F.col("end"), F.col("anchor"))), "clear_lead_seconds": seconds_between(F.col("end"), F.col("last_clear"))})
 
 
-def alarm_fatigue(flagged: DataFrame, sustains: Sequence[int] = SUSTAINS) -> DataFrame:
-    """Per resource and sustain: seconds in alarm (each run lasts a median step beyond its last window), share of the span, runs a week; null for a span of 0."""
+def alarm_fatigue(flagged: DataFrame, sustains: Sequence[int] = SUSTAINS, cadence: float | None = None) -> DataFrame:
+    """Per resource and sustain: seconds in alarm (each run lasts a step beyond its last window: the cadence, else the median one), share of the span, runs a week; null for a span of 0."""
     from brightwell.operators.scoring import effective_step
 
     spans = flagged.groupBy("resource_id").agg(seconds_between(F.max("end_time"), F.min("end_time")).alias("span_seconds"), F.count("*").alias("windows"))
-    base = spans.join(effective_step(flagged), "resource_id").withColumn("sustain", F.explode(F.array(*map(F.lit, sustains))))
+    steps = effective_step(flagged) if cadence is None else flagged.select("resource_id").distinct().withColumn("step", F.lit(float(cadence)))
+    base = spans.join(steps, "resource_id").withColumn("sustain", F.explode(F.array(*map(F.lit, sustains))))
     found = by_sustain(runs(flagged), sustains).withColumn("lasts", seconds_between(F.col("run_end"), F.col("run_start")))
     per = found.groupBy("resource_id", "sustain").agg(F.count("*").alias("runs"), F.sum("lasts").alias("lasts"))
     out = base.join(per, ["resource_id", "sustain"], "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
@@ -144,7 +145,7 @@ def fleet_report(flagged: DataFrame, sustain: int = 3) -> DataFrame:
     return both.withColumns({"fpr": share(F.col("over"), F.col("windows")), "runs_per_week": share(F.col("runs") * WEEK, span)})
 
 
-def control_slices(scores: DataFrame, controls: DataFrame, incident: DataFrame, thresholds: DataFrame) -> DataFrame:
+def control_slices(scores: DataFrame, controls: DataFrame, incident: DataFrame, thresholds: DataFrame, sustain: int = 3) -> DataFrame:
     """slice_stats of control resources over the one incident's window, at their own and at the incident's threshold. incident: resource_id, start, end; thresholds: resource_id, threshold."""
     if incident.limit(2).count() > 1:
         raise NotImplementedError("controls are compared with one incident")
@@ -152,7 +153,7 @@ def control_slices(scores: DataFrame, controls: DataFrame, incident: DataFrame,
     own = controls.select("resource_id").join(thresholds, "resource_id").join(F.broadcast(one.limit(1)))
     kinds: list[Column] = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("threshold")) for k, c in (("own", "threshold"), ("incident", "incident_threshold"))]
     slices = own.select("resource_id", "start", "end", F.explode(F.array(*kinds)).alias("k")).select(F.concat_ws("/", "resource_id", "k.kind").alias("slice_id"), "resource_id", "start", "end", "k.threshold")
-    return slice_stats(scores, slices)
+    return slice_stats(scores, slices, sustain)
 
 
 def roles(resources: DataFrame, labels: DataFrame) -> DataFrame:

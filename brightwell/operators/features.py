@@ -22,22 +22,34 @@ def absent_features(metrics: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if f not in have]
 
 
+def _copied(ranked: DataFrame, size: int, step: int) -> DataFrame:
+    """Rows with _rn and _n, their place and count in the resource, once for each window that holds them."""
+    lo = F.greatest(F.lit(0), F.floor((F.col("_rn") - size + step - 1) / step)).cast("int")
+    hi = F.floor(F.least(F.col("_rn") - 1, F.col("_n") - size) / step).cast("int")
+    return ranked.where(lo <= hi).withColumn("window_id", F.explode(F.sequence(lo, hi))).withColumn("pos", F.col("_rn") - F.col("window_id") * step - 1)
+
+
 def window_rows(wide: DataFrame, size: int, step: int = 1) -> DataFrame:
     """wide once for each sliding window that holds the row: window_id (starts at row window_id * step of its resource) and pos (0 to size - 1).
 
     Windows count rows of a resource, not time. A row is copied to size / step windows at most."""
     by = Window.partitionBy("resource_id")
-    ranked = wide.withColumn("_rn", F.row_number().over(by.orderBy("timestamp"))).withColumn("_n", F.count("*").over(by))
-    lo = F.greatest(F.lit(0), F.floor((F.col("_rn") - size + step - 1) / step)).cast("int")
-    hi = F.floor(F.least(F.col("_rn") - 1, F.col("_n") - size) / step).cast("int")
-    return ranked.where(lo <= hi).withColumn("window_id", F.explode(F.sequence(lo, hi))).withColumn("pos", F.col("_rn") - F.col("window_id") * step - 1).drop("_rn", "_n")
+    ranked = wide.withColumns({"_rn": F.row_number().over(by.orderBy("timestamp")), "_n": F.count("*").over(by)})
+    return _copied(ranked, size, step).drop("_rn", "_n")
+
 
+def filled_windows(wide: DataFrame, features: Sequence[str], size: int, step: int = 1) -> DataFrame:
+    """window_rows without missing values: within a window the last before, else the first after, else 0. Never across windows.
 
-def fill_windows(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Missing values within a window: the last before, else the first after, else 0. Never across windows."""
-    by = Window.partitionBy("resource_id", "window_id").orderBy("pos")
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumns({f: F.coalesce(F.last(f, ignorenulls=True).over(back), F.first(f, ignorenulls=True).over(ahead), F.lit(0.0)) for f in features})
+    What is known last and next, and at which row, is looked up once for each row of a resource, before rows are copied; a copy only asks whether that row lies in its window."""
+    order = Window.partitionBy("resource_id").orderBy("timestamp")
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    ranked = wide.withColumns({"_rn": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy("resource_id"))})
+    known = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.col("_rn").alias("at"), F.col(f).alias("x")))
+    ranked = ranked.withColumns({f"_{side}_{f}": g(known(f), ignorenulls=True).over(w) for f in features for side, g, w in (("back", F.last, back), ("ahead", F.first, ahead))})
+    start = F.col("_rn") - F.col("pos")
+    filled = {f: F.when(F.col(f"_back_{f}.at") >= start, F.col(f"_back_{f}.x")).when(F.col(f"_ahead_{f}.at") < start + size, F.col(f"_ahead_{f}.x")).otherwise(F.lit(0.0)) for f in features}
+    return _copied(ranked, size, step).withColumns(filled).drop("_rn", "_n", *(f"_{side}_{f}" for f in features for side in ("back", "ahead")))
 
 
 def window_arrays(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -54,15 +66,16 @@ def fit_zscore(filled: DataFrame, features: Sequence[str]) -> DataFrame:
     return long.select("feature", "p.mean", F.when(F.col("p.std") == 0, 1.0).otherwise(F.col("p.std")).alias("std"))
 
 
-def _params(params: DataFrame, *names: str) -> dict[str, tuple]:
-    """A feature's parameters on the driver: as many rows as the profile has features."""
-    return {r["feature"]: tuple(r[n] for n in names) for r in params.collect()}
+def _one_row(params: DataFrame, features: Sequence[str], *names: str) -> DataFrame:
+    """Parameters by feature as one row, so that they can be joined where the rows are."""
+    return F.broadcast(params.agg(*(F.max(F.when(F.col("feature") == f, F.col(n))).alias(f"_{n}_{f}") for f in features for n in names)))
 
 
-def apply_zscore(filled: DataFrame, params: DataFrame, absent: Sequence[str] = ()) -> DataFrame:
+def apply_zscore(filled: DataFrame, params: DataFrame, features: Sequence[str], absent: Sequence[str] = ()) -> DataFrame:
     """(x - mean) / std by feature name; features that the capture lacks are 0."""
-    p = _params(params, "mean", "std")
-    return filled.withColumns({f: F.lit(0.0) if f in absent else (F.col(f) - m) / s for f, (m, s) in p.items()})
+    with_params = filled.join(_one_row(params, features, "mean", "std"))
+    scaled = {f: F.lit(0.0) if f in absent else (F.col(f) - F.col(f"_mean_{f}")) / F.col(f"_std_{f}") for f in features}
+    return with_params.withColumns(scaled).drop(*(f"_{n}_{f}" for f in features for n in ("mean", "std")))
 
 
 def fit_minmax(filled: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -70,14 +83,14 @@ def fit_minmax(filled: DataFrame, features: Sequence[str]) -> DataFrame:
     return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*features))).alias("feature", "p")).select("feature", "p.low", "p.high")
 
 
-def apply_minmax(rows: DataFrame, params: DataFrame, clip: bool = False, absent: Sequence[str] = ()) -> DataFrame:
+def apply_minmax(rows: DataFrame, params: DataFrame, features: Sequence[str], clip: bool = False, absent: Sequence[str] = ()) -> DataFrame:
     """(x - low) / (high - low); a constant feature is 1 if it is above 0, else 0. clip: into [0, 1], as when serving."""
     out = {}
-    for f, (low, high) in _params(params, "low", "high").items():
-        x = F.coalesce(F.col(f), F.lit(0.0))
-        y = (x - low) / (high - low) if high > low else F.lit(1.0 if high > 0 else 0.0)
+    for f in features:
+        x, low, high = F.coalesce(F.col(f), F.lit(0.0)), F.col(f"_low_{f}"), F.col(f"_high_{f}")
+        y = F.when(high > low, (x - low) / (high - low)).otherwise((high > 0).cast("double"))
         out[f] = F.lit(0.0) if f in absent else F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)) if clip else y
-    return rows.withColumns(out)
+    return rows.join(_one_row(params, features, "low", "high")).withColumns(out).drop(*(f"_{n}_{f}" for f in features for n in ("low", "high")))
 
 
 def series_frame(requests: DataFrame, base: str = "2000-01-01 00:00:00") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwell.functions import seconds_between, share
+from brightwell.sources import Profile
 
 FRESH_INTERVALS = 4
 WORST = 20
@@ -66,7 +67,7 @@ def quality_rollup(series: DataFrame) -> DataFrame:
         F.count("*").alias("series"), F.count(F.when(judged, 1)).alias("analyzed"),
         F.coalesce(100 * F.avg(F.col("is_live").cast("int")), zero).alias("freshness_score"),
         F.coalesce(100 * F.avg("density"), zero).alias("gap_score"),
-        F.max("last_time").alias("last_time"),
+        F.max("last_time").alias("last_time"), seconds_between(F.current_timestamp(), F.max("last_time")).alias("lag_seconds"),
     )
 
 
@@ -94,6 +95,12 @@ def counter_shape(metrics: DataFrame, order: str = "ordinal") -> DataFrame:
     return per.groupBy("metric_name").agg(F.count("*").alias("judged"), F.sum(hit).alias("hits")).withColumn("is_counter", 2 * F.col("hits") >= F.col("judged"))
 
 
+def counter_warnings(shapes: DataFrame) -> DataFrame:
+    """(metric_name, warning) of the metrics that counter_shape flags."""
+    said = F.format_string("%s rises like a counter on %d of %d series; it will leave any fixed range, so it is no feature for a model", "metric_name", "hits", "judged")
+    return shapes.where("is_counter").select("metric_name", said.alias("warning"))
+
+
 def resolve_resource(metrics: DataFrame, wanted: str) -> DataFrame:
     """Resources that an id or host text means: an exact id, else an exact host, else a part of either, all without regard to case. ambiguous: more than one."""
     w = wanted.lower()
@@ -101,8 +108,8 @@ def resolve_resource(metrics: DataFrame, wanted: str) -> DataFrame:
     low, host = F.lower("resource_id"), F.lower(F.coalesce("host_name", F.lit("")))
     tier = F.when(low == w, 0).when(host == w, 1).when(low.contains(w) | host.contains(w), 2)
     hits = of.select("resource_id", tier.alias("tier")).where(F.col("tier").isNotNull())
-    best = hits.groupBy("tier").agg(F.array_sort(F.collect_set("resource_id")).alias("ids")).orderBy("tier").limit(1)
-    return best.select("tier", F.explode("ids").alias("resource_id"), (F.size("ids") > 1).alias("ambiguous"))
+    best = hits.distinct().join(F.broadcast(hits.agg(F.min("tier").alias("_best"))), F.col("tier") == F.col("_best"))  # one row
+    return best.withColumn("ambiguous", F.count("*").over(Window.partitionBy("tier")) > 1).select("tier", "resource_id", "ambiguous")
 
 
 def classify_metrics(metrics: DataFrame, most_levels: int = 10) -> DataFrame:
@@ -113,8 +120,22 @@ def classify_metrics(metrics: DataFrame, most_levels: int = 10) -> DataFrame:
     return per.select("metric_name", "levels", F.when(F.coalesce(categorical, F.lit(False)), "categorical").otherwise("numerical").alias("kind"))
 
 
+# fixed values: floors below which a discovery is worth a warning
+LEAST_NUMERICAL, LEAST_CATEGORICAL = 3, 2
+
+
 def discover_features(metrics: DataFrame, most_numerical: int = 20, most_categorical: int = 15) -> DataFrame:
     """Classified metrics, of each kind at most so many, in order of name."""
     kinds = classify_metrics(metrics)
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("metric_name"))
     return kinds.withColumn("ordinal", rank).where(F.col("ordinal") <= F.when(F.col("kind") == "numerical", most_numerical).otherwise(most_categorical))
+
+
+def discovered_profile(metrics: DataFrame, name: str = "auto_discovered") -> tuple[Profile, list[str]]:
+    """A profile of the discovered features, and warnings where a kind has fewer than its floor; an error if one has none."""
+    found = discover_features(metrics.where(F.col("value").isNotNull())).orderBy("ordinal").collect()
+    of = {k: tuple(r["metric_name"] for r in found if r["kind"] == k) for k in ("numerical", "categorical")}
+    if not all(of.values()):
+        raise ValueError(f"too few features: {len(of['numerical'])} numerical, {len(of['categorical'])} categorical")
+    floors = {"numerical": LEAST_NUMERICAL, "categorical": LEAST_CATEGORICAL}
+    return Profile(name, of["numerical"], of["categorical"], "discovered from the metrics at hand"), [f"only {len(of[k])} {k} features, {n} wanted" for k, n in floors.items() if len(of[k]) < n]

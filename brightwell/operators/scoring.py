@@ -102,26 +102,60 @@ def on_cadence(scores: DataFrame, seconds: int = SERVING_CADENCE) -> DataFrame:
 
 
 def time_split(scores: DataFrame, gap: int = 0, per_resource: bool = True) -> DataFrame:
-    """scores with part: fit (earlier half), eval (later half after `gap` windows) or null. Fewer than two windows are all fit."""
-    by = Window.partitionBy("resource_id") if per_resource else Window.partitionBy(F.lit(0))
-    rank, n = F.row_number().over(by.orderBy("end_time", "window_id")), F.count("*").over(by)
-    half = F.floor(n / 2)
-    return scores.withColumn("part", F.when((n < 2) | (rank <= half), "fit").when(rank > half + gap, "eval"))
+    """scores with part: fit (earlier half), eval (later half after `gap` windows) or null. Fewer than two windows are all fit.
+
+    Over all resources, a window's rank is its rank among those that end with it plus the number that end before, so only the counts of distinct times are summed in one place."""
+    if per_resource:
+        by = Window.partitionBy("resource_id")
+        ranked = scores.withColumns({"_rank": F.row_number().over(by.orderBy("end_time", "window_id")), "_all": F.count("*").over(by)})
+    else:
+        times = scores.groupBy("end_time").agg(F.count("*").alias("_here"))
+        everything = Window.orderBy("end_time")
+        times = times.select(F.col("end_time").alias("_at"), (F.sum("_here").over(everything) - F.col("_here")).alias("_before"), F.sum("_here").over(Window.partitionBy()).alias("_all"))
+        here = F.row_number().over(Window.partitionBy("end_time").orderBy("resource_id", "window_id"))
+        ranked = scores.join(times, F.col("end_time").eqNullSafe(F.col("_at"))).withColumn("_rank", F.col("_before") + here).drop("_at", "_before")
+    rank, n, half = F.col("_rank"), F.col("_all"), F.floor(F.col("_all") / 2)
+    return ranked.withColumn("part", F.when((n < 2) | (rank <= half), "fit").when(rank > half + gap, "eval")).drop("_rank", "_all")
 
 
 def gap_windows(size: int, step: int) -> int:
     return -(-size // step)
 
 
+BRACKET = 10_000  # accuracy of the bracket around a quantile
+EXACT_ROWS = 100_000  # up to so many errors are looked at all together
+
+
+def pooled_quantile(scores: DataFrame, quantile: float) -> DataFrame:
+    """One row (threshold, n): the exact, interpolated quantile of all errors.
+
+    Two approximate quantiles bracket it; errors below are counted and only those inside, some 1 / 2500 of all, come to one task."""
+    few = F.col("n") <= EXACT_ROWS
+    at = [min(max(quantile + d / BRACKET, 0.0), 1.0) for d in (-2, 2)]
+    known = scores.select("error").where(F.col("error").isNotNull())
+    near = known.agg(F.count("*").alias("n"), F.percentile_approx("error", at, BRACKET).alias("p"), F.min("error").alias("low"), F.max("error").alias("high"))
+    near = near.select("n", F.when(few, F.col("low")).otherwise(F.col("p")[0]).alias("low"), F.when(few, F.col("high")).otherwise(F.col("p")[1]).alias("high"))
+    inside = known.join(F.broadcast(near)).agg(  # one row
+        F.max("n").alias("n"), F.count(F.when(F.col("error") < F.col("low"), 1)).alias("below"),
+        F.array_sort(F.collect_list(F.when(F.col("error").between(F.col("low"), F.col("high")), F.col("error")))).alias("x"),
+    )
+    place = (F.col("n") - 1) * F.lit(quantile) - F.col("below")
+    value = lambda i: F.try_element_at("x", (i + 1).cast("int"))
+    low, high = value(F.floor(place)), value(F.ceil(place))
+    return inside.select((low + (high - low) * (place - F.floor(place))).alias("threshold"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def quantile_threshold(scores: DataFrame, quantile: float = QUANTILE, by: Sequence[str] = ()) -> DataFrame:
-    """The exact, interpolated quantile of errors."""
+    """The exact, interpolated quantile of errors: of each group, whose errors are in one task, or of all."""
+    if not by:
+        return pooled_quantile(scores, quantile)
     return scores.groupBy(*by).agg(F.percentile("error", F.lit(quantile)).alias("threshold"), F.count("*").alias("n"))
 
 
 def healthy_threshold(scores: DataFrame, quantile: float = QUANTILE, gap: int = 0, per_resource: bool = True) -> DataFrame:
     """One row: the quantile of the earlier half, its false-positive rate on the later half, and both sizes."""
     split = time_split(scores, gap, per_resource)
-    fit = split.where(F.col("part") == "fit").agg(F.percentile("error", F.lit(quantile)).alias("threshold"), F.count("*").alias("n_fit"))
+    fit = pooled_quantile(split.where(F.col("part") == "fit"), quantile).withColumnRenamed("n", "n_fit")
     later = split.where(F.col("part") == "eval").select("error").join(F.broadcast(fit))
     rate = later.agg(F.avg((F.col("error") > F.col("threshold")).cast("int")).alias("fpr"), F.count("*").alias("n_eval"))
     return fit.join(F.broadcast(rate))
@@ -139,7 +173,7 @@ class Policy:
         return self.own if self.own is not None else spark.createDataFrame([], "resource_id string, threshold double")
 
 
-def _checked(margin: float) -> float:
+def checked_margin(margin: float) -> float:
     if not 0 < margin < float("inf"):
         raise ValueError("a margin is finite and above 0")
     return margin
@@ -150,11 +184,11 @@ def global_override(threshold: float) -> Policy:
 
 
 def reference_quantile(reference: DataFrame, quantile: float = QUANTILE) -> Policy:
-    return Policy(_value(reference.agg(F.percentile("error", F.lit(quantile)))), "reference_quantile")
+    return Policy(_value(pooled_quantile(reference, quantile)), "reference_quantile")
 
 
-def healthy_split_quantile(scores: DataFrame, quantile: float = QUANTILE, gap: int = 0) -> Policy:
-    return Policy(_value(healthy_threshold(scores, quantile, gap).select("threshold")), "healthy_split")
+def healthy_split_quantile(scores: DataFrame, quantile: float = QUANTILE, gap: int = 0, per_resource: bool = True) -> Policy:
+    return Policy(_value(healthy_threshold(scores, quantile, gap, per_resource).select("threshold")), "healthy_split")
 
 
 def per_resource_margin(calibration: DataFrame, fallback: float, quantile: float = QUANTILE, margin: float = 1.5, eligible: DataFrame | None = None) -> Policy:
@@ -162,12 +196,12 @@ def per_resource_margin(calibration: DataFrame, fallback: float, quantile: float
     own = quantile_threshold(calibration, quantile, ["resource_id"]).where((F.col("n") >= LEAST_WINDOWS) & (F.col("threshold") > 0))
     if eligible is not None:
         own = own.join(eligible.where("eligible").select("resource_id"), "resource_id", "left_semi")
-    return Policy(fallback, "global", own.select("resource_id", (F.col("threshold") * _checked(margin)).alias("threshold")))
+    return Policy(fallback, "global", own.select("resource_id", (F.col("threshold") * checked_margin(margin)).alias("threshold")))
 
 
 def serving_block(spark: SparkSession, block: dict) -> Policy:
-    """A baked block: threshold, and optionally margin and a quantile for each resource."""
-    own = [(r, q * _checked(block.get("margin", 1.0))) for r, q in (block.get("per_resource") or {}).items()]
+    """A baked block: threshold, and optionally thresholds of resources' own, times `margin` if the block has one."""
+    own = [(r, float(q) * checked_margin(block.get("margin", 1.0))) for r, q in (block.get("per_resource") or {}).items()]
     return Policy(block["threshold"], "global", spark.createDataFrame(own, "resource_id string, threshold double"))
 
 
@@ -192,10 +226,11 @@ def eligibility(scores: DataFrame, metrics: DataFrame, features: Sequence[str],
     everything = F.broadcast(named.agg(F.collect_set("metric_name").alias("everything")))  # one row, as wide as the profile
     per = quantile_threshold(scores, quantile, ["resource_id"]).join(have, "resource_id", "left").join(everything)
     lacking = F.array_sort(F.array_except("everything", F.coalesce("have", F.array().cast("array<string>"))))
+    # fixed values: the reason codes
     reasons = F.array_compact(F.array(
-        F.when(F.size(lacking) > 0, F.concat(F.lit("DIVERGENT_COVERAGE:"), F.array_join(lacking, ","))),
-        F.when(F.col("n") < least, F.concat(F.lit("INSUFFICIENT_WINDOWS:"), F.col("n").cast("string"))),
-        F.when(F.col("threshold") <= 0, F.lit("NONPOSITIVE_QUANTILE")),
+        F.when(F.size(lacking) > 0, F.concat(F.lit("divergent-coverage:"), F.array_join(lacking, ","))),
+        F.when(F.col("n") < least, F.concat(F.lit("insufficient-windows:"), F.col("n").cast("string"), F.lit(f"<{least}"))),
+        F.when(F.col("threshold") <= 0, F.concat(F.lit("non-positive-quantile:"), F.col("threshold").cast("string"))),
     ))
     return per.select("resource_id", "n", F.col("threshold").alias("quantile"), reasons.alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
 

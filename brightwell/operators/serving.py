@@ -41,8 +41,8 @@ def score_latest(metrics: DataFrame, names: Sequence[str], params: DataFrame, po
     recent = recent_rows(metrics.where(F.col("metric_name").isin(*names) & F.col("value").isNotNull()), size)
     have = recent.groupBy("resource_id").agg((F.countDistinct("metric_name") / len(names)).alias("coverage"))
     wide = features.pivot_wide(recent, names)
-    rows = features.fill_windows(features.window_rows(wide, size), names)
-    scores = scorer(features.apply_zscore(rows, params), list(names))
+    rows = features.filled_windows(wide, names, size)
+    scores = scorer(features.apply_zscore(rows, params, list(names)), list(names))
     return scoring.latest_scores(scores, policy).join(have, "resource_id")
 
 

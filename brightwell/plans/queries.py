@@ -6,12 +6,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from brightwell.functions import severity_of_ratio
-from brightwell.operators import clustering, detection, features, forecast, gates, quality, scoring, serving
+from brightwell.operators import cases, clustering, detection, features, forecast, gates, neural, quality, scoring, serving
+from brightwell.plans import incident, suite
 from brightwell.sources import Profile, canonical, event_metrics, hourly_metrics, in_range, lookback, profiles_frame, unpivot_payload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,17 +70,28 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filled(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
-    return features.fill_windows(features.window_rows(_wide(spark, sf_dir), SIZE, step), NUMERICAL + CATEGORICAL)
+    return features.filled_windows(_wide(spark, sf_dir), NUMERICAL + CATEGORICAL, SIZE, step)
+
+
+def _normalised(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
+    filled = _filled(spark, sf_dir, step)
+    return features.apply_zscore(filled, features.fit_zscore(filled, NUMERICAL), NUMERICAL)
+
+
+_made: dict[tuple[str, str], DataFrame] = {}
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = _filled(spark, sf_dir, 1)
-    return scoring.score_window_mean(features.apply_zscore(filled, features.fit_zscore(filled, NUMERICAL)), NUMERICAL)
+    """The score table of a capture, made once in a session and read by all that needs scores; on disk, as rows are few beside the windows they sum up."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _made:
+        _made[key] = scoring.score_window_mean(_normalised(spark, sf_dir, 1), NUMERICAL).persist(StorageLevel.DISK_ONLY)
+    return _made[key]
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _scores(spark, sf_dir)
-    at = scores.agg(F.percentile("error", F.lit(QUANTILE)).alias("threshold"))
+    at = scoring.pooled_quantile(scores, QUANTILE).select("threshold")
     return detection.flag(scores.join(F.broadcast(at)))  # one row
 
 
@@ -215,14 +229,13 @@ def zscore_params(spark, sf_dir):
 
 @query(f"WITH {W5} SELECT resource_id, window_id, pos, {', '.join(f'round(({f} - m_{f}) / s_{f}, 6) AS {f}' for f in NUMERICAL)} FROM filled, params")
 def zscore_apply(spark, sf_dir):
-    filled = _filled(spark, sf_dir)
-    return rounded(features.apply_zscore(filled, features.fit_zscore(filled, NUMERICAL)).select("resource_id", F.col("window_id").cast("long").alias("window_id"), F.col("pos").cast("long").alias("pos"), *NUMERICAL))
+    return rounded(_normalised(spark, sf_dir).select("resource_id", F.col("window_id").cast("long").alias("window_id"), F.col("pos").cast("long").alias("pos"), *NUMERICAL))
 
 
 @query(f"WITH {W5}, b AS (SELECT min(signup) AS l1, max(signup) AS h1, min(error) AS l2, max(error) AS h2 FROM filled) SELECT resource_id, window_id, pos, round((signup - l1) / (h1 - l1), 6) AS signup, round((error - l2) / (h2 - l2), 6) AS error FROM filled, b")
 def minmax_encode(spark, sf_dir):
     filled = _filled(spark, sf_dir)
-    return rounded(features.apply_minmax(filled, features.fit_minmax(filled, CATEGORICAL)).select("resource_id", F.col("window_id").cast("long").alias("window_id"), F.col("pos").cast("long").alias("pos"), *CATEGORICAL))
+    return rounded(features.apply_minmax(filled, features.fit_minmax(filled, CATEGORICAL), CATEGORICAL).select("resource_id", F.col("window_id").cast("long").alias("window_id"), F.col("pos").cast("long").alias("pos"), *CATEGORICAL))
 
 
 # -- scores and thresholds ---------------------------------------------------------------------
@@ -239,8 +252,7 @@ def window_scores(spark, sf_dir):
 
 @query(f"WITH {_windows(1)} SELECT resource_id, window_id, CAST(epoch(max(timestamp)) AS BIGINT) AS end_time, round(({' + '.join(f'avg((({f} - m_{f}) / s_{f}) * (({f} - m_{f}) / s_{f}))' for f in NUMERICAL)}) / 3, 6) AS error FROM filled, params GROUP BY 1, 2")
 def training_mean_scores(spark, sf_dir):
-    filled = _filled(spark, sf_dir, 1)
-    return _keyed(scoring.score_training_mean(features.apply_zscore(filled, features.fit_zscore(filled, NUMERICAL)), NUMERICAL))
+    return _keyed(scoring.score_training_mean(_normalised(spark, sf_dir, 1), NUMERICAL))
 
 
 SPLIT = f"{SCORES}, ord AS (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY end_time, window_id) AS rn, count(*) OVER (PARTITION BY resource_id) AS cnt FROM scores), split AS (SELECT *, CASE WHEN cnt < 2 OR rn <= cnt // 2 THEN 'fit' WHEN rn > cnt // 2 + 12 THEN 'eval' END AS part FROM ord)"
@@ -252,14 +264,8 @@ def per_resource_time_split(spark, sf_dir):
     return rounded(split.groupBy("resource_id", F.coalesce("part", F.lit("gap")).alias("part")).agg(F.count("*").alias("n"), F.min("end_time").alias("first_end")))
 
 
-@query(f"WITH {SCORES}, o AS (SELECT *, row_number() OVER (ORDER BY end_time, resource_id, window_id) AS rn, count(*) OVER () AS n FROM scores WHERE resource_id = '3') SELECT count(*) FILTER (rn <= n // 2) AS fit, count(*) FILTER (rn > n // 2 + 12) AS later FROM o")
-def pooled_time_split(spark, sf_dir):
-    split = scoring.time_split(_scores(spark, sf_dir).where("resource_id = '3'"), 12, per_resource=False)
-    return split.agg(F.count(F.when(F.col("part") == "fit", 1)).alias("fit"), F.count(F.when(F.col("part") == "eval", 1)).alias("later"))
-
-
 @query(f"WITH {SCORES}, o AS (SELECT *, row_number() OVER (ORDER BY end_time, resource_id, window_id) AS rn, count(*) OVER () AS n FROM scores) SELECT count(*) FILTER (rn <= n // 2) AS fit, count(*) FILTER (rn > n // 2 + 12) AS later FROM o")
-def pooled_time_split_whole(spark, sf_dir):
+def pooled_time_split(spark, sf_dir):
     split = scoring.time_split(_scores(spark, sf_dir), 12, per_resource=False)
     return split.agg(F.count(F.when(F.col("part") == "fit", 1)).alias("fit"), F.count(F.when(F.col("part") == "eval", 1)).alias("later"))
 
@@ -290,7 +296,7 @@ def per_resource_margin_thresholds(spark, sf_dir):
 @query(f"""WITH {SCORES}, hv AS (SELECT DISTINCT resource_id, metric_name FROM h WHERE value IS NOT NULL AND NOT (resource_id = '4' AND metric_name = 'click')), u AS (SELECT DISTINCT metric_name FROM hv WHERE metric_name IN ('click', 'view', 'purchase')),
 k AS (SELECT resource_id, count(*) AS n, quantile_cont(error, 0.99) AS q FROM scores GROUP BY 1),
 l AS (SELECT k.resource_id, string_agg(u.metric_name, ',' ORDER BY u.metric_name) AS lacking FROM k CROSS JOIN u LEFT JOIN hv ON hv.resource_id = k.resource_id AND hv.metric_name = u.metric_name WHERE hv.metric_name IS NULL GROUP BY 1)
-SELECT k.resource_id, n, concat_ws('|', 'DIVERGENT_COVERAGE:' || lacking, CASE WHEN n < 200 THEN 'INSUFFICIENT_WINDOWS:' || CAST(n AS VARCHAR) END, CASE WHEN q <= 0 THEN 'NONPOSITIVE_QUANTILE' END) AS reasons FROM k LEFT JOIN l USING (resource_id)""")
+SELECT k.resource_id, n, concat_ws('|', 'divergent-coverage:' || lacking, CASE WHEN n < 200 THEN 'insufficient-windows:' || CAST(n AS VARCHAR) || '<200' END, CASE WHEN q <= 0 THEN 'non-positive-quantile:' || CAST(q AS VARCHAR) END) AS reasons FROM k LEFT JOIN l USING (resource_id)""")
 def eligibility_gates(spark, sf_dir):
     metrics = hourly_metrics(spark, sf_dir).where(~((F.col("resource_id") == "4") & (F.col("metric_name") == "click")))
     return scoring.eligibility(_scores(spark, sf_dir), metrics, NUMERICAL, least=200).select("resource_id", "n", F.array_join("reasons", "|").alias("reasons"))
@@ -464,13 +470,16 @@ def psi_drift(spark, sf_dir):
     return rounded(forecast.psi(m.where(F.col("timestamp") < cut), m.where(F.col("timestamp") >= cut)))
 
 
-@query(f"""WITH {SCORES}, o AS (SELECT resource_id, error, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY resource_id) AS n, avg(error) OVER b AS m0, var_pop(error) OVER b AS v0, avg(error) OVER a AS m1, var_pop(error) OVER a AS v1 FROM scores
-  WINDOW w AS (PARTITION BY resource_id ORDER BY window_id), b AS (PARTITION BY resource_id ORDER BY window_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY resource_id ORDER BY window_id ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
-s AS (SELECT resource_id, i, round(abs(m0 - m1) / sqrt((v0 + v1) / 30 + 1e-10), 5) AS score FROM o WHERE i >= 30 AND i < n - 30)
-SELECT resource_id, max(score) AS score, max(score) > -ln(0.01) AS changed FROM s GROUP BY 1""")
+@query(f"""WITH {SCORES}, o AS (SELECT resource_id, error, row_number() OVER w - 1 AS i, count(*) OVER p AS n, sum(error) OVER p AS al, sum(error) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head,
+    avg(error) OVER b AS m0, var_pop(error) OVER b AS v0, avg(error) OVER a AS m1, var_pop(error) OVER a AS v1 FROM scores
+  WINDOW p AS (PARTITION BY resource_id), w AS (PARTITION BY resource_id ORDER BY window_id), b AS (PARTITION BY resource_id ORDER BY window_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY resource_id ORDER BY window_id ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+s AS (SELECT *, abs(m1 - m0) / sqrt(((v0 + v1) / 2 + 1e-10) * (1.0 / 30 + 1.0 / 30)) AS score FROM o WHERE i >= 30 AND i < n - 30),
+k AS (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY score DESC, i) AS best FROM s), t AS (SELECT resource_id, count(*) AS n, avg(error) AS mean FROM scores GROUP BY 1)
+SELECT t.resource_id, coalesce(score > -ln(0.01), false) AS has_drift, CASE WHEN score > -ln(0.01) THEN i END AS change_point_index, round(CASE WHEN t.n >= 60 THEN coalesce(score, 0) END, 5) AS score, round(coalesce(head / i, mean), 6) AS mean_before, round(coalesce((al - head) / (k.n - i), mean), 6) AS mean_after
+FROM t LEFT JOIN k ON k.resource_id = t.resource_id AND best = 1""")
 def change_point(spark, sf_dir):
-    found = forecast.change_point(_scores(spark, sf_dir).withColumn("ordinal", F.col("window_id")), by=["resource_id"])
-    return found.select("resource_id", F.round("score", 5).alias("score"), "changed")
+    found = forecast.change_point(_scores(spark, sf_dir).withColumn("ordinal", F.col("window_id")), ["resource_id"])
+    return found.select("resource_id", "has_drift", F.col("change_point_index").cast("long").alias("change_point_index"), F.round("score", 5).alias("score"), F.round("mean_before", 6).alias("mean_before"), F.round("mean_after", 6).alias("mean_after"))
 
 
 def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,18 +489,10 @@ def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FC = f"{H}, fc AS (SELECT resource_id, metric_name, timestamp, value AS actual, quantile_cont(value, 0.5) OVER w AS median, quantile_cont(value, 0.1) OVER w AS lower, quantile_cont(value, 0.9) OVER w AS upper FROM h WINDOW w AS (PARTITION BY resource_id, metric_name ORDER BY timestamp ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)), f AS (SELECT * FROM fc WHERE median IS NOT NULL)"
 
 
-@query(f"""WITH {FC}, v AS (SELECT *, greatest((actual - upper) / greatest(upper - lower, 1e-10), (lower - actual) / greatest(upper - lower, 1e-10), 0) AS x FROM f WHERE upper - lower > 1e-6), g AS (SELECT resource_id, timestamp, max(x) AS score, coalesce(string_agg(CASE WHEN x > 0 THEN metric_name END, ',' ORDER BY metric_name), '') AS violated FROM v GROUP BY 1, 2)
-SELECT resource_id, CAST(epoch(timestamp) AS BIGINT) AS timestamp, round(score, 6) AS score, violated, CASE WHEN score >= 2 THEN 'critical' WHEN score >= 1 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS severity FROM g""")
-def interval_anomaly(spark, sf_dir):
-    # intervals of no width give scores of 1e10 and more, where the engines' roundings differ
-    out = forecast.interval_anomaly(_forecasts(spark, sf_dir).where(F.col("upper") - F.col("lower") > 1e-6), ["resource_id", "timestamp"])
-    return rounded(out.select("resource_id", "timestamp", "score", F.array_join("violated", ",").alias("violated"), "severity"))
-
-
 # ln(1 + score) compares scores by relative precision, as intervals of no width give 1e10 and more
 @query(f"""WITH {FC}, v AS (SELECT *, greatest((actual - upper) / greatest(upper - lower, 1e-10), (lower - actual) / greatest(upper - lower, 1e-10), 0) AS x FROM f), g AS (SELECT resource_id, timestamp, max(x) AS score, coalesce(string_agg(CASE WHEN x > 0 THEN metric_name END, ',' ORDER BY metric_name), '') AS violated FROM v GROUP BY 1, 2)
-SELECT resource_id, CAST(epoch(timestamp) AS BIGINT) AS timestamp, round(ln(1 + score), 4) AS log_score, violated, CASE WHEN score >= 2 THEN 'critical' WHEN score >= 1 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS severity FROM g""")
-def interval_anomaly_whole(spark, sf_dir):
+SELECT resource_id, CAST(epoch(timestamp) AS BIGINT) AS timestamp, round(ln(1 + score), 4) AS log_score, violated, CASE WHEN score >= 2 THEN 'critical' WHEN score >= 1 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM g""")
+def interval_anomaly(spark, sf_dir):
     out = forecast.interval_anomaly(_forecasts(spark, sf_dir), ["resource_id", "timestamp"])
     return rounded(out.select("resource_id", "timestamp", F.round(F.log1p("score"), 4).alias("log_score"), F.array_join("violated", ",").alias("violated"), "severity"))
 
@@ -513,7 +514,7 @@ SELECT l.g AS "group", round(avg(moved), 6) AS transition_rate, round(stddev_pop
 def cluster_stability(spark, sf_dir):
     user = F.col("resource_id").cast("long")
     rows = event_metrics(spark, sf_dir).select((user % 6).alias("group"), "ordinal", (user % 4).cast("int").alias("cluster_id"), F.col("value").alias("confidence"))
-    out = forecast.cluster_stability(rows, by=["group"])
+    out = forecast.cluster_stability(rows, ["group"])
     return out.select("group", F.round("transition_rate", 6).alias("transition_rate"), F.round("confidence_std", 5).alias("confidence_std"), "n", F.round("dominant_share", 6).alias("dominant_share"))
 
 
@@ -523,6 +524,31 @@ def hourly_rollup(spark, sf_dir):
     return m.select(F.unix_seconds("w.start").alias("hour"), "metric_name", F.round("x", 6).alias("max_value"), F.round("s", 4).alias("sum_value"), F.round("a", 6).alias("avg_value"))
 
 
+@query(f"""WITH {H}, r AS (SELECT *, row_number() OVER (PARTITION BY resource_id, metric_name ORDER BY timestamp DESC) AS k FROM h WHERE value IS NOT NULL),
+q AS (SELECT resource_id, metric_name, max(timestamp) AS made_at, quantile_cont(value, 0.1) AS lower, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.9) AS upper FROM r WHERE k <= 500 GROUP BY 1, 2)
+SELECT resource_id, metric_name, CAST(epoch(made_at) AS BIGINT) AS made_at, horizon, round(lower, 4) AS lower, round(median, 4) AS median, round(upper, 4) AS upper FROM q, (VALUES (15), (60), (240), (1440)) v(horizon)""")
+def forecast_horizons(spark, sf_dir):
+    return rounded(forecast.forecast_horizons(hourly_metrics(spark, sf_dir)))
+
+
+@query(f"""WITH {FC} SELECT f.resource_id, f.metric_name, CAST(epoch(f.timestamp) AS BIGINT) AS made_at, horizon, round(h.value - f.median, 6) AS residual, round(f.upper - f.lower, 6) AS width
+FROM f, (VALUES (1), (6)) v(horizon), h WHERE h.resource_id = f.resource_id AND h.metric_name = f.metric_name AND h.timestamp = f.timestamp + horizon * INTERVAL 1 HOUR""")
+def forecast_actuals(spark, sf_dir):
+    made = _forecasts(spark, sf_dir).drop("actual").withColumnRenamed("timestamp", "made_at").withColumn("horizon", F.explode(F.array(F.lit(1), F.lit(6))))
+    return rounded(forecast.residuals(forecast.with_actuals(made, hourly_metrics(spark, sf_dir), 3600.0)).select("resource_id", "metric_name", "made_at", "horizon", "residual", "width"))
+
+
+@query(f"""WITH {W5}, ctx AS (SELECT pos, {', '.join(f'avg({f}) AS {f}' for f in NUMERICAL)} FROM filled GROUP BY 1), u AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f} AS x FROM ctx" for f in NUMERICAL)}),
+q AS (SELECT feature, avg(x) AS mean, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.9), 4) - round(quantile_cont(x, 0.1), 4) AS width FROM u GROUP BY 1)
+SELECT kind || '_' || feature || '_' || CAST(horizon AS VARCHAR) AS name, round(CASE kind WHEN 'residual' THEN mean - median ELSE width END, 5) AS value FROM q, (VALUES ('residual'), ('width')) k(kind), (VALUES (15), (60), (240), (1440)) v(horizon)""")
+def enriched_windows(spark, sf_dir):
+    rows = _filled(spark, sf_dir)
+    told = forecast.forecast_horizons(forecast.mean_windows(rows, NUMERICAL), by=["feature"])
+    wide, names = forecast.enrich(rows, NUMERICAL, forecasts=told)
+    one = wide.agg(*(F.max(n).alias(n) for n in names))
+    return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("name", "value")).select("name", F.round("value", 5).alias("value"))
+
+
 # -- clusters ----------------------------------------------------------------------------------
 
 C_SQL = """e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), c AS (SELECT label AS cluster_id, p, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY 1, 2),
@@ -549,15 +575,17 @@ def target_distribution(spark, sf_dir):
     return rounded(clustering.target_distribution(_soft(spark, sf_dir)).drop("q"), 5)
 
 
-@query(f"WITH {C_SQL} SELECT cluster_id, count(*) AS size, round(avg(sqrt(d2)), 5) AS mean_distance, round(stddev_pop(sqrt(d2)), 5) AS distance_std, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 5) AS percent FROM d WHERE cluster_id = label GROUP BY 1")
+@query(f"WITH {C_SQL} SELECT cluster_id, count(*) AS size, round(avg(sqrt(d2)), 5) AS mean_distance, round(stddev_pop(sqrt(d2)), 5) AS distance_std, round((SELECT avg(s) FROM (SELECT stddev_pop(CAST(x AS DOUBLE)) AS s FROM e WHERE e.label = d.cluster_id GROUP BY p)), 5) AS mean_std, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 5) AS percent FROM d WHERE cluster_id = label GROUP BY 1")
 def cluster_summary(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
-    return rounded(clustering.cluster_summary(rows, rows.select("vec_id", F.col("label").alias("cluster_id")), clustering.centroids(rows)), 5).select("cluster_id", "size", "mean_distance", "distance_std", "percent")
+    return rounded(clustering.cluster_summary(rows, rows.select("vec_id", F.col("label").alias("cluster_id")), clustering.centroids(rows)), 5).select("cluster_id", "size", "mean_distance", "distance_std", "mean_std", "percent")
 
 
-@query()
+# the sample is the whole table while that has no more than 2000 rows, as all given ones have
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), d AS (SELECT a.vec_id, a.label AS own, b.label, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM e a CROSS JOIN e b GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, max(CASE WHEN label = own AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN label <> own THEN s / n END) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette, count(*) AS rows FROM m""")
 def silhouette(spark, sf_dir):
-    return clustering.silhouette(_embeddings(spark, sf_dir))
+    return rounded(clustering.silhouette(_embeddings(spark, sf_dir)))
 
 
 @query()
@@ -567,22 +595,15 @@ def kmeans_clusters(spark, sf_dir):
 
 @query()
 def pca_scores(spark, sf_dir):
-    filled = _filled(spark, sf_dir)
-    return scoring.pca_scorer(3)(features.apply_zscore(filled, features.fit_zscore(filled, NUMERICAL)), NUMERICAL)
+    return scoring.pca_scorer(3)(_normalised(spark, sf_dir), NUMERICAL)
 
 
 # -- sources -----------------------------------------------------------------------------------
 
 
-@query("""WITH x AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms, value, event_id FROM events WHERE event_id % 10 = 0)
-SELECT CAST(user_id AS VARCHAR) AS resource_id, name AS metric_name, ms, round(CASE name WHEN 'value' THEN value ELSE CAST(event_id AS DOUBLE) END, 6) AS value FROM x, (VALUES ('value'), ('id')) v(name) WHERE NOT (name = 'value' AND event_id % 3 = 0)""")
-def vendor_unpivot(spark, sf_dir):
-    return _unpivoted(event_metrics(spark, sf_dir).where(F.col("ordinal") % 10 == 0))
-
-
 @query("""WITH x AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms, value, event_id FROM events)
 SELECT CAST(user_id AS VARCHAR) AS resource_id, name AS metric_name, ms, round(CASE name WHEN 'value' THEN value ELSE CAST(event_id AS DOUBLE) END, 6) AS value FROM x, (VALUES ('value'), ('id')) v(name) WHERE NOT (name = 'value' AND event_id % 3 = 0)""")
-def vendor_unpivot_whole(spark, sf_dir):
+def vendor_unpivot(spark, sf_dir):
     return _unpivoted(event_metrics(spark, sf_dir))
 
 
@@ -627,13 +648,103 @@ def served_scores(spark, sf_dir):
     return serving.score_latest(hourly_metrics(spark, sf_dir), NUMERICAL, features.fit_zscore(filled, NUMERICAL), scoring.global_override(1.0), SIZE)
 
 
-@query()
+RUBRIC = {
+    "version": 1, "profile": "events", "headline_grid": "offline", "grids": {"offline": {"step_samples": 1}},
+    "detection": {"mode": "lookback", "onset_anchor": "T0", "sustain": 3, "lead_in_hours": 24, "max_leadtime_minutes": LONGEST_LEAD // 60},
+    "gates": {
+        "no_pre_onset_bridging": {"required": True, "allow_absent": True}, "detection_lead": {"required": True, "allow_absent": True, "min_lead_vs": "T2", "min_lead_seconds": 0},
+        "lead_in_fpr": {"required": True, "allow_absent": True, "max_fraction": 0.05, "min_eval_windows": 12},
+        "alarm_fatigue": {"required": True, "allow_absent": True, "sustain": 1, "max_time_in_alarm_fraction_per_resource": 0.15, "max_fleet_raises_per_week": 10},
+        "negative_controls_clean": {"required": True, "allow_absent": True}, "coverage_integrity": {"required": True}, "sanity": {"required": True},
+    },
+}
+NO_CASES = "SELECT '{case}' AS case_name, '{gate}' AS gate, false AS applicable, true AS passed, '' AS offenders"
+
+
+@query(f"""WITH {SCAN}, det AS (SELECT case_id, anchor, {LOOKBACK} AS t, coalesce(bool_or(run_start < anchor AND run_end >= anchor), false) AS bridged FROM j WHERE case_id = 'b' GROUP BY 1, 2),
+  ld AS (SELECT f.* FROM flagged f JOIN incidents i ON case_id = 'b' AND f.resource_id = i.resource_id AND f.end_time >= i.anchor - INTERVAL 1 DAY AND f.end_time < i.anchor), lr AS ({RUNS.format(by='resource_id', of='ld')}),
+  li AS (SELECT (SELECT count(*) FROM ld) AS n, coalesce((SELECT sum(length) FROM lr WHERE length >= 3), 0) AS covered),
+  cs AS (SELECT f.* FROM flagged f JOIN incidents i ON case_id = 'b' AND f.resource_id IN ('3', '5') AND f.end_time >= i.anchor - INTERVAL 1 DAY AND f.end_time <= i."end"), cr AS ({RUNS.format(by='resource_id', of='cs')}),
+  hv AS (SELECT DISTINCT resource_id, metric_name FROM h WHERE value IS NOT NULL AND metric_name IN ('click', 'view', 'purchase')), ur AS (SELECT DISTINCT metric_name FROM hv),
+  el AS (SELECT resource_id, count(*) < 50 OR quantile_cont(error, 0.99) <= 0 OR (SELECT count(*) FROM hv WHERE hv.resource_id = scores.resource_id) < (SELECT count(*) FROM ur) AS dirty FROM scores GROUP BY 1),
+  fr AS ({RUNS.format(by='resource_id', of='flagged')}), st AS (SELECT resource_id, coalesce(quantile_cont(gap, 0.5), 0) AS step FROM (SELECT resource_id, epoch(end_time) - epoch(lag(end_time) OVER (PARTITION BY resource_id ORDER BY end_time, window_id)) AS gap FROM flagged) GROUP BY 1),
+  sp AS (SELECT resource_id, epoch(max(end_time)) - epoch(min(end_time)) AS span FROM flagged GROUP BY 1),
+  fa AS (SELECT sp.resource_id, (coalesce(sum(epoch(run_end) - epoch(run_start)), 0) + count(length) * any_value(step)) / nullif(any_value(span), 0) AS share, count(length) * 604800 / nullif(any_value(span), 0) AS rate FROM sp JOIN st USING (resource_id) LEFT JOIN fr ON fr.resource_id = sp.resource_id GROUP BY 1),
+  who AS (SELECT 'incident' AS case_name, unnest(['2', '3', '5']) AS resource_id UNION ALL SELECT 'healthy', resource_id FROM sp),
+  bad AS (SELECT case_name, coalesce(string_agg(CASE WHEN coalesce(dirty, true) THEN who.resource_id END, ',' ORDER BY who.resource_id), '') AS offenders FROM who LEFT JOIN el ON el.resource_id = who.resource_id GROUP BY 1),
+  tired AS (SELECT coalesce(string_agg(CASE WHEN share > 0.15 THEN resource_id END, ',' ORDER BY resource_id), '') AS offenders, sum(coalesce(rate, 0)) AS weekly FROM fa),
+  noisy AS (SELECT coalesce(string_agg(DISTINCT resource_id, ',' ORDER BY resource_id), '') AS offenders FROM cr WHERE length >= 3)
+SELECT 'incident' AS case_name, 'no_pre_onset_bridging' AS gate, true AS applicable, NOT bridged AS passed, CASE WHEN bridged THEN '2' ELSE '' END AS offenders FROM det
+UNION ALL SELECT 'incident', 'detection_lead', true, t IS NOT NULL AND epoch(anchor) + 21600 - epoch(t) >= 0, CASE WHEN t IS NOT NULL AND epoch(anchor) + 21600 - epoch(t) >= 0 THEN '' ELSE '2' END FROM det
+UNION ALL SELECT 'incident', 'lead_in_fpr', true, n >= 12 AND covered <= 0.05 * n, CASE WHEN n >= 12 AND covered <= 0.05 * n THEN '' ELSE '2' END FROM li
+UNION ALL SELECT 'incident', 'negative_controls_clean', true, offenders = '', offenders FROM noisy
+UNION ALL SELECT case_name, 'coverage_integrity', true, offenders = '', offenders FROM bad
+UNION ALL SELECT c, 'sanity', true, (SELECT threshold > 0 FROM thr), CASE WHEN (SELECT threshold > 0 FROM thr) THEN '' ELSE 'all' END FROM (VALUES ('incident'), ('healthy')) v(c)
+UNION ALL SELECT 'healthy', 'alarm_fatigue', true, offenders = '' AND weekly <= 10, offenders FROM tired
+UNION ALL {NO_CASES.format(case='incident', gate='alarm_fatigue')}
+UNION ALL {" UNION ALL ".join(NO_CASES.format(case='healthy', gate=g) for g in ('no_pre_onset_bridging', 'detection_lead', 'lead_in_fpr', 'negative_controls_clean'))}""")
 def rubric_gates(spark, sf_dir):
-    """Gate verdicts of the three incidents, pooled, as rows."""
-    flagged = _flagged(spark, sf_dir).persist()
-    found = detection.detect(flagged, _incidents(spark), max_lead=LONGEST_LEAD).collect()
-    pooled = {r["sustain"]: r for r in detection.pooled_lead_in(detection.lead_in_rates(flagged, _incidents(spark))).collect()}[3]
-    leads = [r["lead_seconds"] for r in found if r["detected"]]
-    bundle = gates.Bundle("incident", detected=len(leads) == len(found), bridged=any(r["bridged"] for r in found), lead_seconds=min(leads) if leads else None, lead_in_fpr=pooled["fpr"], lead_in_windows=pooled["windows"])
-    flagged.unpersist()
-    return spark.createDataFrame([(g.name, g.passed, g.reason, g.required) for g in gates.evaluate(bundle)[1]], "gate string, passed boolean, reason string, required boolean")
+    """All seven gates on a case with an incident and two controls, and on the whole fleet taken as healthy."""
+    flagged = _flagged(spark, sf_dir).withColumn("source", F.lit("global"))
+    later = F.timestamp_seconds(F.unix_seconds("anchor") + 6 * 3600)
+    incident = _incidents(spark).where("case_id = 'b'").select("resource_id", F.lit("incident").alias("role"), F.create_map(F.lit("T0"), "anchor", F.lit("T2"), later).alias("onsets"), F.lit("T0").alias("primary_onset"), "end")
+    controls = spark.createDataFrame([("3",), ("5",)], "resource_id string").withColumn("role", F.lit("negative_control"))
+    labels = incident.unionByName(controls, allowMissingColumns=True)
+    hygiene = scoring.eligibility(_scores(spark, sf_dir), hourly_metrics(spark, sf_dir), NUMERICAL)
+    read = gates.reading(RUBRIC)
+    out = None
+    for name, known in (("incident", labels), ("healthy", None)):
+        judged = gates.judge(cases.case_metrics(flagged, known, read), RUBRIC, "offline", hygiene, "events").withColumn("case_name", F.lit(name))
+        out = judged if out is None else out.unionByName(judged)
+    return out.select("case_name", "gate", "applicable", "passed", F.array_join("offenders", ",").alias("offenders"))
+
+
+@query(f"""WITH {FLAGGED}, {I_SQL}, fr AS ({RUNS.format(by='resource_id', of='flagged')}), st AS (SELECT resource_id, coalesce(quantile_cont(gap, 0.5), 0) AS step FROM (SELECT resource_id, epoch(end_time) - epoch(lag(end_time) OVER (PARTITION BY resource_id ORDER BY end_time, window_id)) AS gap FROM flagged) GROUP BY 1),
+  o AS (SELECT i.resource_id, epoch(i."end") - epoch(anchor) AS span, epoch(run_end) + step AS cleared, least(epoch(run_end) + step, epoch(i."end")) - greatest(epoch(run_start), epoch(anchor)) AS ov, epoch(i."end") AS e FROM incidents i LEFT JOIN st ON st.resource_id = i.resource_id LEFT JOIN fr ON fr.resource_id = i.resource_id AND length >= 3),
+  c AS (SELECT resource_id, any_value(span) AS span, coalesce(sum(ov) FILTER (ov > 0), 0) AS secs, any_value(e) - max(cleared) FILTER (ov > 0) AS clear FROM o GROUP BY 1)
+SELECT c.resource_id, 'incident' AS role, round(secs, 6) AS alarm_seconds_in_incident, round(secs / span, 6) AS coverage_fraction, round(clear, 6) AS clear_lead_vs_end_s, (SELECT count(*) FROM flagged f WHERE f.resource_id = c.resource_id) AS n_eval_windows,
+  (SELECT count(*) FROM fr WHERE fr.resource_id = c.resource_id AND length >= 3) AS runs_3, (SELECT count(*) FROM fr WHERE fr.resource_id = c.resource_id) AS runs_1 FROM c""")
+def case_metrics(spark, sf_dir):
+    """What the harness says of each incident resource, with alarms lasting a step beyond their last window."""
+    labels = _incidents(spark).select("resource_id", F.lit("incident").alias("role"), F.create_map(F.lit("T0"), "anchor").alias("onsets"), F.lit("T0").alias("primary_onset"), "end")
+    per = cases.case_metrics(_flagged(spark, sf_dir).withColumn("source", F.lit("global")), labels, gates.reading(RUBRIC))
+    runs = lambda s: F.element_at("sustained_run_counts", F.lit(s))
+    return rounded(per.select("resource_id", "role", "alarm_seconds_in_incident", "coverage_fraction", "clear_lead_vs_end_s", "n_eval_windows", runs(3).alias("runs_3"), runs(1).alias("runs_1")))
+
+
+POOLED = f"{SCORES}, o AS (SELECT *, row_number() OVER (ORDER BY end_time, resource_id, window_id) AS rn, count(*) OVER () AS n FROM scores), t AS (SELECT quantile_cont(error, 0.99) AS threshold FROM o WHERE rn <= n // 2)"
+
+
+@query(f"""WITH {POOLED}, hv AS (SELECT DISTINCT resource_id, metric_name FROM h WHERE value IS NOT NULL AND metric_name IN ('click', 'view', 'purchase')), ur AS (SELECT DISTINCT metric_name FROM hv),
+own AS (SELECT resource_id, 1.5 * quantile_cont(error, 0.99) AS threshold FROM scores GROUP BY 1 HAVING count(*) >= 50 AND quantile_cont(error, 0.99) > 0 AND (SELECT count(*) FROM hv WHERE hv.resource_id = scores.resource_id) = (SELECT count(*) FROM ur))
+SELECT 'GLOBAL' AS resource_id, round(threshold, 6) AS threshold, (SELECT round(avg(CAST(error > threshold AS INT)), 6) FROM o WHERE rn > n // 2 + 12) AS healthy_fpr FROM t UNION ALL SELECT resource_id, round(threshold, 6), NULL FROM own""")
+def serving_bake(spark, sf_dir):
+    """The block that a healthy capture bakes into a model, as rows."""
+    model = suite.Model(Profile("events", NUMERICAL, CATEGORICAL), features.fit_zscore(_filled(spark, sf_dir, 1), NUMERICAL), scoring.score_window_mean, SIZE)
+    block, _ = suite.bake_serving_block(model, hourly_metrics(spark, sf_dir), 0.99, 1, 1.5)
+    rows = [("GLOBAL", block["threshold"], block["healthy_fpr"]), *((r, t, None) for r, t in block["per_resource"].items())]
+    return rounded(spark.createDataFrame(rows, "resource_id string, threshold double, healthy_fpr double"))
+
+
+@query(f"""WITH {SCORES}, {I_SQL}, pre AS (SELECT *, row_number() OVER (ORDER BY end_time, resource_id, window_id) AS rn, count(*) OVER () AS n FROM scores WHERE end_time < (SELECT min(anchor) FROM incidents)),
+  thr AS (SELECT quantile_cont(error, {QUANTILE}) AS threshold FROM pre WHERE rn <= n // 2), flagged AS (SELECT scores.*, error > threshold AS flag FROM scores, thr),
+  scan AS (SELECT f.*, i.case_id FROM flagged f JOIN incidents i ON f.resource_id = i.resource_id AND f.end_time >= i.anchor - INTERVAL 12 HOUR AND f.end_time <= i."end"),
+  step AS (SELECT case_id, coalesce(quantile_cont(gap, 0.5), 0) AS step FROM (SELECT case_id, epoch(end_time) - epoch(lag(end_time) OVER (PARTITION BY case_id ORDER BY end_time, window_id)) AS gap FROM scan) GROUP BY 1),
+  runs AS (SELECT * FROM ({RUNS.format(by='case_id', of='scan')}) WHERE length >= 3), j AS (SELECT i.case_id, i.anchor, step, run_start, run_end FROM incidents i LEFT JOIN step USING (case_id) LEFT JOIN runs USING (case_id)),
+  d AS (SELECT case_id, any_value(anchor) AS anchor, {LOOKBACK} AS t FROM j GROUP BY 1)
+SELECT d.case_id, t IS NOT NULL AS detected, epoch(anchor) - epoch(t) AS lead_time_seconds, (SELECT round(max(error), 6) FROM scores s JOIN incidents i ON i.case_id = d.case_id AND s.resource_id = i.resource_id AND s.end_time BETWEEN i.anchor AND i."end") AS max_error_in_window,
+  (SELECT round(threshold, 6) FROM thr) AS threshold, (SELECT round(avg(CAST(error > threshold AS INT)), 6) FROM pre, thr WHERE rn > n // 2 + 12) AS healthy_fpr FROM d""")
+def incident_summary(spark, sf_dir):
+    """A capture with incidents from threshold to leads."""
+    out = incident.analyse(_scores(spark, sf_dir), _incidents(spark).withColumn("type", F.lit("load")), quantile=QUANTILE, gap=SIZE, max_lead=LONGEST_LEAD)
+    rows = [(i["case_id"], i["detected"], i["lead_time_seconds"], i["max_error_in_window"], out["threshold"], out["healthy_fpr"]) for i in out["incidents"]]
+    return rounded(spark.createDataFrame(rows, "case_id string, detected boolean, lead_time_seconds double, max_error_in_window double, threshold double, healthy_fpr double"))
+
+
+@query()
+def cluster_predictions(spark, sf_dir):
+    """Every resource's last window through a recurrent auto-encoder: cluster, what to do, how sure. The weights are seeded stand-ins."""
+    filled = _filled(spark, sf_dir)
+    rows = features.apply_minmax(features.apply_zscore(filled, features.fit_zscore(filled, NUMERICAL), NUMERICAL), features.fit_minmax(filled, CATEGORICAL), CATEGORICAL, clip=True)
+    load = partial(neural.random_network, len(NUMERICAL), len(CATEGORICAL))
+    return neural.predictions(neural.score_windows(rows, NUMERICAL, CATEGORICAL, load))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 from pathlib import Path
 from typing import Protocol
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,13 +78,27 @@ def located(uri: str) -> str:
     return f"{SCHEMES.get(scheme, scheme)}://{rest}" if found else uri
 
 
+def _is_csv(path: str, fmt: str | None) -> bool:
+    return (fmt or ("csv" if path.lower().endswith(".csv") else "parquet")) == "csv"
+
+
 def read_files(spark: SparkSession, uri: str, fmt: str | None = None, hive: bool = True) -> DataFrame:
-    """A scan of files, globs included, with columns united by name. fmt: csv or parquet, by default by suffix."""
+    """A scan of files, globs included, with columns united by name. fmt: csv or parquet, by default by suffix. CSV columns are texts, which `canonical` types."""
     path = located(uri)
     reader = spark.read.option("recursiveFileLookup", str(not hive).lower())
-    if (fmt or ("csv" if path.lower().endswith(".csv") else "parquet")) == "csv":
-        return reader.csv(path, header=True, inferSchema=True)
-    return reader.option("mergeSchema", "true").parquet(path)
+    if not _is_csv(path, fmt):
+        return reader.option("mergeSchema", "true").parquet(path)
+    # Spark reads all files of a CSV scan by the first one's header, so each header gets a scan of its own
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    scans = []
+    for r in heads:
+        names = next(csv.reader([r["head"].removeprefix("\ufeff")]))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        scans.append(spark.read.schema(schema).csv([unquote(f) for f in r["files"]], header=True))
+    if not scans:
+        return reader.csv(path, header=True)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def resource_column(columns: list[str]) -> str | None:
@@ -91,8 +108,8 @@ def resource_column(columns: list[str]) -> str | None:
 def canonical(raw: DataFrame) -> DataFrame:
     """Any known layout as the canonical columns.
 
-    Which columns exist is decided by schema, values by row: attributes (a JSON text) win over
-    columns of their own, value over value_double over value_int. What is no number or no time
+    Which columns exist is decided by schema, values by row: a key of attributes (a JSON text) wins
+    over a column of its own, even if the key's value is null; value over value_double over value_int. What is no number or no time
     becomes null; missing columns are null."""
     have = set(raw.columns)
 
@@ -101,7 +118,11 @@ def canonical(raw: DataFrame) -> DataFrame:
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
     def attribute(key: str, *names: str) -> Column:
-        return F.coalesce(F.get_json_object(F.col("attributes").cast("string"), f"$.{key}"), first(*names)) if "attributes" in have else first(*names)
+        if "attributes" not in have:
+            return first(*names)
+        text = F.col("attributes").cast("string")
+        told = F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
+        return F.when(told, F.get_json_object(text, f"$.{key}")).otherwise(first(*names))
 
     values = [number(F.col(c)) for c in ("value", "value_double", "value_int") if c in have]
     resource = resource_column(raw.columns)
@@ -152,17 +173,19 @@ class Files:
         return summary(self.table)
 
 
-def write_canonical(metrics: DataFrame, uri: str, fmt: str | None = None) -> DataFrame:
-    """Write and return the counts of what was written."""
-    path = located(uri)
-    metrics = metrics.select(*(F.col(f.name).cast(f.dataType) for f in CANONICAL))
-    if (fmt or ("csv" if path.lower().endswith(".csv") else "parquet")) == "csv":
-        metrics.write.mode("overwrite").csv(path, header=True)
+def write_canonical(metrics: DataFrame, uri: str, fmt: str | None = None) -> dict[str, int]:
+    """Write, and count: rows while writing, resources and metrics from two columns of what was written."""
+    path, seen = located(uri), Observation()
+    metrics = metrics.select(*(F.col(f.name).cast(f.dataType) for f in CANONICAL)).observe(seen, F.count(F.lit(1)).alias("rows"))
+    writer, spark = metrics.write.mode("overwrite"), metrics.sparkSession
+    if _is_csv(path, fmt):
+        writer.csv(path, header=True)
+        again = spark.read.schema(CANONICAL).csv(path, header=True)
     else:
-        metrics.write.mode("overwrite").parquet(path)
-    spark = metrics.sparkSession
-    again = spark.read.schema(CANONICAL).csv(path, header=True) if path.lower().endswith(".csv") or fmt == "csv" else spark.read.parquet(path)
-    return again.agg(F.count("*").alias("rows"), F.countDistinct("resource_id").alias("resources"), F.countDistinct("metric_name").alias("metrics"))
+        writer.parquet(path)
+        again = spark.read.schema(CANONICAL).parquet(path)
+    named = again.agg(F.countDistinct("resource_id").alias("resources"), F.countDistinct("metric_name").alias("metrics")).first()
+    return {"rows": seen.get["rows"], "resources": named["resources"], "metrics": named["metrics"]}
 
 
 def unpivot_payload(payload: DataFrame) -> DataFrame:
