@@ -15,7 +15,8 @@ are taken while the budget lasts; of the last one, the longest prefix whose toke
 Scale: the texts are read twice, once to count tokens and once to select. Prefix sums never bring a leaf together. Tokens are summed per leaf, epoch and bucket
 of the leading hash digits; the cut falls in one bucket of a leaf, and running sums are taken
 in that bucket alone. The number of buckets grows with the corpus, so a bucket stays small.
-The tree itself has one row per leaf.
+The tree itself has one row per leaf; a family's level is found by sums over buckets of its
+members, so no task orders all of them.
 
 Edge cases: a null domain, language or source is a branch of its own; weights not listed are
 1. A null or empty text has no tokens. Rows that
@@ -73,20 +74,48 @@ def _domain(mix: Mix, source: Column) -> Column:
     return reduce(lambda rest, kv: F.when(source.isin(*kv[1]), F.lit(kv[0])).otherwise(rest), mix.domains.items(), F.lit("other"))
 
 
+OCTAVE = 64  # buckets of room / weight for each doubling
+
+
+def _water(node: DataFrame, path: list[str]) -> DataFrame:
+    """(path, water): the level to which the families' budgets fill their members; null where they fill all. node: path, room, weight, given.
+
+    With members ordered by room / weight, the first whose share of what is left does not fill it sets the level. It is found in two steps: sums by bucket of that ratio tell in which bucket it lies, and only that bucket's ratios, equal ones as one, are put in order. Weights and rooms are whole numbers, so sums are exact in any order."""
+    keys = path or ["_all"]
+    by = lambda df: df if path else df.withColumn("_all", F.lit(0))
+    ratio = F.col("room") / F.col("weight")
+    bucket = F.when(ratio > 0, F.floor(F.log2(ratio) * OCTAVE)).otherwise(F.lit(-100_000)).cast("int")
+    grouped = by(node).groupBy(*keys, bucket.alias("bucket"), ratio.alias("ratio")).agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"), F.max("given").alias("given"))
+    sums = grouped.groupBy(*keys, "bucket").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"), F.max("given").alias("given"), F.max("ratio").alias("top"))
+    ordered = Window.partitionBy(*keys).orderBy("bucket")
+    before, onwards = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(0, Window.unboundedFollowing)
+    sums = sums.withColumns({"before": F.coalesce(F.sum("room").over(before), F.lit(0.0)), "rest": F.sum("weight").over(onwards)})
+    # at the level of its largest ratio, a bucket and all before it are full
+    sums = sums.withColumn("holds", F.col("before") + F.col("room") + F.col("top") * (F.col("rest") - F.col("weight")))
+    at = sums.where(F.col("holds") >= F.col("given")).groupBy(*keys).agg(F.min_by(F.struct("bucket", "before", "rest"), "bucket").alias("at"))
+    at = at.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("at.bucket").alias("in_bucket"), F.col("at.before").alias("before"), F.col("at.rest").alias("rest"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    inside = grouped.join(at, same & (F.col("bucket") == F.col("in_bucket")))
+    within = Window.partitionBy(*keys).orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
+    full = lambda c: F.coalesce(F.sum(c).over(within), F.lit(0.0))
+    share = (F.col("given") - F.col("before") - full("room")) / (F.col("rest") - full("weight"))
+    # by rounding, the bucket's last ratio may seem just too low; then it is the level
+    return inside.select(*keys, "ratio", share.alias("share")).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("share") <= F.col("ratio"), F.col("share"))), F.max("ratio")).alias("water"))
+
+
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves (domain, language, source, tokens) with the budget of each, by water-filling from the root."""
     weights = {"domain": mix.domain_weights, "language": mix.language_weights, "source": mix.source_weights}
-    tree = leaves.withColumn("given", F.lit(mix.budget_share) * F.sum("tokens").over(Window.partitionBy(F.lit(0))))
+    total = leaves.agg((F.lit(mix.budget_share) * F.sum("tokens")).alias("given"))
+    tree = leaves.join(F.broadcast(total))  # one row
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[:depth])
-        node = tree.groupBy(*path, level).agg((F.lit(mix.max_epochs) * F.sum("tokens")).cast("double").alias("room"), F.first("given").alias("given"))
+        node = tree.groupBy(*path, level).agg((F.lit(mix.max_epochs) * F.sum("tokens")).cast("double").alias("room"), F.max("given").alias("given"))
         node = node.withColumn("weight", _of(F.col(level), weights[level], 1).cast("double"))
-        family = Window.partitionBy(*(path or [F.lit(0)])).orderBy(F.col("room") / F.col("weight"), F.col(level))
-        node = node.withColumn("before", F.coalesce(F.sum("room").over(family.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        node = node.withColumn("rest", F.sum("weight").over(family.rowsBetween(0, Window.unboundedFollowing)))
-        # the first sibling that its share of what is left does not fill sets the level of all after it; later levels are lower
-        node = node.withColumn("share", (F.col("given") - F.col("before")) / F.col("rest"))
-        node = node.withColumn("water", F.max(F.when(F.col("share") * F.col("weight") <= F.col("room"), F.col("share"))).over(family.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        water = _water(node, path)
+        water = water.select(*(F.col(k).alias(f"_{k}") for k in path), "water")
+        family = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in path]) if path else F.lit(True)
+        node = node.join(water, family, "left") if path else node.join(F.broadcast(water.agg(F.max("water").alias("water"))))  # one row
         node = node.select(*path, level, F.least(F.col("room"), F.coalesce(F.col("water") * F.col("weight"), F.col("room"))).alias("granted"))
         keys = [*path, level]
         right = node.toDF(*(f"_{k}" for k in keys), "granted")
