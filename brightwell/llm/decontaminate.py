@@ -9,8 +9,9 @@ Myers' algorithm finds the least edit distance of the item to any stretch there.
 item that is shorter than that must occur exactly.
 
 Scale: items are the stated query set. They go out in blocks of at most `block_chars`, each
-block with one pass over the texts, so no broadcast grows with the items. Texts are never
-moved: a text yields its matches where it is read.
+block with one pass over the texts; beyond one block, the matches of a block are written and its
+broadcast is destroyed before the next is sent, so neither driver nor workers hold more than
+one. Texts are never moved: a text yields its matches where it is read.
 
 Edge cases: null texts and items are empty; an item without a letter or digit matches nothing.
 Repeated items or documents give repeated rows. Matches are the best one of each pair of text
@@ -26,11 +27,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import fresh, id_and_text, read
+from brightwell.llm.common import fresh, id_and_text, materialize, read, text_key
 
 RATE = 0.08
 MIN_PIECE = 12
 BLOCK_CHARS = 4_000_000
+BROADCAST_TEXTS = 100_000  # 16 bytes each
 MATCHES = "array<struct<item_id: bigint, distance: int, end: int>>"
 
 
@@ -150,22 +152,43 @@ def _matches(sent: Broadcast):
     return of
 
 
-def with_matches(docs: DataFrame, items: DataFrame, column: str, rate: float = RATE, min_piece: int = MIN_PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with an array of (item_id, distance, end) of the items found in each text."""
-    out = F.array().cast(MATCHES)
-    for block in _blocks(items, block_chars):
+def matches(docs: DataFrame, items: DataFrame, keep: list[str], rate: float = RATE, min_piece: int = MIN_PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """keep, item_id, distance, end: a row for each text of docs and item found in it."""
+    blocks, out, sent = _blocks(items, block_chars), None, None
+    name = fresh(docs, "found")
+    block = next(blocks, [])
+    while True:
+        following = next(blocks, None)
         sent = docs.sparkSession.sparkContext.broadcast((block, rate, min_piece))
-        out = F.concat(out, _matches(sent)(F.coalesce(F.col("text"), F.lit(""))))
-    return docs.withColumn(column, out)
+        found = docs.select(*keep, _matches(sent)(F.coalesce(F.col("text"), F.lit(""))).alias(name)).where(F.size(name) > 0)
+        found = found.select(*keep, F.explode(name).alias(name)).select(*keep, f"{name}.*")
+        if out is None and following is None:
+            return found
+        found = materialize(found, "leak-matches")
+        sent.destroy()
+        out = found if out is None else out.unionAll(found)
+        if following is None:
+            return out
+        block = following
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, distance, end) for each document and benchmark item that match."""
-    found = with_matches(id_and_text(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), "found")
-    return found.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.end")
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no item is found, with their own columns."""
-    name = fresh(docs, "found")
-    return with_matches(docs, items, name).where(F.size(name) == 0).select(*docs.columns)
+    return matches(id_and_text(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents in which no item is found, with their own columns.
+
+    With one block of items a document is judged where it is read. With more, the texts found are named by 128 bits and their documents left out; few texts are expected to be, and their names are broadcast only if counted to be few."""
+    blocks = _blocks(items, block_chars)
+    block, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        found = _matches(docs.sparkSession.sparkContext.broadcast((block, RATE, MIN_PIECE)))
+        return docs.where(F.size(found(F.coalesce(F.col("text"), F.lit("")))) == 0)
+    blocks.close()
+    key = text_key(F.coalesce("text", F.lit("")))
+    named = docs.select("text", key[0].alias("x1"), key[1].alias("x2"))
+    bad = materialize(matches(named, items, ["x1", "x2"], block_chars=block_chars).select("x1", "x2").distinct(), "leak-texts")
+    few = bad.count() <= BROADCAST_TEXTS
+    return docs.join(F.broadcast(bad) if few else bad, (key[0] == F.col("x1")) & (key[1] == F.col("x2")), "left_anti")

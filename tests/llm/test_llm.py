@@ -255,6 +255,30 @@ def test_leaks_are_those_of_brute_force():
         assert {i: d for i, d, _ in match(text)} == want
 
 
+def test_blocks_of_items_find_the_same(spark, monkeypatch):
+    """Items in many blocks, a pass each, match what one block matches, null items and repeated rows included."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 30)))) for i in range(12)] + [(None, None), (12, "")]
+    texts = []
+    for i in range(60):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 80))]
+        if i % 3 == 0:
+            t[5:5] = items[i % 12][1].split()[: None if i % 2 else -1]
+        texts.append((i // 2 if i else None, " ".join(t) if i != 7 else None))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("found", F.lit("x"))
+    known = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.matches(docs, known, ["doc_id"]).collect()))
+    kept = sorted(map(str, decontaminate.drop_contaminated(docs, known).collect()))
+    assert whole and sorted(map(str, decontaminate.matches(docs, known, ["doc_id"], block_chars=300).collect())) == whole
+    for few in (10**6, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", few)
+        out = decontaminate.drop_contaminated(docs, known, block_chars=300)
+        assert out.columns == docs.columns and sorted(map(str, out.collect())) == kept
+    match = decontaminate.Matcher(items)
+    assert len(kept) == sum(not match(t) for _, t in texts) < 60
+
+
 # -- 6 -----------------------------------------------------------------------------------------
 
 
