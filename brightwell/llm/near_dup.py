@@ -64,7 +64,7 @@ PLANES = 4  # bits of each coordinate in a sketch
 WORDS_64 = -(-K // 64)
 SLOTS = 1 << 20  # 8 MB when broadcast
 GROWTH = 1.05  # of a class of sizes to the next
-BROADCAST_IDS = 100_000  # 32 bytes each
+BROADCAST_IDS = 500_000  # 8 bytes each
 CHUNK = 1_500_000  # bytes of text handled at once
 PAIRS, TEXTS = 200, 2000  # rows that Python gets at once: a leader's text comes again with each of its pairs
 
@@ -246,9 +246,10 @@ def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 def _texts_of(cids: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     """(cid, text) of the classes cids, written. docs: doc_id, k1, k2, text."""
     wanted = materialize(known.select("cid", "k1", "k2", "first_id").join(cids, "cid", "left_semi"), "near-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    side = F.broadcast(wanted) if few else wanted
-    found = docs.join(side.withColumnsRenamed({"k1": "x1", "k2": "x2"}), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    if wanted.count() <= BROADCAST_IDS:  # most texts are left where they are
+        docs = docs.join(F.broadcast(wanted.select("k1").distinct()), "k1", "left_semi")
+    side = wanted.withColumnsRenamed({"k1": "x1", "k2": "x2"})
+    found = docs.join(side, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = materialize(found.groupBy("cid").agg(F.min("text").alias("text")), "near-texts")
     discard(wanted)
     return texts
