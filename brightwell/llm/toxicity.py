@@ -1,30 +1,37 @@
 """Toxicity scores from two class-conditional Kneser-Ney models.
 
-Each class has a bigram model: a word's likelihood after the word before it (START at the
-beginning) comes from the discounted number of the class's texts with that pair, and what the
-discount takes backs off to the class's model of single words. That is one of continuation
-counts: a word counts once for each context, here a text, that it occurs in, so a text that
-repeats itself adds nothing. The discounted mass of a class backs off to the class's model of word beginnings
-(PREFIX letters) times what all texts say of the words with that beginning; the beginnings
-back off to the counts of all texts. These shared counts smooth rare expressions: a word
-that a class has hardly seen gets the same likelihood from both classes, unless its beginning
-is telling. A text's log P_toxic - log P_ordinary is kept apart by order (that of single words, and
-what the word before adds to it), by the size of its words' differences (BANDS) and by sign, as subject matter and small samples make many small differences and few large
-ones. A score is a logistic function of these sums over the square root of the words; what each
-band weighs is fitted on labelled texts that were kept out of the class counts, so no difference,
-however moderate, is thrown away.
-
-Bounds: the class counts come from at most `per_class` labelled rows of each class, so the
-pairs, words and beginnings that have class counts, and with them what is broadcast and what comes to
-the driver, are bounded by that parameter. The shared counts are a distributed table of all
-words and beginnings of all texts, joined to the class counts. A word without class counts has
-the same shared factor in both classes, which its ratio loses; so that its ratio is its
-beginning's is exact, and only the total of the table is needed for it.
+Each class has a bigram model with interpolated, modified Kneser-Ney smoothing, learned from
+labelled texts (a text counts once for what it repeats):
+
+- a word after another (START at the beginning): the number of the class's texts with that pair,
+  discounted; pairs of fewer than CUT texts are left to the next order as a whole;
+- a word: its continuation count, the number of distinct words that it follows in the class;
+- a word's beginning (PREFIX letters): the continuation counts of its words, and below it the
+  counts of all texts of the corpus, which both classes share. They say how frequent beginnings
+  are and how a beginning's mass is dealt to its words, and so smooth rare expressions: a word
+  that a class has hardly seen gets the same likelihood from both classes, unless its beginning
+  is telling.
+
+Discounts for counts of one, two, and three or more are estimated in each class and order from
+the numbers of things counted once to four times. What a discount takes is what the next order
+deals out, so the likelihoods of all words after a word sum to 1.
+
+A text's log P_toxic - log P_ordinary is kept apart by order (that of single words, and what the
+word before adds to it), by the size of its words' differences (BANDS) and by sign, as subject
+matter and small samples make many small differences and few large ones. A score is a logistic
+function of these sums over the square root of the number of words. What each sum weighs is
+fitted on the labelled texts, each measured by models that leave out its own quarter of them.
+
+Bounds: at most `per_class` labelled rows of each class are learned from, so what comes to the
+driver and what is broadcast is bounded by that parameter. The shared counts are a distributed
+table of all words of all texts; of it the words and beginnings of the sample come, and its
+total. For other words that is enough: their shared factor is the same in both classes, so that
+their ratio is their beginning's is exact.
 
 Edge cases: a null or empty text, or one without letters, scores as a difference of 0. Rows
 with a null doc_id are never held out nor learnt from. Of repeated labels of one doc_id the
-highest counts; labels other than 0 and 1 are ignored. Without labels of both classes all
-texts get the same score. Empty tables give no rows. Only doc_id and text are read, so other
+highest counts, of its repeated rows the one with the least text is learnt from; labels other
+than 0 and 1 are ignored. Without labels of both classes all texts get the same score. Empty tables give no rows. Only doc_id and text are read, so other
 columns cannot clash.
 """
 
@@ -36,14 +43,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import fresh, materialize, read
+from brightwell.llm.common import discard, fresh, materialize, read
 
 PREFIX = 4
+FOLDS = 4
+MODELS = FOLDS + 1  # one without each fold, and one of all
+CUT = 2
+RIDGE = 0.3
 ROWS = 200_000  # counts that a task holds before it hands them on
-DISCOUNT = 1.5  # what one text alone says of a class does not count
 BANDS = np.array([1.0, 2.0, 3.0, 4.0])  # nats; sums of differences between these are weighed apart
 WIDTH = 2 * (len(BANDS) + 1)  # bands by sign
 START = "^"  # no word, as words are letters
@@ -61,11 +71,26 @@ def by_band(d: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(cell, d, n * WIDTH).reshape(n, WIDTH)
 
 
-def features(model: dict, texts: list[str]) -> np.ndarray:
-    """For each text: 1, and by order the differences by band over the square root of the words."""
-    word, begin, unseen = model["word"].get, model["begin"].get, model["unseen"]
-    start, unknown = model["start"], model["start"] + 1
-    length, at, before, d = np.zeros(len(texts), int), [], [], []
+def discounts(n: list[int]) -> np.ndarray:
+    """What counts of 0, 1, 2, and 3 or more lose; n: how many things were counted once, twice, three and four times."""
+    y = n[0] / max(n[0] + 2 * n[1], 1)
+    return np.array([0.0, *(min(max(k - (k + 1) * y * n[k] / max(n[k - 1], 1), 0.05), k - 0.05) for k in (1, 2, 3))])
+
+
+def times(counts: np.ndarray) -> list[int]:
+    """How many of the counts are 1, 2, 3 and 4."""
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return counts - d[np.minimum(counts, 3).astype(int)]
+
+
+def features(model: dict, texts: list[str], which: np.ndarray) -> np.ndarray:
+    """For each text: 1, and by order the differences by band over the square root of the words; which: the row of the model's tables that measures it."""
+    word, begin, unseen = model["word"].get, model["begin"].get, len(model["begin"])
+    start, unknown, none = model["start"], model["start"] + 1, unseen + 1
+    length, at, before, head = np.zeros(len(texts), int), [], [], []
     for i, t in enumerate(texts):
         ws = words_of(t)
         length[i] = len(ws)
@@ -74,72 +99,89 @@ def features(model: dict, texts: list[str]) -> np.ndarray:
             at += ids
             before.append(start)
             before += ids[:-1]
-            d += [begin(w[:PREFIX], unseen) if k == unknown else 0.0 for w, k in zip(ws, ids, strict=True)]
+            head += [begin(w[:PREFIX], unseen) if k == unknown else none for w, k in zip(ws, ids, strict=True)]
     text = np.repeat(np.arange(len(texts)), length)
-    at, before = np.array(at, np.int64), np.array(before, np.int64)
-    single = np.array(d, float) + model["of_word"][at]
-    pairs, of_pair = model["pairs"], model["of_pair"]
+    at, before, row = np.array(at, np.int64), np.array(before, np.int64), which[text]
+    single = model["of_word"][row, at] + model["of_begin"][row, np.array(head, np.int64)]
+    pairs = model["pairs"]
     key = (before << 32) | at
     found = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
     hit = pairs[found] == key if len(pairs) else np.zeros(len(key), bool)
-    added = model["of_context"][before]
-    added[hit] = of_pair[found[hit]]
-    sums = np.column_stack([by_band(x, text, len(texts)) for x in (single, added)])
+    added = model["of_context"][row, before]
+    added[hit] = model["of_pair"][row[hit], found[hit]]
+    sums = np.column_stack([by_band(x.astype(float), text, len(texts)) for x in (single, added)])
     return np.column_stack([np.ones(len(texts)), sums / np.sqrt(np.maximum(length, 1))[:, None]])
 
 
 def scores(model: dict, texts: list[str]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(features(model, texts) @ model["coefficients"], -500, 500)))
+    return 1 / (1 + np.exp(-np.clip(features(model, texts, np.zeros(len(texts), int)) @ model["coefficients"], -500, 500)))
 
 
 class Model:
-    """Differences of log-likelihoods by word and by beginning, and what the word before adds to them."""
+    """Differences of log-likelihoods by word and by beginning, and what the word before adds to them, for each of MODELS."""
 
-    def __init__(self, counts: pd.DataFrame, totals: dict[tuple[str, int], tuple[float, float]], everything: float, pairs: pd.DataFrame, contexts: pd.DataFrame) -> None:
-        """pairs: key (two words), n0, n1 of the sample; contexts: key (the first), all0, all1, kept0, kept1, sums over all its pairs of n and of what the discount leaves; counts: kind (w or p), key, n0, n1 of the sample and n of all texts; totals: by kind and class, the sum of n0 or n1 and of what the discount leaves; everything: the sum of n over all beginnings of all texts."""
-        self.begin, self.word, self.unseen = {}, {}, 0.0
-        self.of_word, self.of_context, self.pairs, self.of_pair = np.zeros(2), np.zeros(2), np.zeros(0, np.int64), np.zeros(0)
+    def __init__(self) -> None:
+        self.word, self.begin, self.pairs = {}, {}, np.zeros(0, np.int64)
+        self.of_word, self.of_context, self.of_pair = np.zeros((MODELS, 2), np.float32), np.zeros((MODELS, 2), np.float32), np.zeros((MODELS, 0), np.float32)
+        self.of_begin = np.zeros((MODELS, 2), np.float32)
         self.coefficients = np.zeros(1 + 2 * WIDTH)
-        begin, word = (counts[counts.kind == k].set_index("key") for k in "pw")
-        if begin.empty:
-            return
-        of_all = {k: np.maximum(df.n.to_numpy(float), 0.5) for k, df in (("p", begin), ("w", word))}
-        log_begin, log_word, log_left, log_unseen = [], [], [], []
-        at = begin.index.get_indexer(word.index.str[:PREFIX])
-        within = of_all["w"] / of_all["p"][at]
-        for toxic in (0, 1):
-            (total_b, kept_b), (total_w, kept_w) = (totals.get((k, toxic), (1.0, 0.0)) for k in "pw")
-            left_b, left_w = 1 - kept_b / total_b, 1 - kept_w / total_w
-            b, w = (np.maximum(df[f"n{toxic}"].to_numpy(float) - DISCOUNT, 0) for df in (begin, word))
-            p = b / total_b + left_b * of_all["p"] / max(everything, 1.0)
-            log_begin.append(np.log(p))
-            log_word.append(np.log(w / total_w + left_w * p[at] * np.minimum(within, 1)))
-            log_left.append(np.log(left_w))
-            log_unseen.append(np.log(left_w) + np.log(left_b))
-        self.begin = dict(zip(begin.index, (log_begin[1] - log_begin[0] + log_left[1] - log_left[0]).tolist(), strict=True))
-        self.word = dict(zip(word.index, range(len(word)), strict=True))
-        self.of_word = np.concatenate([log_word[1] - log_word[0], [0.0, 0.0]])  # START and words without a number add nothing
-        self._add_pairs(pairs, contexts, log_word)
-        self.unseen = float(log_unseen[1] - log_unseen[0])
-
-    def _add_pairs(self, pairs: pd.DataFrame, contexts: pd.DataFrame, log_word: list[np.ndarray]) -> None:
-        start, number = len(self.word), pd.Series({**self.word, START: len(self.word)})
-        left = np.ones((2, start + 2))  # of a context without pairs all is left to the single words
-        totals = np.ones((2, start + 2))
-        at = number.reindex(contexts.key).to_numpy(int)
-        for k in (0, 1):
-            totals[k, at] = np.maximum(contexts[f"all{k}"].to_numpy(float), 1)
-            left[k, at] = 1 - contexts[f"kept{k}"].to_numpy(float) / totals[k, at]
-        self.of_context = np.log(left[1] / left[0])
-        both = pairs.key.str.split(" ", expand=True).reindex(columns=[0, 1])
-        first, second = (number.reindex(both[c]).to_numpy(int) for c in (0, 1))
-        p = [np.maximum(pairs[f"n{k}"].to_numpy(float) - DISCOUNT, 0) / totals[k, first] + left[k, first] * np.exp(log_word[k][second]) for k in (0, 1)]
-        key = (first.astype(np.int64) << 32) | second
-        order = np.argsort(key)
-        self.pairs, self.of_pair = key[order], (np.log(p[1] / p[0]) - self.of_word[second])[order]
 
-    def state(self) -> dict:
-        return {"start": len(self.word), "of_word": self.of_word, "of_context": self.of_context, "pairs": self.pairs, "of_pair": self.of_pair, "word": self.word, "begin": self.begin, "unseen": self.unseen, "coefficients": self.coefficients}
+    def learn(self, words: list[str], follows: np.ndarray, shared: np.ndarray, heads: dict[str, int], total: int, contexts: list[str], sums: np.ndarray, first: list[str], second: list[str], counts: np.ndarray, taken: np.ndarray) -> None:
+        """words with their continuation counts `follows` (2, MODELS, words) and numbers of texts `shared`; heads: the sum of these by beginning, total of all words; contexts (words before) with sums (2, MODELS, 2, contexts) of pair counts and of what discounts leave of them; pairs (first, second) with counts (2, MODELS, pairs), and taken, the pairs' discounts (2, MODELS, 4)."""
+        n, start = len(words), len(words)
+        self.word = dict(zip(words, range(n), strict=True))
+        begins, at = np.unique(np.array([w[:PREFIX] for w in words], dtype=object), return_inverse=True)
+        self.begin = dict(zip(begins.tolist(), range(len(begins)), strict=True))
+        of_head = np.array([heads[b] for b in begins], float)
+        within, common = shared / of_head[at], of_head / total
+        number = self.word | {START: start}
+        before = np.array([number[c] for c in contexts], np.int64)
+        one, two = (np.array([number[w] for w in side], np.int64) for side in (first, second))
+        key = (one << 32) | two
+        order = np.argsort(key)
+        self.pairs, one, two, counts = key[order], one[order], two[order], counts[:, :, order]
+        self.of_word, self.of_begin = np.zeros((MODELS, n + 2), np.float32), np.zeros((MODELS, len(begins) + 2), np.float32)
+        self.of_context, self.of_pair = np.zeros((MODELS, n + 2), np.float32), np.zeros((MODELS, len(key)), np.float32)
+        self.p_word, self.p_kept, self.p_left = np.zeros((2, n)), np.zeros((2, len(key))), np.ones((2, n + 2))  # of the model of all
+        for j in range(MODELS):
+            p, log_begin, log_unseen, left, kept = [], [], [], [], []
+            for k in (0, 1):
+                f = follows[k, j]
+                if not f.sum():
+                    return  # a class without texts: no differences at all
+                w = discounted(f, discounts(times(f)))
+                left_w = 1 - w.sum() / f.sum()
+                b = np.bincount(at, f, len(begins)).astype(int)
+                of_b = discounted(b, discounts(times(b)))
+                left_b = 1 - of_b.sum() / b.sum()
+                p_begin = of_b / b.sum() + left_b * common
+                p.append(w / f.sum() + left_w * p_begin[at] * within)
+                log_begin.append(np.log(left_w * p_begin))
+                log_unseen.append(np.log(left_w * left_b))
+                all_, some = np.ones(n + 2), np.ones(n + 2)
+                all_[before] = np.maximum(sums[k, j, 0], 1)
+                some[before] = 1 - sums[k, j, 1] / all_[before]
+                left.append(some)
+                kept.append(np.where(counts[k, j] >= CUT, discounted(counts[k, j], taken[k, j]), 0) / all_[one])
+            self.of_word[j, :n] = np.log(p[1] / p[0])
+            self.of_begin[j, :-1] = np.append(log_begin[1] - log_begin[0], log_unseen[1] - log_unseen[0])
+            self.of_context[j] = np.log(left[1] / left[0])
+            after = [kept[k] + left[k][one] * p[k][two] for k in (0, 1)]
+            self.of_pair[j] = np.log(after[1] / after[0]) - np.log(p[1] / p[0])[two]
+            self.p_word, self.p_kept, self.p_left = np.array(p), np.array(kept), np.array(left)
+
+    def after(self, toxic: int, first: str) -> np.ndarray:
+        """The likelihood of each word of the sample after a word, in one class."""
+        one = self.word.get(first, len(self.word) if first == START else len(self.word) + 1)
+        out = self.p_left[toxic, one] * self.p_word[toxic]
+        mine = (self.pairs >> 32) == one
+        out[self.pairs[mine] & 0xFFFFFFFF] += self.p_kept[toxic, mine]
+        return out
+
+    def state(self, rows: slice = slice(FOLDS, MODELS)) -> dict:
+        """What scores texts: the tables of some of the models, by default that of all texts."""
+        tables = {c: getattr(self, c)[rows] for c in ("of_word", "of_begin", "of_context", "of_pair")}
+        return tables | {"start": len(self.word), "pairs": self.pairs, "word": self.word, "begin": self.begin, "coefficients": self.coefficients}
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, prior: float) -> None:
         """Logistic coefficients by Newton's method with a weak prior; then moved from the sample's share of toxic texts to the labels'."""
@@ -147,7 +189,7 @@ class Model:
             return
         scale = np.maximum(x.std(0), 1e-9)
         scale[0] = 1
-        z, w, ridge = x / scale, np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
+        z, w, ridge = x / scale, np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
         ridge[0] = 1e-6
         for _ in range(100):
             q = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
@@ -158,21 +200,42 @@ class Model:
 
 
 def shared_counts(texts: DataFrame) -> DataFrame:
-    """kind (w or p), key, n: in how many texts each word and each beginning occurs; a row for all there are."""
+    """key, n: in how many texts each word occurs; a row for all there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: Counter = Counter()
         for b in batches:
             for t in b.text:
-                ws = set(words_of(t))
-                tally.update(("w", w) for w in ws)
-                tally.update(("p", w) for w in {w[:PREFIX] for w in ws})
+                tally.update(set(words_of(t)))
                 if len(tally) > ROWS:
-                    yield pd.DataFrame([(*k, v) for k, v in tally.items()], columns=["kind", "key", "n"])
+                    yield pd.DataFrame(list(tally.items()), columns=["key", "n"])
                     tally.clear()
-        yield pd.DataFrame([(*k, v) for k, v in tally.items()], columns=["kind", "key", "n"])
+        yield pd.DataFrame(list(tally.items()), columns=["key", "n"])
+
+    return texts.select("text").mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
 
-    return texts.select("text").mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts by class, fold and pair of neighbours."""
+    tally: Counter = Counter()
+    columns = ["slot", "first", "second", "n"]
+    for b in batches:
+        for toxic, fold, t in zip(b.toxic, b.fold, b.text, strict=True):
+            said, slot = words_of(t), int(toxic) * FOLDS + int(fold)
+            tally.update((slot, u, v) for u, v in set(zip([START, *said], said, strict=False)))
+            if len(tally) > ROWS:
+                yield pd.DataFrame([(*k, v) for k, v in tally.items()], columns=columns)
+                tally.clear()
+    yield pd.DataFrame([(*k, v) for k, v in tally.items()], columns=columns)
+
+
+def _of(toxic: int, model: int) -> Column:
+    """A pair's texts of a class in a model: all, or those outside one fold."""
+    kept = [F.col(f"c{toxic * FOLDS + f}") for f in range(FOLDS) if f != model]
+    return sum(kept[1:], kept[0])
+
+
+EACH = [(k, j) for k in (0, 1) for j in range(MODELS)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
@@ -188,47 +251,55 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
     order = F.xxhash64("doc_id")
     pick = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     # 2 * per_class rows of three small columns at most
-    sample = F.broadcast(pick[0].unionAll(pick[1]).withColumn("fold", F.pmod(order, F.lit(4)).cast("int")))
-    chosen = texts.join(sample, "doc_id").select("toxic", "fold", "text")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally: Counter = Counter()
-        for b in batches:
-            for toxic, t in zip(b.toxic[b.fold > 0], b.text[b.fold > 0], strict=True):
-                said = words_of(t)
-                ws = set(said)
-                tally.update((toxic, "b", f"{u} {v}") for u, v in set(zip([START, *said], said, strict=False)))
-                tally.update((toxic, "w", w) for w in ws)
-                tally.update((toxic, "p", w) for w in {w[:PREFIX] for w in ws})
-                if len(tally) > ROWS:
-                    yield pd.DataFrame([(int(t), k, w, v) for (t, k, w), v in tally.items()], columns=["toxic", "kind", "key", "n"])
-                    tally.clear()
-        yield pd.DataFrame([(int(t), k, w, v) for (t, k, w), v in tally.items()], columns=["toxic", "kind", "key", "n"])
-
-    tally = chosen.mapInPandas(count, "toxic int, kind string, key string, n long").groupBy("kind", "key")
-    tally = materialize(tally.agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1))), "toxic-counts")
-    measures = [f(k).alias(f"{name}{k}") for k in (0, 1) for name, f in (("all", lambda k: F.sum(f"n{k}")), ("kept", lambda k: F.sum(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)))))]
-    sums = tally.groupBy("kind").agg(*measures)
-    totals = {(r["kind"], k): (float(max(r[f"all{k}"], 1)), float(r[f"kept{k}"])) for r in sums.collect() for k in (0, 1)}
-    of_pairs = tally.where(F.col("kind") == "b")
-    # a context that the discount leaves no pair adds nothing
-    contexts = of_pairs.groupBy(F.substring_index("key", " ", 1).alias("key")).agg(*measures).where(F.col("kept0") + F.col("kept1") > 0).toArrow().to_pandas()
-    pairs = of_pairs.where(F.greatest("n0", "n1") > DISCOUNT).select("key", "n0", "n1").toArrow().to_pandas()
+    sample = F.broadcast(pick[0].unionAll(pick[1]).withColumn("fold", F.pmod(order, F.lit(FOLDS)).cast("int")))
+    # of rows that repeat a doc_id one is learnt from; the sample's texts alone move
+    found = texts.join(sample, "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))
+    chosen = materialize(found.select("toxic", "fold", "text").repartition(16), "toxic-sample")
+    tally = chosen.mapInPandas(_count_pairs, "slot int, first string, second string, n long").groupBy("first", "second")
+    tally = materialize(tally.agg(*(F.coalesce(F.sum(F.when(F.col("slot") == s, F.col("n"))), F.lit(0)).cast("int").alias(f"c{s}") for s in range(2 * FOLDS))), "toxic-pairs")
+    model = Model()
+    often = tally.agg(*(F.count(F.when(_of(k, j) == i, 1)).alias(f"{k}_{j}_{i}") for k, j in EACH for i in (1, 2, 3, 4))).first()
+    taken = np.array([[discounts([often[f"{k}_{j}_{i}"] for i in (1, 2, 3, 4)]) for j in range(MODELS)] for k in (0, 1)])
     shared = materialize(shared_counts(texts), "toxic-shared")
-    everything = shared.where(F.col("kind") == "p").agg(F.sum("n")).first()[0] or 0
-    # a word that the discount takes from both classes scores as its beginning does, so it need not come
-    counts = tally.where((F.col("kind") == "p") | ((F.col("kind") == "w") & (F.greatest("n0", "n1") > DISCOUNT))).join(shared, ["kind", "key"]).toArrow().to_pandas()
-    model = Model(counts, totals, float(everything), pairs, contexts)
-    sent = spark.sparkContext.broadcast(model.state())
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    words = tally.groupBy(F.col("second").alias("key")).agg(*(F.count(F.when(_of(k, j) > 0, 1)).cast("int").alias(f"{k}_{j}") for k, j in EACH))
+    words = materialize(words.join(shared, "key"), "toxic-words")
+    head = F.substring("key", 1, PREFIX)
+    heads = shared.groupBy(head.alias("head")).agg(F.sum("n").alias("n")).join(words.select(head.alias("head")).distinct(), "head", "left_semi").toArrow()
+
+    def left(k: int, j: int) -> Column:
+        c = _of(k, j)
+        out = c - F.lit(float(taken[k, j, 3]))
+        for i in range(2, 0, -1):
+            out = F.when(c == i, c - F.lit(float(taken[k, j, i]))).otherwise(out)
+        return F.when(c >= CUT, out).otherwise(0.0)
+
+    sums = tally.groupBy("first").agg(*(x.alias(f"{name}_{k}_{j}") for k, j in EACH for name, x in (("all", F.sum(_of(k, j))), ("kept", F.sum(left(k, j))))))
+    # a context that the discounts leave no pair adds nothing
+    sums = sums.where(F.greatest(*(F.col(f"kept_{k}_{j}") for k, j in EACH)) > 0).toArrow()
+    pairs = tally.where(F.greatest(_of(0, FOLDS), _of(1, FOLDS)) >= CUT).toArrow()
+    words = words.toArrow()
+    if words.num_rows:
+        column = lambda t, c: t[c].to_numpy()
+        by_fold = np.array([[column(pairs, f"c{k * FOLDS + f}") for f in range(FOLDS)] for k in (0, 1)]).reshape(2, FOLDS, -1)
+        counts = np.stack([by_fold.sum(1) - (by_fold[:, j] if j < FOLDS else 0) for j in range(MODELS)], 1)
+        model.learn(
+            words["key"].to_pylist(), np.array([[column(words, f"{k}_{j}") for j in range(MODELS)] for k in (0, 1)]), column(words, "n").astype(float),
+            dict(zip(heads["head"].to_pylist(), heads["n"].to_pylist(), strict=True)), int(total), sums["first"].to_pylist(),
+            np.array([[[column(sums, f"{name}_{k}_{j}") for name in ("all", "kept")] for j in range(MODELS)] for k in (0, 1)], float), pairs["first"].to_pylist(), pairs["second"].to_pylist(), counts, taken,
+        )
+    del words, sums, pairs, heads
+    sent = spark.sparkContext.broadcast(model.state(slice(0, FOLDS)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[b.fold == 0]
-            yield pd.DataFrame({"x": list(features(sent.value, b.text.tolist())), "y": b.toxic.to_numpy()})
+            yield pd.DataFrame({"x": list(features(sent.value, b.text.tolist(), b.fold.to_numpy(int))), "y": b.toxic.to_numpy()})
 
     xy = chosen.mapInPandas(measure, "x array<double>, y int").toArrow().to_pandas()
+    sent.destroy()
     if len(xy):
         model.calibrate(np.stack(xy.x), xy.y.to_numpy(float), n.get(1, 0) / max(1, sum(n.values())))
+    discard(chosen, tally, shared)
     return model
 
 

@@ -486,32 +486,79 @@ def test_many_moderate_words_are_evidence(spark):
     assert sum(caught) / len(caught) > 0.9 and sum(wrong) / len(wrong) < 0.03
 
 
-def test_shared_counts_are_those_of_all_texts(spark):
-    """Likelihoods by whole tables over every word, labelled or not, give the model's differences."""
+def _plain_kneser_ney(texts, shared, cut=toxicity.CUT):
+    """The class's likelihoods over Python counters: of a word, of a beginning's unseen words, and of a word after another."""
+    head = lambda w: w[: toxicity.PREFIX]
+    heads = Counter()
+    for w, n in shared.items():
+        heads[head(w)] += n
+    pairs = Counter(x for t in texts for x in set(zip(["^", *t.split()], t.split(), strict=False)))
+    follows = Counter(v for _, v in pairs)
+    begins = Counter()
+    for v, n in follows.items():
+        begins[head(v)] += n
+
+    def model(counts):
+        d = toxicity.discounts([sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)])
+        kept = {x: c - d[min(c, 3)] for x, c in counts.items()}
+        return kept, sum(counts.values()), 1 - sum(kept.values()) / sum(counts.values())
+
+    of_begin, all_b, left_b = model(begins)
+    of_word, all_w, left_w = model(follows)
+    of_pair, _, _ = model(pairs)
+    begin = lambda b: of_begin.get(b, 0) / all_b + left_b * heads[b] / sum(shared.values())
+    word = lambda w: of_word.get(w, 0) / all_w + left_w * begin(head(w)) * shared[w] / heads[head(w)]
+    seen, kept = Counter(), Counter()
+    for (u, _), c in pairs.items():
+        seen[u] += c
+    of_pair = {x: v for x, v in of_pair.items() if pairs[x] >= cut}
+    for (u, _), v in of_pair.items():
+        kept[u] += v
+    after = lambda u, w: of_pair.get((u, w), 0) / max(seen[u], 1) + (1 - kept[u] / max(seen[u], 1)) * word(w)
+    return word, after
+
+
+def test_kneser_ney_against_plain_counters(spark):
+    """Likelihoods by Python counters over every word, labelled or not, give the model's differences, those that leave a fold out too; likelihoods sum to 1."""
     rng = random.Random(12)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(500)]
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 6))) for _ in range(150)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(400)]
-    known = {i: int(i % 3 == 0) for i in range(120)}
+    known = {i: int(i % 3 == 0) for i in range(200)}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    labels = spark.createDataFrame(list(known.items()), "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels).state()
-    fold = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("fold")).collect()}
-    head = lambda w: w[: toxicity.PREFIX]
+    model = toxicity.fit(docs, spark.createDataFrame(list(known.items()), "doc_id long, toxic int"))
+    fold = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLDS)).alias("fold")).collect()}
     shared = Counter(w for t in texts for w in set(t.split()))
-    heads = Counter(h for t in texts for h in {head(w) for w in t.split()})
-    p = {}
-    for k in (0, 1):
-        mine = [set(texts[i].split()) for i, y in known.items() if y == k and zlib.crc32(str(i).encode()) % 3 != 1 and fold[i] > 0]
-        n, m = Counter(w for s in mine for w in s), Counter(h for s in mine for h in {head(w) for w in s})
-        kept = lambda c: sum(max(v - toxicity.DISCOUNT, 0) for v in c.values()) / sum(c.values())
-        of_head = {h: max(m[h] - toxicity.DISCOUNT, 0) / sum(m.values()) + (1 - kept(m)) * heads[h] / sum(heads.values()) for h in heads}
-        p[k] = {w: max(n[w] - toxicity.DISCOUNT, 0) / sum(n.values()) + (1 - kept(n)) * of_head[head(w)] * min(shared[w] / heads[head(w)], 1) for w in shared}
-    seen = 0
-    for w in shared:
-        got = model["of_word"][model["word"][w]] if w in model["word"] else model["begin"].get(head(w), model["unseen"])
-        seen += w not in model["word"]
-        assert abs(got - np.log(p[1][w] / p[0][w])) < 1e-9
-    assert 0 < seen < len(shared)
+    for j in (1, toxicity.FOLDS):
+        of = [_plain_kneser_ney([texts[i] for i, y in known.items() if y == k and zlib.crc32(str(i).encode()) % 3 != 1 and fold[i] != j], shared) for k in (0, 1)]
+        tables = model.state(slice(j, j + 1))
+        for w in shared:
+            want = np.log(of[1][0](w) / of[0][0](w))
+            got = tables["of_word"][0, tables["word"][w]] if w in tables["word"] else tables["of_begin"][0, tables["begin"].get(w[: toxicity.PREFIX], len(tables["begin"]))]
+            assert abs(got - want) < 1e-5
+        for first in ("^", words[0], words[5]):
+            for w in list(tables["word"])[:40]:
+                x = toxicity.features(tables | {"coefficients": None}, [f"{first} {w}" if first != "^" else w], np.zeros(1, int))
+                want = [np.log(of[1][i](*a) / of[0][i](*a)) for i, a in ((1, (first, w)), (0, (w,)))]
+                added = want[0] - want[1]
+                if first == "^":
+                    assert abs(x[0, 1 + toxicity.WIDTH :].sum() - added) < 1e-4
+    assert abs(sum(of[0][0](w) for w in shared) - 1) < 1e-9
+    everything = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    if set(everything.word) == set(shared):
+        for k in (0, 1):
+            assert abs(everything.p_word[k].sum() - 1) < 1e-9 and all(abs(everything.after(k, u).sum() - 1) < 1e-9 for u in ("^", *words[:20]))
+    else:
+        raise AssertionError("the sample lacks words")
+
+
+def test_repeated_rows_labels_and_long_texts(spark):
+    rows = [(i, f"fine words of text number {chr(97 + i % 26)}" if i % 2 else "vile words") for i in range(80)] * 2 + [(500, "word " * 200_000), (501, None), (None, "x")]
+    labels = [(i, 1 - i % 2) for i in range(80)] + [(3, 7), (2, 0), (None, 1), (500, 0)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert min(r["score"] for r in got if r["text"] == "vile words") > max(r["score"] for r in got if r["text"] and r["text"].startswith("fine"))
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), known)).count() == 0
 
 
 def test_expressions_of_ordinary_words_are_evidence(spark):
