@@ -4,17 +4,18 @@ Base spans (assign, access, hex) are all matches of three patterns. The battery
 other run of at least TOKEN characters that encodings use. The encoding is inferred from the
 characters (hex, base32, lower case, base64); with its alphabet of k symbols a token is tested
 for uniform use of the alphabet (chi-squared, Wilson-Hilferty tail), for runs above and below
-the middle of the alphabet (Wald-Wolfowitz), and for correlation of neighbours. The three
+the middle of the alphabet, and for correlation of neighbours about its mean. Middle, mean and
+variance are those of a uniform draw, and alphabets begin with the symbols that ordinary strings
+use most, so strings of words have few and long runs and neighbours that go together. The three
 p-values are combined by Fisher's method: a token that is not random at RANDOM_LEVEL is out.
 
 Being random is not yet a discovery, as short ordinary strings pass too. So each token also
-gets a p-value under the hypothesis that it is ordinary: the battery's chi-squared score is held
-against its mean and deviation in ordinary strings of that encoding and length. (The scores of
-runs and neighbours are alike in ordinary and in random strings, within half a deviation, so
-they can veto a token but say nothing for it.) Short tokens cannot reach small p-values, which
-makes the control length-aware. Within each encoding and band of lengths, Benjamini-Hochberg at
-FALSE_SHARE turns these p-values into a cutoff, so many ordinary tokens of one kind do not
-hide the secrets of another.
+gets a p-value under the hypothesis that it is ordinary: the combined evidence h against
+randomness, as ln(1 + h), is held against its mean and deviation in ordinary strings of that
+encoding and length. Short tokens cannot reach small p-values, which makes the control
+length-aware. Within each encoding and band of lengths, Benjamini-Hochberg at FALSE_SHARE turns
+these p-values into a cutoff, so many ordinary tokens of one kind do not hide the secrets of
+another.
 
 All is DataFrame functions: no Python runs on the executors. Texts are read once; what goes
 on is spans and tokens. The cutoffs come from counts by bins of log p, a table of fixed size.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from brightwell.llm.common import id_and_text, materialize, read
 
 # fixed values: the three forms
-ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # with their least lengths of 20 and 24: a match takes the whole run, so one that is too short hides no other
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -47,14 +48,16 @@ FALSE_SHARE = 0.01
 BINS = 50  # of ln p, for one unit
 BANDS = (28, 36, 48)  # lengths at which strata begin
 MOST = 48  # length beyond which a mean of ordinary strings is not taken to grow
-# by encoding: pattern, alphabet, and of the chi-squared score z in ordinary strings of n characters the slope and shift of
-# the mean, slope * sqrt(n) + shift, and the deviation; fitted to runs in Python sources (base64), to joined words (lower
-# case, base32) and worked out for digits (hex)
+CHUNK = 256  # matches whose places are summed up at once
+BY_USE = "etaoinsrhdlucmfywgpbvkxqjz"  # letters, the commonest first
+# by encoding: pattern, alphabet, and of ln(1 + h) in ordinary strings of n characters the slope and shift of the mean,
+# slope * sqrt(n) + shift, and the deviation; fitted to 62000 runs of 20 to 48 characters in Python sources (base64), to
+# joined words of their names (lower case, base32) and to decimal digits (hex)
 ENCODINGS = (
-    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.71, -1.36, 0.9),
-    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.99, -2.63, 1.05),
-    ("lower", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz", 0.77, -2.22, 1.05),
-    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.03, -5.75, 1.6),
+    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.305, 0.878, 0.37),
+    ("base32", "^[A-Z2-7]+=*$", BY_USE.upper() + "234567", 0.334, 1.503, 0.42),
+    ("lower", "^[a-z]+$", BY_USE, 0.308, 1.05, 0.55),
+    ("base64", "", BY_USE + BY_USE.upper() + "0123456789+/", 0.402, 1.377, 0.45),
 )
 
 
@@ -68,10 +71,13 @@ def upper_tail(z: Column) -> Column:
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches; value is a group's text."""
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches; value is a group's text.
+
+    Places are running sums of the lengths of matches and of what lies between; they are made chunk by chunk, so their cost does not grow with the square of a text's matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     item = "struct<start: bigint, end: bigint, value: string>"
+    none = F.array().cast(f"array<{item}>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -79,8 +85,12 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value")))).alias("out"))
 
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"), values.alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{item}>").alias("out"))
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda i: F.slice(zipped, i * CHUNK + 1, CHUNK))
+    sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x["gap"]) + F.length(x["match"])))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    starts = F.aggregate(sizes, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    placed = F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"]))
+    return F.when(F.size(found) > 0, F.flatten(placed)).otherwise(none)
 
 
 def _if_any(text: Column, quick: str, of: Column) -> Column:
@@ -103,47 +113,38 @@ def battery(tokens: Column) -> Column:
     coded = F.transform(clean, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["t"].alias("t"), _pick(x["t"], [e[2] for e in ENCODINGS]).alias("alphabet"), *(_pick(x["t"], [e[i] for e in ENCODINGS]).alias(c) for i, c in enumerate(("slope", "shift", "deviation"), 3))))
 
     def numbers(x: Column) -> Column:
-        n = F.length(x["t"]).cast("double")
         index = F.transform(F.filter(F.split(x["t"], ""), lambda c: c != ""), lambda c: F.greatest(F.instr(x["alphabet"], c) - 1, F.lit(0)).cast("double"))
         counts = F.transform(F.filter(F.split(x["alphabet"], ""), lambda c: c != ""), lambda c: (F.length(x["t"]) - F.length(F.replace(x["t"], c, F.lit("")))).cast("double"))
         squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), index.alias("index"), squares.alias("pairs"), *(x[c].alias(c) for c in ("slope", "shift", "deviation")))
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "slope", "shift", "deviation")), F.length(x["t"]).cast("double").alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), index.alias("index"), squares.alias("squares"))
 
-    def sums(x: Column) -> Column:
-        mean = F.aggregate(x["index"], F.lit(0.0), lambda a, v: a + v) / x["n"]
-        middle = x["k"] / 2
-        begin = F.struct(F.lit(0.0).alias("above"), F.lit(0.0).alias("runs"), F.lit(-1.0).alias("last"))
+    def tests(x: Column) -> Column:
+        n, k, df = x["n"], x["k"], x["k"] - 1
+        middle, mean = k / 2, (k - 1) / 2
+        begin = F.struct(F.lit(0.0).alias("turns"), F.lit(0.0).alias("sum"), F.element_at(x["index"], 1).alias("last"))
         walk = F.aggregate(
-            x["index"], begin,
-            lambda a, v: F.struct((a["above"] + F.when(v >= middle, 1.0).otherwise(0.0)).alias("above"), (a["runs"] + F.when((a["last"] < 0) | ((a["last"] >= middle) != (v >= middle)), 1.0).otherwise(0.0)).alias("runs"), v.alias("last")),
+            F.slice(x["index"], F.lit(2), F.size(x["index"]) - 1), begin,
+            lambda a, v: F.struct((a["turns"] + F.when((a["last"] >= middle) != (v >= middle), 1.0).otherwise(0.0)).alias("turns"), (a["sum"] + (a["last"] - mean) * (v - mean)).alias("sum"), v.alias("last")),
         )
-        return F.struct(*(x[c].alias(c) for c in ("start", "end", "n", "k", "index", "pairs", "slope", "shift", "deviation")), mean.alias("mean"), walk.alias("walk"))
-
-    def moments(x: Column) -> Column:
-        spread = F.aggregate(x["index"], F.lit(0.0), lambda a, v: a + (v - x["mean"]) * (v - x["mean"]))
-        begin = F.struct(F.lit(0.0).alias("sum"), (F.element_at(x["index"], -1) - x["mean"]).alias("last"))
-        lagged = F.aggregate(x["index"], begin, lambda a, v: F.struct((a["sum"] + a["last"] * (v - x["mean"])).alias("sum"), (v - x["mean"]).alias("last")), lambda a: a["sum"])
-        df = x["k"] - 1
-        chi = x["pairs"] * x["k"] / x["n"] - x["n"]
+        chi = x["squares"] * k / n - n
         z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - F.lit(2 / 9) / df)) / F.sqrt(F.lit(2 / 9) / df)
-        above, below = x["walk"]["above"], x["n"] - x["walk"]["above"]
-        expected = 2 * above * below / x["n"] + 1
-        variance = F.greatest((expected - 1) * (expected - 2) / (x["n"] - 1), F.lit(1e-9))
-        z_runs = F.when((above == 0) | (below == 0), F.sqrt(x["n"])).otherwise((x["walk"]["runs"] - expected) / F.sqrt(variance))
-        z_serial = F.when(spread > 0, lagged / F.greatest(spread, F.lit(1e-9)) * F.sqrt(x["n"])).otherwise(F.sqrt(x["n"]))
-        ordinary = (x["slope"] * F.sqrt(F.least(x["n"], F.lit(float(MOST)))) + x["shift"] - z_chi) / x["deviation"]
-        stratum = (x["k"] * 10 + sum(F.when(x["n"] >= b, 1).otherwise(0) for b in BANDS)).cast("int")
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), stratum.alias("stratum"), z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), ordinary.alias("ordinary"))
+        z_runs = (walk["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        z_serial = walk["sum"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
+        usual = x["slope"] * F.sqrt(F.least(n, F.lit(float(MOST)))) + x["shift"]
+        stratum = (k * 10 + sum(F.when(n >= b, 1).otherwise(0) for b in BANDS)).cast("int")
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), stratum.alias("stratum"), z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), usual.alias("usual"), x["deviation"].alias("deviation"))
 
     def combined(x: Column) -> Column:
-        logs = F.ln(upper_tail(x["chi"])) + F.ln(F.least(2 * upper_tail(F.abs(x["runs"])), F.lit(1.0))) + F.ln(F.least(2 * upper_tail(F.abs(x["serial"])), F.lit(1.0)))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["stratum"].alias("stratum"), (-logs).alias("h"), upper_tail(x["ordinary"]).alias("p_ordinary"))
+        two_sided = lambda z: F.ln(F.least(2 * upper_tail(F.abs(z)), F.lit(1.0)))
+        logs = F.ln(upper_tail(x["chi"])) + two_sided(x["runs"]) + two_sided(x["serial"])
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "stratum", "usual", "deviation")), (-logs).alias("h"))
 
-    def fisher(x: Column) -> Column:
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["stratum"].alias("stratum"), (F.exp(-x["h"]) * (1 + x["h"] + x["h"] * x["h"] / 2)).alias("p_random"), x["p_ordinary"].alias("p_ordinary"))
+    def judged(x: Column) -> Column:
+        p_random = F.exp(-x["h"]) * (1 + x["h"] + x["h"] * x["h"] / 2)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["stratum"].alias("stratum"), p_random.alias("p_random"), upper_tail((x["usual"] - F.log1p(x["h"])) / x["deviation"]).alias("p_ordinary"))
 
     out = coded
-    for f in (numbers, sums, moments, combined, fisher):
+    for f in (numbers, tests, combined, judged):
         out = F.transform(out, f)
     return out
 
