@@ -47,17 +47,25 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     """docs with boilerplate lines cut from text, and two columns more: n_lines and n_removed."""
     found = materialize(boilerplate(docs, host, ratio, min_pages), "boilerplate")
     lines = found.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
-    site, bad, all_lines, kept = (fresh(docs, x) for x in ("site", "bad", "lines", "kept"))
+    site, bad, all_lines, kept, hit = (fresh(docs, x) for x in ("site", "bad", "lines", "kept", "hit"))
     found = found.toDF(site, bad)
     if lines <= BROADCAST_LINES:
         found = F.broadcast(found)
     joined = docs.join(found, F.col(host).eqNullSafe(F.col(site)), "left").withColumn(all_lines, _lines(F.col("text")))
-    joined = joined.withColumn(kept, F.when(F.col(bad).isNull(), F.col(all_lines)).otherwise(F.filter(all_lines, lambda x: (_bare(x) == "") | ~F.array_contains(bad, F.xxhash64(_bare(x))))))
+    # a page's own boilerplate first, by sets: a line is then not looked for among all of the host's
+    joined = joined.withColumn(hit, F.array_intersect(F.transform(all_lines, lambda x: F.xxhash64(_bare(x))), bad))
+    joined = joined.withColumn(kept, F.when(F.coalesce(F.size(hit), F.lit(0)) <= 0, F.col(all_lines)).otherwise(F.filter(all_lines, lambda x: (_bare(x) == "") | ~F.array_contains(hit, F.xxhash64(_bare(x))))))
     text = F.concat_ws("\n", kept)
     columns = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*columns, F.size(all_lines).cast("long").alias("n_lines"), (F.size(all_lines) - F.size(kept)).cast("long").alias("n_removed"))
 
 
+def host_of(url: Column) -> Column:
+    """The host of a url, lower case, without user, port and a leading www; null where there is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1)
+    return F.when(host != "", host)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     return drop_boilerplate(docs)

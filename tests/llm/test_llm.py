@@ -189,6 +189,9 @@ def test_lines_by_host(spark):
     docs = spark.createDataFrame([(i, t, "a" if i < 10 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.drop_boilerplate(docs).collect()}
     assert got[3] == ("own 3\n\n", 1) and got[10] == ("menu\nother host", 0) and got[11] == ("", 0)
+    urls = ["https://www.Example.com:8080/a?b", "http://u:p@host.org", "ftp://x.y/z", "no url", None, "http:///x"]
+    hosts = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").select("i", line_dedup.host_of(F.col("url")).alias("h")).orderBy("i").collect()
+    assert [r["h"] for r in hosts] == ["example.com", "host.org", "x.y", None, None, None]
 
 
 # -- 4 -----------------------------------------------------------------------------------------
