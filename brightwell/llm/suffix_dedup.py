@@ -6,20 +6,21 @@ LENGTH - GRAM + 1 grams of some string of LENGTH bytes, it triggers a phrase bou
 triggers depend on content alone and every string of LENGTH bytes holds one, so equal strings
 are cut alike in all documents, and phrases are short. The dictionary has one entry for each
 distinct phrase surrounding of a trigger: the bytes of all strings of LENGTH bytes that hold
-the trigger. Entries are sorted by trigger, surrounding and doc_id, which brings equal strings
-of the corpus together in the order of first occurrence:
+the trigger. Entries are sorted by (hashes of) trigger and surrounding and by doc_id, which
+brings equal strings of the corpus together in the order of first occurrence:
 
 1. an entry whose surrounding occurs in an earlier document is a repeat as a whole;
 2. an entry whose trigger, but not surrounding, occurs elsewhere lies at the edge of a repeat.
-   The strings of LENGTH bytes at such edges alone are sorted as suffixes of their own and
-   those of an earlier document found.
+   The strings of LENGTH bytes at such edges alone are hashed and sorted one by one, and those
+   of an earlier document found.
 
-What is left out is one suffix array of the whole corpus: sorting all suffixes moves several
-times LENGTH bytes for each byte of text, while the dictionary moves about 1.5. The order that
-is needed, equal strings together and the earliest document first, is the dictionary's order,
-dealt by trigger to buckets that are sorted by themselves.
+What is left out: no suffix array of dictionary, parse or corpus is built. Sorting all suffixes
+moves several times LENGTH bytes for each byte of text, while these entries move about 1.5. Of
+the order that suffix arrays give, what is needed here is that equal strings lie together, the
+earliest document first, and hashes dealt to buckets and sorted there give that much.
 
-Scale: rows are compressed arrays of many entries; the number of buckets grows with the text.
+Scale: rows are compressed arrays of many entries, or blocks of texts. The number of buckets
+grows with the text, slower beyond FEW, and there are no more than PARTITIONS partitions.
 Entries are combined before the shuffle: a task sends one entry for each distinct trigger and
 surrounding, and one mark for a trigger with several surroundings, whose strings go straight
 to step 2, where they are dealt by the string's own hash. So no trigger, however frequent,
@@ -33,9 +34,7 @@ bytes keep all. Only doc_id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import U64, id_and_text, materialize, mix, prefix_hash, read, span_hash
+from brightwell.llm.common import U64, batches_of, discard, id_and_text, materialize, mix, prefix_hash, read, span_hash
 
 LENGTH = 50
 GRAM = 20
@@ -52,7 +51,10 @@ REACH = LENGTH - GRAM  # bytes before a trigger that a string with it can start
 NULLS = 1 << 62  # doc_ids from here on stand for rows without one
 CHUNK = 2_000_000  # bytes of text handled at once
 FLUSH = 1_500_000  # entries combined at once
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES, MOST_BYTES = 4_000_000, 64_000_000  # of text to a bucket, as long as there are no more than FEW; and at most
+FEW, PARTITIONS = 4096, 20_000
+PACK_BYTES = 1_000_000  # of texts that travel as one
+BLOCKS = 200  # rows that Python gets at once where a row is many texts
 LOW48 = U64((1 << 48) - 1)
 MARK = U64(1 << 48)  # in place of a surrounding: the trigger has several
 
@@ -71,6 +73,35 @@ def unpack(data: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
+def pack_texts(ids: list[int], texts: list[bytes]) -> bytes:
+    """Documents as one compressed block: ids, lengths, bytes."""
+    head = np.array([ids, [len(t) for t in texts]], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(texts))
+
+
+def unpack_texts(data: bytes, n: int) -> tuple[np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    ids, size = np.frombuffer(raw, np.int64, 2 * n).reshape(2, n)
+    end = 16 * n + np.cumsum(size)
+    return ids, [raw[z - m : z] for z, m in zip(end.tolist(), size.tolist(), strict=True)]
+
+
+def _packed(route: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(route, kind, n, data): texts of one route together, some bytes at a time."""
+    have: dict[int, tuple[list[int], list[bytes]]] = {}
+    size: dict[int, int] = {}
+    for r, d, t in zip(route.tolist(), ids.tolist(), texts, strict=True):
+        mine = have.setdefault(r, ([], []))
+        mine[0].append(d)
+        mine[1].append(t)
+        size[r] = size.get(r, 0) + len(t)
+        if size[r] > PACK_BYTES:
+            yield r, TEXT, len(mine[0]), pack_texts(*mine)
+            del have[r], size[r]
+    for r, mine in have.items():
+        yield r, TEXT, len(mine[0]), pack_texts(*mine)
+
+
 def _slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     """f over x[i : i + width] at each i that has as many."""
     out, have = x, 1
@@ -332,7 +363,7 @@ def _cover(starts: np.ndarray, n: int) -> np.ndarray:
 
 
 DONE, PENDING, STRINGS = 0, 1, 2
-PASS = "kind int, route int, width int, data binary, doc long, text string, starts binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+PASS = "kind int, route int, width int, data binary, starts binary, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 PASS_COLUMNS = [c.split()[0] for c in PASS.split(", ")]
 
 
@@ -352,18 +383,18 @@ def _apply_entries(buckets: int):
             have.clear()
             string, doc, later = _first_docs(string, doc)
             # a later document of this task is decided here; the earliest is sent on
-            rows = [(STRINGS, r, w, data, *[None] * 7) for r, _, w, data in _dealt(WHOLE, _home(doc[later], buckets), string[later], doc[later])]
+            rows = [(STRINGS, r, w, data, *[None] * 6) for r, _, w, data in _dealt(WHOLE, _home(doc[later], buckets), string[later], doc[later])]
             decided = [(*x[:2], -x[2], *x[3:]) for x in rows]  # a negative width: decided
-            return decided + [(STRINGS, r, w, data, *[None] * 7) for r, _, w, data in _dealt(ENTRY, _bucket(string[~later], buckets), string[~later], doc[~later])]
+            return decided + [(STRINGS, r, w, data, *[None] * 6) for r, _, w, data in _dealt(ENTRY, _bucket(string[~later], buckets), string[~later], doc[~later])]
 
-        for known, part in _with_known(batches):
+        for route, known, ids, texts, _ in _with_known(batches):
             rows, touched = [], []
-            texts, ids = _raw(part.text), part.doc.to_numpy(np.int64)
             for i, d in enumerate(ids):
                 if len(texts[i]) >= LENGTH and (len(known[WHOLE].of(d)) or len(known[EDGE].of(d))):
                     touched.append(i)
                 else:
-                    rows.append((DONE, None, None, None, d, None, None, *_result(texts[i], None)))
+                    rows.append((DONE, *[None] * 4, d, *_result(texts[i], None)))
+            wait: list[tuple[int, bytes, np.ndarray]] = []
             for chunk in _chunks([texts[i] for i in touched]):
                 part_of = [touched[i] for i in chunk]
                 p = Parse([texts[i] for i in part_of])
@@ -381,15 +412,18 @@ def _apply_entries(buckets: int):
                 for j, i in enumerate(part_of):
                     own = starts[a[j] : b[j]] - p.start[j]
                     if c[j] == e[j]:
-                        rows.append((DONE, None, None, None, ids[i], None, None, *_result(texts[i], _cover(own, len(texts[i])))))
+                        rows.append((DONE, *[None] * 4, ids[i], *_result(texts[i], _cover(own, len(texts[i])))))
                     else:
-                        rows.append((PENDING, int(_home(ids[i : i + 1], buckets)[0]), None, None, ids[i], part.text.iloc[i], pack(own), *[None] * 4))
+                        wait.append((ids[i], texts[i], own))
                         s = np.unique(strings[c[j] : e[j]])
                         have.append((s, np.full(len(s), ids[i])))
                         n += len(s)
                 if n > FLUSH:
                     rows += flush()
                     n = 0
+            if wait:
+                starts = pack(np.concatenate([np.full(len(o), k) for k, (_, _, o) in enumerate(wait)]), np.concatenate([o for _, _, o in wait])) if any(len(o) for _, _, o in wait) else None
+                rows.append((PENDING, route, len(wait), pack_texts([d for d, _, _ in wait], [t for _, t, _ in wait]), starts, *[None] * 5))
             yield _passed(rows)
         if have:
             yield _passed(flush())
@@ -397,8 +431,8 @@ def _apply_entries(buckets: int):
     return run
 
 
-def _with_known(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict[int, _Known], pd.DataFrame]]:
-    """Texts of one route at a time with the decisions of that route, which come first."""
+def _with_known(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict[int, _Known], np.ndarray, list[bytes], bytes | None]]:
+    """Blocks of texts (route, decisions of that route, ids, texts, starts); decisions come first."""
     route, rows, known = None, {WHOLE: [], EDGE: []}, None
     for at, part in _by_route(batches):
         if at != route:
@@ -406,21 +440,21 @@ def _with_known(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict[int, _Kn
         told = part[part.kind != TEXT]
         for kind, width, data in zip(told.kind, told.width, told.data, strict=True):
             rows[kind].append(unpack(data, int(width)))
-        texts = part[part.kind == TEXT]
-        if len(texts):
-            if known is None:
-                known = {k: _Known([(a, d) for a, d in v]) for k, v in rows.items()}
-            yield known, texts
+        blocks = part[part.kind == TEXT]
+        if len(blocks) and known is None:
+            known = {k: _Known([(a, d) for a, d in v]) for k, v in rows.items()}
+        for width, data, starts in zip(blocks.width, blocks.data, blocks.starts, strict=True):
+            yield at, known, *unpack_texts(data, int(width)), starts
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pending texts with the strings that occur earlier."""
-    for known, part in _with_known(batches):
+    for _, known, ids, texts, starts in _with_known(batches):
         out = []
-        for doc, text, starts in zip(part.doc, part.text, part.starts, strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            own = unpack(starts, 1)[0] if starts is not None else np.zeros(0, np.int64)
-            later = known[WHOLE].of(doc)
+        which, place = unpack(starts, 2) if starts is not None else (np.zeros(0, np.int64),) * 2
+        bounds = np.searchsorted(which, np.arange(len(ids) + 1))
+        for i, (doc, raw) in enumerate(zip(ids.tolist(), texts, strict=True)):
+            own, later = place[bounds[i] : bounds[i + 1]], known[WHOLE].of(doc)
             if len(later):
                 at = np.arange(len(raw) - LENGTH + 1)
                 hashed = span_hash(prefix_hash(np.frombuffer(raw, np.uint8)), at, at + LENGTH)
@@ -429,52 +463,48 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _homes(buckets: int):
+    """Texts to blocks by route."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = b.doc.to_numpy(np.int64)
+            yield _frame(list(_packed(_home(ids, buckets), ids, _raw(b.text))))
+
+    return run
+
+
+def buckets_of(total: int) -> int:
+    """How many buckets so many bytes of text are dealt to; beyond FEW, a bucket grows before their number does."""
+    return max(16, min(total // BUCKET_BYTES, max(FEW, total // MOST_BYTES)))
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs (doc_id, text)."""
     nulls = F.lit(NULLS) + F.pmod(F.xxhash64("text"), F.lit(NULLS))
     docs = id_and_text(docs).select(F.coalesce("doc_id", nulls).alias("doc"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    buckets = max(16, int(total // BUCKET_BYTES))
-    nothing = lambda kind: F.lit(None).cast(kind)
+    buckets = buckets_of(int(total))
+    partitions = min(buckets, PARTITIONS)  # a partition holds some buckets, one after the other
+    nothing = F.lit(None).cast("binary").alias("starts")
 
-    # a null among the doc_ids would turn a batch of them to floats
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "route").sortWithinPartitions("route", "kind")
+        return df.repartition(partitions, "route").sortWithinPartitions("route", "kind")
 
     # decisions are written before texts move, so the files of the two shuffles need not exist at once
     decided = materialize(dealt(docs.mapInPandas(_entries(buckets), ROWS)).mapInPandas(_sorted_reduce(_decide_entries, buckets), ROWS), "suffix-decided")
-    _free(docs.sparkSession)
-    texts = docs.mapInPandas(_homes(buckets), "route int, kind int, doc long, text string").select("route", "kind", nothing("int").alias("width"), nothing("binary").alias("data"), "doc", "text")
-    told = decided.select("route", "kind", "width", "data", F.lit(0).cast("long").alias("doc"), nothing("string").alias("text"))
-    passed = materialize(dealt(texts.unionAll(told)).mapInPandas(_apply_entries(buckets), PASS), "suffix-pass")
-    del decided, told, texts
-    _free(docs.sparkSession)
-    strings = passed.where(F.col("kind") == STRINGS).select("route", F.when(F.col("width") < 0, WHOLE).otherwise(ENTRY).alias("kind"), F.abs("width").alias("width"), "data")
-    later = materialize(dealt(strings).mapInPandas(_sorted_reduce(_decide_strings, buckets), ROWS), "suffix-later")
-    del strings
-    _free(docs.sparkSession)
-    pending = passed.where(F.col("kind") == PENDING).select("route", F.lit(TEXT).alias("kind"), nothing("int").alias("width"), nothing("binary").alias("data"), "doc", "text", "starts")
-    told = later.select("route", "kind", "width", "data", F.lit(0).cast("long").alias("doc"), nothing("string").alias("text"), nothing("binary").alias("starts"))
-    result = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    finished = dealt(pending.unionAll(told)).mapInPandas(_finish, result)
-    done = passed.where(F.col("kind") == DONE).select(*finished.columns)
-    return done.unionAll(finished).select(F.when(F.col("doc") < NULLS, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
-def _homes(buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"route": _home(b.doc.to_numpy(), buckets), "kind": TEXT, "doc": b.doc, "text": b.text})
-
-    return run
-
-
-def _free(spark: SparkSession) -> None:
-    """Shuffle files go when the JVM collects what refers to them, in its own time unless asked."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    texts = docs.mapInPandas(_homes(buckets), ROWS)
+    with batches_of(docs.sparkSession, BLOCKS):
+        passed = materialize(dealt(texts.unionAll(decided).select("*", nothing)).mapInPandas(_apply_entries(buckets), PASS), "suffix-pass")
+        discard(decided)
+        strings = passed.where(F.col("kind") == STRINGS).select("route", F.when(F.col("width") < 0, WHOLE).otherwise(ENTRY).alias("kind"), F.abs("width").alias("width"), "data")
+        later = materialize(dealt(strings).mapInPandas(_sorted_reduce(_decide_strings, buckets), ROWS), "suffix-later")
+        pending = passed.where(F.col("kind") == PENDING).select("route", F.lit(TEXT).alias("kind"), "width", "data", "starts")
+        finished = dealt(pending.unionAll(later.select("*", nothing))).mapInPandas(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        done = passed.where(F.col("kind") == DONE).select(*finished.columns)
+        result = materialize(done.unionAll(finished), "suffix-result")
+        discard(passed, later)
+    return result.select(F.when(F.col("doc") < NULLS, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
