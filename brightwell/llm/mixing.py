@@ -86,6 +86,7 @@ def _water(node: DataFrame, path: list[str]) -> DataFrame:
     ratio = F.col("room") / F.col("weight")
     bucket = F.when(ratio > 0, F.floor(F.log2(ratio) * OCTAVE)).otherwise(F.lit(-100_000)).cast("int")
     grouped = by(node).groupBy(*keys, bucket.alias("bucket"), ratio.alias("ratio")).agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"), F.max("given").alias("given"))
+    grouped = materialize(grouped, "mix-ratios")  # a plan that holds each level's plan several times would grow without measure
     sums = grouped.groupBy(*keys, "bucket").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"), F.max("given").alias("given"), F.max("ratio").alias("top"))
     ordered = Window.partitionBy(*keys).orderBy("bucket")
     before, onwards = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(0, Window.unboundedFollowing)
@@ -111,7 +112,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[:depth])
         node = tree.groupBy(*path, level).agg((F.lit(mix.max_epochs) * F.sum("tokens")).cast("double").alias("room"), F.max("given").alias("given"))
-        node = node.withColumn("weight", _of(F.col(level), weights[level], 1).cast("double"))
+        node = materialize(node.withColumn("weight", _of(F.col(level), weights[level], 1).cast("double")), "mix-nodes")
         water = _water(node, path)
         water = water.select(*(F.col(k).alias(f"_{k}") for k in path), "water")
         family = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in path]) if path else F.lit(True)
@@ -120,7 +121,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
         keys = [*path, level]
         right = node.toDF(*(f"_{k}" for k in keys), "granted")
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        tree = tree.join(right, on).drop(*(f"_{k}" for k in keys)).withColumn("given", F.col("granted")).drop("granted")
+        tree = materialize(tree.join(right, on).drop(*(f"_{k}" for k in keys)).withColumn("given", F.col("granted")).drop("granted"), "mix-tree")
     return tree.withColumnRenamed("given", "budget")
 
 
