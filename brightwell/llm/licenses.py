@@ -24,7 +24,7 @@ from __future__ import annotations
 import functools
 import pkgutil
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -148,8 +148,14 @@ class Templates:
         for i, s in enumerate(self.sets):
             for b in s:
                 self.index[b].append(i)
-        ratio = least / (2 - least)
-        self.smallest, self.largest = min(self.sizes) * ratio, max(self.sizes) / ratio
+        self.ratio = least / (2 - least)
+        self.by_size = sorted((n, i) for i, n in enumerate(self.sizes))
+        self.smallest, self.largest = self.by_size[0][0] * self.ratio, self.by_size[-1][0] / self.ratio
+
+    def of_size(self, n: int) -> set[int]:
+        """The templates that a unit of n bigrams can match by size."""
+        low, high = bisect_left(self.by_size, (n * self.ratio * (1 - 1e-12), -1)), bisect_right(self.by_size, (n / self.ratio * (1 + 1e-12), len(self.sizes)))
+        return {i for _, i in self.by_size[low:high]}
 
     def windows(self, text: str) -> Iterator[tuple[int, int]]:
         """Candidates that match their template, but for those with most of their length in one that shares more bigrams with its own: a cut-out of one licence's notice can resemble another's."""
@@ -200,12 +206,14 @@ class Templates:
             words = words_of(text[start:end])
             unit = bigrams(words)
             n = len(unit)
-            if not self.smallest <= n <= self.largest:
+            able = self.of_size(n)
+            if not able:
                 continue
             shared: dict[int, int] = {}
             for b in unit:
                 for i in get(b, ()):
-                    shared[i] = shared.get(i, 0) + 1
+                    if i in able:
+                        shared[i] = shared.get(i, 0) + 1
             scored = [(2 * both / (n + self.sizes[i]), self.names[i]) for i, both in shared.items()]
             top = max(scored, default=(0.0, ""))[0]
             for score, name in scored:

@@ -306,6 +306,20 @@ def test_licences_are_those_of_brute_force():
         assert {m[0]: m[1] for m in known.match(text)} == want
 
 
+def test_sizes_prune_no_match():
+    known = licenses.Templates(licenses.TEMPLATES, licenses.LEAST)
+    for n in (1, 3, 7, 20, 50, 93, 150, 400, 1500, 6000):
+        assert known.of_size(n) == {i for i, m in enumerate(known.sizes) if 2 * min(n, m) / (n + m) >= licenses.LEAST}
+
+
+def test_licences_of_odd_rows(spark):
+    notice = "Released under the MIT License."
+    docs = frame(spark, [None, "", "one", notice, notice, f"{notice} Licensed under CC BY 4.0.", "word " * 300_000], [None, 1, 2, 3, 3, 4, 5]).withColumn("license", F.lit("x")).withColumn("m", F.lit(1))
+    got = sorted((r["doc_id"], r["license"], r["score"]) for r in licenses.scan(docs).collect())
+    assert got == [(3, "MIT", 1.0), (3, "MIT", 1.0), (4, "CC-BY-4.0", 1.0), (4, "MIT", 1.0)]
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", licenses.WHOLE)
 def test_whole_licences_are_found_under_their_name(name):
     whole = dict(licenses.TEMPLATES[-len(licenses.WHOLE) :])[name]
