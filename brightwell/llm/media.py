@@ -2,8 +2,9 @@
 
 `decode` parses the markers of a baseline JPEG (quantisation and Huffman tables, frame, scan,
 restart interval), decodes the entropy-coded scan and keeps the DC coefficient of every
-luminance block: a thumbnail of one pixel a block. AC coefficients are read past. Chroma and
-subsampling are handled; several frames in one stream are several images.
+luminance block: a thumbnail of one pixel a block. AC coefficients are read past. Chroma,
+subsampling and scans of single components are handled; several frames in one stream are
+several images.
 
 Decoding runs in lock step. Restart markers cut a scan into intervals that need nothing from
 each other, so all intervals of a batch of images are lanes of one numpy loop that advances a
@@ -195,13 +196,13 @@ def parse(data: bytes) -> list[_Scan]:
             (scan.restart,) = struct.unpack_from(">H", body)
         elif marker == 0xDA:
             ids = [c[0] for c in scan.components]
-            if body[0] != len(ids):
-                raise ValueError("only scans of all components are read")
             scan.order = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
             at = _intervals(data, at, scan)
-            out.append(scan)
+            if any(c == 0 for c, _, _ in scan.order):  # others hold no luminance
+                out.append(scan)
             before, scan = scan, _Scan()
-            scan.tables, scan.quantisers = dict(before.tables), dict(before.quantisers)
+            scan.tables, scan.quantisers, scan.components = dict(before.tables), dict(before.quantisers), before.components
+            scan.height, scan.width, scan.restart = before.height, before.width, before.restart
     if not out:
         raise ValueError("no scan")
     return out
@@ -292,7 +293,7 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     for members in groups.values():
         first = images[members[0]][1]
         pattern = []
-        single = len(first.components) == 1
+        single = len(first.order) == 1
         for c, dc, ac in first.order:
             _, h, v, _ = first.components[c]
             pattern += [(c, _lookup(first.tables[dc]), _lookup(first.tables[0x10 | ac]))] * (1 if single else h * v)
@@ -316,21 +317,30 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     return out
 
 
+def _blocks(s: _Scan, component: int) -> tuple[int, int]:
+    """How many blocks wide and high a component is."""
+    _, h, v, _ = s.components[component]
+    wide, high = max(c[1] for c in s.components), max(c[2] for c in s.components)
+    return -(-(-(-s.width * h // wide)) // 8), -(-(-(-s.height * v // high)) // 8)
+
+
 def _units(s: _Scan) -> tuple[int, int]:
-    h, v = (1, 1) if len(s.components) == 1 else (max(c[1] for c in s.components), max(c[2] for c in s.components))
-    return -(-s.width // (8 * h)), -(-s.height // (8 * v))
+    """How many units wide and high a scan is: blocks, if it has one component alone."""
+    if len(s.order) == 1:
+        return _blocks(s, s.order[0][0])
+    return -(-s.width // (8 * max(c[1] for c in s.components))), -(-s.height // (8 * max(c[2] for c in s.components)))
 
 
 def _thumbnail(s: _Scan, lanes: list[np.ndarray], per_unit: int) -> np.ndarray:
     wide, high = _units(s)
     flat = np.concatenate(lanes).reshape(-1, per_unit)
     _, h, v, q = s.components[0]
-    if len(s.components) == 1:
+    if len(s.order) == 1:
         h = v = 1
     first = [c for c, _, _ in s.order].index(0)
     skip = sum(s.components[c][1] * s.components[c][2] for c, _, _ in s.order[:first])
     y = flat[:, skip : skip + h * v].reshape(high, wide, v, h).transpose(0, 2, 1, 3).reshape(high * v, wide * h)
-    rows, cols = -(-s.height // 8), -(-s.width // 8)
+    cols, rows = _blocks(s, 0)
     return np.clip(y[:rows, :cols] * s.quantisers[q] / 8 + 128, 0, 255)
 
 

@@ -470,6 +470,24 @@ def test_decoder_reads_past_ac_and_subsampled_chroma():
     ((width, height, thumb),) = media.decode([data])[0]
     want = np.array([[5, -3, -100, 7], [100, 0, 7, 31]]) * 2 / 8 + 128
     assert (width, height) == (32, 16) and np.allclose(thumb, want)
+    # the same image with a scan for each component
+    scans = b""
+    for component, plane in ((0, [5, -3, -100, 7, 100, 0, 7, 31]), (1, [9, 9]), (2, [-9, -9])):
+        bits, last = "", [0, 0, 0]
+        for x in plane:
+            block(component, x)
+        bits += "1" * (-len(bits) % 8)
+        scans += seg(0xDA, bytes([1, component + 1, 0, 0, 63, 0])) + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    apart = data[: data.index(b"\xff\xda")] + scans + b"\xff\xd9"
+    ((width, height, thumb),) = media.decode([apart])[0]
+    assert (width, height) == (32, 16) and np.allclose(thumb, want)
+
+
+def test_thumbnails_of_odd_streams(spark):
+    good = media.encode([media.payload_of("some text")[1]])[0]
+    rows = [(1, bytearray(good)), (2, bytearray(b"")), (3, None), (4, bytearray(good[:30])), (5, bytearray(b"no image"))]
+    got = media.thumbnails(spark.createDataFrame(rows, "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert (got[0]["width"], got[0]["height"]) == (192, 192) and got[0]["thumb_hash"] and all(r["width"] is None for r in got[1:])
 
 
 # -- 10 ----------------------------------------------------------------------------------------
