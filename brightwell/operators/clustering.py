@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHA = 1.0
+EPSILON = 1e-10
 SILHOUETTE_ROWS = 2000
 # fixed values: id, name, action, priority, description
 CLUSTERS = (
@@ -49,6 +50,14 @@ def target_distribution(q: DataFrame) -> DataFrame:
     return raw.join(total, "vec_id").select("vec_id", "cluster_id", "q", (F.col("_p") / F.col("_total")).alias("p"))
 
 
+def divergence(q: DataFrame, p: DataFrame) -> DataFrame:
+    """One row: how far shares q are from targets p (sum of p ln(p / q) over clusters, mean over rows), and the entropy of the mean shares, larger for clusters of equal size. Rows are those that both have."""
+    both = q.select("vec_id", "cluster_id", "q").join(p.select("vec_id", "cluster_id", "p"), ["vec_id", "cluster_id"])
+    per = both.groupBy("vec_id").agg(F.sum(F.col("p") * F.ln((F.col("p") + EPSILON) / (F.col("q") + EPSILON))).alias("kl"))
+    sizes = both.groupBy("cluster_id").agg(F.avg("q").alias("f"))
+    return per.agg(F.avg("kl").alias("kl_cluster"), F.count("*").alias("rows")).join(F.broadcast(sizes.agg((-F.sum(F.col("f") * F.ln(F.col("f") + EPSILON))).alias("balance_entropy"))))  # one row
+
+
 def hard_assign(q: DataFrame) -> DataFrame:
     """(vec_id, cluster_id, confidence): the cluster of the largest share, of equal ones the least id."""
     return q.groupBy("vec_id").agg(F.max_by("cluster_id", F.struct("q", -F.col("cluster_id"))).alias("cluster_id"), F.max("q").alias("confidence"))

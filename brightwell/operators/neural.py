@@ -107,23 +107,27 @@ def _stacked(windows: pd.Series, n: int) -> tuple[np.ndarray, np.ndarray]:
 SCORED = "resource_id string, window_id long, end_time timestamp, error double, mu array<double>, cluster_id int, confidence double"
 
 
-def score_windows(rows: DataFrame, numerical: Sequence[str], categorical: Sequence[str], load: Callable[[], Network]) -> DataFrame:
-    """Windows (normalised rows of `numerical`, encoded ones of `categorical`) to reconstruction error, latent mean, cluster and confidence; the first of equal clusters."""
-    n = len(numerical)
+def score_arrays(windows: DataFrame, n_numerical: int, load: Callable[[], Network]) -> DataFrame:
+    """Windows (resource_id, window_id, end_time, x: steps of numerical, then categorical values) to reconstruction error, latent mean, cluster and confidence; the first of equal clusters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = load()
         for b in batches:
             if not len(b):
                 continue
-            x_num, x_cat = _stacked(b.x, n)
+            x_num, x_cat = _stacked(b.x, n_numerical)
             mu, _ = net.encode(x_num, x_cat)
             error = ((x_num - net.decode(mu, x_num.shape[1])[0]) ** 2).mean((1, 2))
-            q = net.assign(mu) if net.centers is not None else np.full((len(b), 1), np.nan)
             known = net.centers is not None
+            q = net.assign(mu) if known else np.full((len(b), 1), np.nan)
             yield b[["resource_id", "window_id", "end_time"]].assign(error=error, mu=list(mu), cluster_id=pd.array(q.argmax(1) if known else [None] * len(b), "Int32"), confidence=q.max(1) if known else None)
 
-    return window_arrays(rows, [*numerical, *categorical]).mapInPandas(run, SCORED)
+    return windows.select("resource_id", "window_id", "end_time", "x").mapInPandas(run, SCORED)
+
+
+def score_windows(rows: DataFrame, numerical: Sequence[str], categorical: Sequence[str], load: Callable[[], Network]) -> DataFrame:
+    """score_arrays of window rows: normalised ones of `numerical`, encoded ones of `categorical`."""
+    return score_arrays(window_arrays(rows, [*numerical, *categorical]), len(numerical), load)
 
 
 def scorer(load: Callable[[], Network], categorical: Sequence[str] = ()) -> Callable:

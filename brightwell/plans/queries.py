@@ -575,6 +575,14 @@ def target_distribution(spark, sf_dir):
     return rounded(clustering.target_distribution(_soft(spark, sf_dir)).drop("q"), 5)
 
 
+@query(f"""WITH {C_SQL}, f AS (SELECT cluster_id, sum(q) AS f FROM q GROUP BY 1), t AS (SELECT vec_id, cluster_id, q.q, q.q * q.q / f AS p FROM q JOIN f USING (cluster_id)), s AS (SELECT vec_id, cluster_id, q, p / sum(p) OVER (PARTITION BY vec_id) AS p FROM t),
+  k AS (SELECT vec_id, sum(p * ln((p + 1e-10) / (q + 1e-10))) AS kl FROM s GROUP BY 1), z AS (SELECT cluster_id, avg(q) AS f FROM s GROUP BY 1)
+SELECT round(avg(kl), 6) AS kl_cluster, count(*) AS rows, (SELECT round(-sum(f * ln(f + 1e-10)), 6) FROM z) AS balance_entropy FROM k""")
+def cluster_losses(spark, sf_dir):
+    q = _soft(spark, sf_dir)
+    return rounded(clustering.divergence(q, clustering.target_distribution(q)))
+
+
 @query(f"WITH {C_SQL} SELECT cluster_id, count(*) AS size, round(avg(sqrt(d2)), 5) AS mean_distance, round(stddev_pop(sqrt(d2)), 5) AS distance_std, round((SELECT avg(s) FROM (SELECT stddev_pop(CAST(x AS DOUBLE)) AS s FROM e WHERE e.label = d.cluster_id GROUP BY p)), 5) AS mean_std, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 5) AS percent FROM d WHERE cluster_id = label GROUP BY 1")
 def cluster_summary(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
@@ -748,3 +756,12 @@ def cluster_predictions(spark, sf_dir):
     rows = features.apply_minmax(features.apply_zscore(filled, features.fit_zscore(filled, NUMERICAL), NUMERICAL), features.fit_minmax(filled, CATEGORICAL), CATEGORICAL, clip=True)
     load = partial(neural.random_network, len(NUMERICAL), len(CATEGORICAL))
     return neural.predictions(neural.score_windows(rows, NUMERICAL, CATEGORICAL, load))
+
+
+@query()
+def served_requests(spark, sf_dir):
+    """Every resource's series as a request, predicted by the recurrent auto-encoder with stand-in weights."""
+    split = serving.split_series(hourly_metrics(spark, sf_dir), profiles_frame(spark, PROFILES[:1]))
+    per = split.groupBy(F.col("resource_id").alias("request_id")).agg(*(F.first(F.when(F.col("kind") == k, F.col("series")), ignorenulls=True).alias(k) for k in ("numerical", "categorical")))
+    load = partial(neural.random_network, len(NUMERICAL), len(CATEGORICAL))
+    return serving.predict(per, dict.fromkeys(NUMERICAL, (50.0, 30.0)), dict.fromkeys(CATEGORICAL, (0.0, 100.0)), load, 30, 1.0)

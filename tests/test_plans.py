@@ -10,7 +10,7 @@ import yaml
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from brightwell.operators import features, forecast, gates, neural, quality, scoring
+from brightwell.operators import features, forecast, gates, neural, quality, scoring, serving
 from brightwell.plans import incident, suite, training
 from brightwell.sources import Files, Profile, vendor
 
@@ -76,6 +76,25 @@ def test_network_on_windows(spark):
     assert {r["name"] for r in neural.predictions(neural.score_windows(rows, ["a"], ["b"], lambda: neural.random_network(1, 1))).collect()} <= {"NORMAL", "PRE_SCALE", "PRE_FAILURE", "ACTIVE_DEGRADATION", "ANOMALY"}
 
 
+def test_requests(spark):
+    """Requests against numpy: alignment by name, padding, missing values and features, clipping."""
+    nan = float("nan")
+    rows = [("q1", {"a": [1.0, None, 3.0, nan, 5.0], "b": [nan, 2.0], "zzz": [9.0]}, {"c": [0.0, 5.0, 20.0]}), ("q2", {"a": []}, None)]
+    requests = spark.createDataFrame(rows, "request_id string, numerical map<string, array<double>>, categorical map<string, array<double>>")
+    numerical, categorical = {"a": (1.0, 2.0), "b": (1.0, 0.0)}, {"c": (0.0, 10.0), "d": (1.0, 1.0)}
+    got = {r["resource_id"]: r for r in serving.request_windows(requests, numerical, categorical, 4).collect()}
+    a, b, c = (np.array([1.0, 3, 3, 5]) - 1) / 2, np.array([0.0, 0, 2, 2]) - 1, [0.0, 0.0, 0.5, 1.0]
+    assert np.allclose(got["q1"]["x"], np.column_stack([a, b, c, [0.0] * 4])) and np.allclose(got["q2"]["x"], 0)
+    assert got["q1"]["missing_categorical"] == ["d"] and got["q2"]["missing_numerical"] == ["a", "b"]
+    load = lambda: neural.random_network(2, 2)
+    out = {r["request_id"]: r for r in serving.predict(requests, numerical, categorical, load, 4, 0.5).collect()}
+    x = np.array([got[q]["x"] for q in ("q1", "q2")])
+    assert np.allclose([out[q]["error"] for q in ("q1", "q2")], load().errors(x[:, :, :2], x[:, :, 2:]))
+    assert (out["q1"]["numerical_coverage"], out["q1"]["categorical_coverage"], out["q2"]["numerical_coverage"]) == (1.0, 0.5, 0.0)
+    assert all(r["name"] and r["is_anomaly"] == (r["error"] > 0.5) for r in out.values())
+    assert serving.health(requests, object())["status"] == "healthy" and serving.health()["status"] == "degraded"
+
+
 # -- training sets -------------------------------------------------------------------------------
 
 
