@@ -459,3 +459,20 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rows = docs.withColumns({k1: key[0], k2: key[1]})
     found = rows.join(kept, (F.col(k1) == F.col(x1)) & (F.col(k2) == F.col(x2)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)))
     return found.dropDuplicates([k1, k2]).select(*docs.columns)
+
+
+# all pairs of texts that share a cell; links from class to class until nothing changes
+OP2_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+texts AS (SELECT text, row_number() OVER (ORDER BY text) AS t, min(doc_id) AS first_id FROM docs GROUP BY text),
+words AS (SELECT t, list_filter(regexp_split_to_array(text, '[\t\n\x0b\f\r ]+'), lambda w: w <> '') AS w FROM texts),
+shingles AS (SELECT t, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+cells AS (SELECT t, s, row_number() OVER (PARTITION BY t, s) AS k FROM shingles),
+sizes AS (SELECT t, count(*) AS n FROM cells GROUP BY t),
+shared AS (SELECT a.t AS a, b.t AS b, count(*) AS n FROM cells a JOIN cells b ON a.s = b.s AND a.k = b.k AND a.t < b.t GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.t = a JOIN sizes y ON y.t = b WHERE CAST(shared.n AS DOUBLE) / (x.n + y.n - shared.n) >= {SIMILAR}),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT t AS a, t AS b FROM texts UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+classes AS (SELECT reach.a AS t, min(first_id) AS class_id FROM reach JOIN texts ON texts.t = reach.b GROUP BY 1)
+SELECT doc_id, class_id FROM docs JOIN texts USING (text) JOIN classes USING (t)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_media": media.op9_media,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op4_chat_format": chat.OP4_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op2_near_dedup": near_dup.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op4_chat_format": chat.OP4_SQL, "op8_suffix_dedup": suffix_dedup.OP8_SQL}

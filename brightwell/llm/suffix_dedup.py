@@ -509,3 +509,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents"))
+
+
+OP8_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, {NULLS}) AS rank, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT k, rank, i, substr(x, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT k, rank, x, unnest(range(0, len(x) // 2 - {LENGTH - 1})) AS i FROM docs)),
+first AS (SELECT s, min(rank) AS rank FROM strings GROUP BY s HAVING min(rank) < max(rank)),
+starts AS (SELECT k, i FROM strings JOIN first USING (s) WHERE first.rank < strings.rank),
+bytes AS (SELECT k, p, substr(x, 2 * p + 1, 2) AS byte FROM (SELECT k, x, unnest(range(0, len(x) // 2)) AS p FROM docs WHERE k IN (SELECT k FROM starts))),
+marked AS (SELECT bytes.*, max(CASE WHEN i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY bytes.k ORDER BY p ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM bytes LEFT JOIN starts ON starts.k = bytes.k AND starts.i = bytes.p),
+edges AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY k ORDER BY p), 0) = 0 AS opens FROM marked),
+cut AS (SELECT k, sum(gone) AS n_removed, count(*) FILTER (opens) AS n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY p) FILTER (gone = 0), ''))) AS kept FROM edges GROUP BY k)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(kept, sha256(unhex(x))) AS kept_sha256 FROM docs LEFT JOIN cut USING (k)
+"""

@@ -53,6 +53,7 @@ FOLDS = 4
 MODELS = FOLDS + 1  # one without each fold, and one of all
 CUT = 2
 RIDGE = 0.3
+CHUNK = 500_000  # characters
 ROWS = 200_000  # counts that a task holds before it hands them on
 BANDS = np.array([1.0, 2.0, 3.0, 4.0])  # nats; sums of differences between these are weighed apart
 WIDTH = 2 * (len(BANDS) + 1)  # bands by sign
@@ -87,7 +88,19 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def features(model: dict, texts: list[str], which: np.ndarray) -> np.ndarray:
-    """For each text: 1, and by order the differences by band over the square root of the words; which: the row of the model's tables that measures it."""
+    """For each text: 1, and by order the differences by band over the square root of the words; which: the row of the model's tables that measures it. Some characters are looked at together, or one longer text."""
+    out, a, size = np.empty((len(texts), 1 + 2 * WIDTH)), 0, 0
+    for i, t in enumerate(texts):
+        if i > a and size + len(t) > CHUNK:
+            out[a:i] = _features(model, texts[a:i], which[a:i])
+            a, size = i, 0
+        size += len(t)
+    if len(texts) > a:
+        out[a:] = _features(model, texts[a:], which[a:])
+    return out
+
+
+def _features(model: dict, texts: list[str], which: np.ndarray) -> np.ndarray:
     word, begin, unseen = model["word"].get, model["begin"].get, len(model["begin"])
     start, unknown, none = model["start"], model["start"] + 1, unseen + 1
     length, at, before, head = np.zeros(len(texts), int), [], [], []
