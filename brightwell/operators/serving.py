@@ -49,7 +49,7 @@ def score_latest(metrics: DataFrame, names: Sequence[str], params: DataFrame, po
 
 def split_series(metrics: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per resource and kind, a map of metric to its values in order of time. profiles: feature, kind."""
-    of = metrics.where(F.col("value").isNotNull()).join(F.broadcast(profiles.select(F.col("feature").alias("metric_name"), "kind")), "metric_name")
+    of = metrics.where(F.col("value").isNotNull()).join(profiles.select(F.col("feature").alias("metric_name"), "kind"), "metric_name")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "value"))), lambda s: s["value"])
     series = of.groupBy("resource_id", "kind", "metric_name").agg(ordered.alias("values"))
     return series.groupBy("resource_id", "kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric_name", "values")))).alias("series"))

@@ -649,11 +649,20 @@ def quality_gate(spark, sf_dir):
     return quality.quality_gate(quality.quality_rollup(quality.series_quality(event_metrics(spark, sf_dir)))).select("ready")
 
 
-@query()
+LAST = ", ".join(f"coalesce(last_value({f} IGNORE NULLS) OVER back, first_value({f} IGNORE NULLS) OVER ahead, 0) AS {f}" for f in NUMERICAL)
+
+
+@query(f"""WITH {W5}, rk AS (SELECT *, dense_rank() OVER (PARTITION BY resource_id ORDER BY timestamp DESC) AS k FROM h WHERE value IS NOT NULL AND metric_name IN ('click', 'view', 'purchase')), rec AS (SELECT * FROM rk WHERE k <= {SIZE}),
+  lw AS (SELECT resource_id, timestamp, {', '.join(f"max(CASE WHEN metric_name = '{f}' THEN value END) AS {f}" for f in NUMERICAL)} FROM rec GROUP BY 1, 2),
+  lf AS (SELECT resource_id, timestamp, {LAST} FROM lw WINDOW back AS (PARTITION BY resource_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY resource_id ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  sc AS (SELECT resource_id, max(timestamp) AS end_time, ({' + '.join(f'var_pop(({f} - m_{f}) / s_{f})' for f in NUMERICAL)}) / 3 AS error FROM lf, params GROUP BY 1 HAVING count(*) = {SIZE}),
+  cv AS (SELECT resource_id, count(DISTINCT metric_name) / 3.0 AS coverage FROM rec GROUP BY 1)
+SELECT resource_id, CAST(epoch(end_time) AS BIGINT) AS end_time, round(error, 6) AS error, round(error / 0.9, 6) AS ratio, error / 0.9 > 1 AS is_anomaly, CASE WHEN error / 0.9 > 2 THEN 4 WHEN error / 0.9 > 1.5 THEN 3 WHEN error / 0.9 > 1 THEN 2 ELSE 1 END AS severity, round(coverage, 6) AS coverage FROM sc JOIN cv USING (resource_id)""")
 def served_scores(spark, sf_dir):
     """The last window of every resource, scored in one job."""
-    filled = _filled(spark, sf_dir)
-    return serving.score_latest(hourly_metrics(spark, sf_dir), NUMERICAL, features.fit_zscore(filled, NUMERICAL), scoring.global_override(1.0), SIZE)
+    params = features.fit_zscore(_filled(spark, sf_dir), NUMERICAL)
+    out = serving.score_latest(hourly_metrics(spark, sf_dir), NUMERICAL, params, scoring.global_override(0.9), SIZE)
+    return rounded(out.select("resource_id", "end_time", "error", "ratio", "is_anomaly", "severity", "coverage"))
 
 
 RUBRIC = {
