@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightwell.functions import small_table
+
 ALPHA = 1.0
 EPSILON = 1e-10
 SILHOUETTE_ROWS = 2000
@@ -143,5 +145,5 @@ def sweep_k(rows: DataFrame, ks: range = range(2, 11), seed: int = 42) -> list[t
 
 
 def describe_clusters(assigned: DataFrame) -> DataFrame:
-    table = assigned.sparkSession.createDataFrame(list(CLUSTERS), "cluster_id int, name string, action string, priority string, description string")
+    table = small_table(assigned.sparkSession, list(CLUSTERS), "cluster_id int, name string, action string, priority string, description string")
     return assigned.join(F.broadcast(table), "cluster_id", "left")

@@ -14,7 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brightwell.functions import seconds_between, severity_of_ratio, share
+from brightwell.functions import seconds_between, severity_of_ratio, share, small_table
 
 QUANTILE = 0.99
 LEAST_WINDOWS = 50
@@ -170,7 +170,7 @@ class Policy:
     own: DataFrame | None = None  # resource_id, threshold
 
     def thresholds(self, spark: SparkSession) -> DataFrame:
-        return self.own if self.own is not None else spark.createDataFrame([], "resource_id string, threshold double")
+        return self.own if self.own is not None else small_table(spark, [], "resource_id string, threshold double")
 
 
 def checked_margin(margin: float) -> float:
@@ -202,7 +202,7 @@ def per_resource_margin(calibration: DataFrame, fallback: float, quantile: float
 def serving_block(spark: SparkSession, block: dict) -> Policy:
     """A baked block: threshold, and optionally thresholds of resources' own, times `margin` if the block has one."""
     own = [(r, float(q) * checked_margin(block.get("margin", 1.0))) for r, q in (block.get("per_resource") or {}).items()]
-    return Policy(block["threshold"], "global", spark.createDataFrame(own, "resource_id string, threshold double"))
+    return Policy(block["threshold"], "global", small_table(spark, own, "resource_id string, threshold double"))
 
 
 def _value(one: DataFrame) -> float:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from brightwell.functions import severity_of_ratio
+from brightwell.functions import severity_of_ratio, small_table
 from brightwell.operators import cases, clustering, detection, features, forecast, gates, neural, quality, scoring, serving
 from brightwell.plans import incident, suite
 from brightwell.sources import Profile, canonical, event_metrics, hourly_metrics, in_range, lookback, profiles_frame, unpivot_payload
@@ -96,7 +96,7 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _incidents(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(INCIDENTS, "case_id string, resource_id string, anchor string, end string")
+    rows = small_table(spark, INCIDENTS, "case_id string, resource_id string, anchor string, end string")
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in ("anchor", "end")})
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightwell.functions import moment, number
+from brightwell.functions import moment, number, small_table
 
 CANONICAL = T.StructType(
     [
@@ -61,7 +61,7 @@ class Profile:
 
 def profiles_frame(spark: SparkSession, profiles: list[Profile]) -> DataFrame:
     rows = [(p.name, f, "numerical" if i < len(p.numerical) else "categorical", i) for p in profiles for i, f in enumerate(p.features)]
-    return spark.createDataFrame(rows, "profile string, feature string, kind string, ordinal int")
+    return small_table(spark, rows, "profile string, feature string, kind string, ordinal int")
 
 
 def load_profiles(path: str) -> list[Profile]:
