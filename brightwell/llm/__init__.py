@@ -1,10 +1 @@
-"""Training-data operators; nothing outside this subpackage imports it.
-
-Their functions travel to the executors by value, so a cluster needs no copy of this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators; nothing outside this subpackage imports it."""
