@@ -4,6 +4,7 @@ Times leave as epoch seconds, floats rounded, so both engines' rows can be compa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import partial
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from brightwell import streaming
 from brightwell.functions import severity_of_ratio, small_table
 from brightwell.operators import cases, clustering, detection, features, forecast, gates, neural, quality, scoring, serving
 from brightwell.plans import incident, suite
@@ -774,3 +776,76 @@ def served_requests(spark, sf_dir):
     per = split.groupBy(F.col("resource_id").alias("request_id")).agg(*(F.first(F.when(F.col("kind") == k, F.col("series")), ignorenulls=True).alias(k) for k in ("numerical", "categorical")))
     load = partial(neural.random_network, len(NUMERICAL), len(CATEGORICAL))
     return serving.predict(per, dict.fromkeys(NUMERICAL, (50.0, 30.0)), dict.fromkeys(CATEGORICAL, (0.0, 100.0)), load, 30, 1.0)
+
+
+# -- small reports -----------------------------------------------------------------------------
+
+
+@query(f"""WITH {M}, {P_SQL}, d AS (SELECT DISTINCT metric_name FROM m), c AS (SELECT profile, 100.0 * count(metric_name) / count(*) AS coverage, string_agg(CASE WHEN metric_name IS NULL THEN feature END, ', ' ORDER BY feature) AS missing FROM p LEFT JOIN d ON feature = metric_name GROUP BY 1)
+SELECT profile, coverage >= 80 AS ready, CASE WHEN coverage < 80 THEN printf('%s: %.1f%% of features present, missing %s', profile, coverage, missing) END AS warning FROM c""")
+def coverage_gate(spark, sf_dir):
+    covered = quality.coverage(profiles_frame(spark, PROFILES).select("profile", "feature"), event_metrics(spark, sf_dir))
+    return quality.coverage_gate(covered).select("profile", "ready", "warning")
+
+
+@query(f"WITH {M}, {P_SQL} SELECT DISTINCT feature FROM p WHERE feature NOT IN (SELECT metric_name FROM m WHERE value IS NOT NULL)")
+def absent_features(spark, sf_dir):
+    names = sorted({f for p in PROFILES for f in p.features})
+    return small_table(spark, [(f,) for f in features.absent_features(event_metrics(spark, sf_dir), names)], "feature string")
+
+
+@query("""WITH m AS (SELECT user_id % 8 AS r, event_type, ts, arg_min(CASE WHEN event_type = 'click' THEN event_id ELSE value END, event_id) AS v FROM events GROUP BY 1, 2, 3), s AS (SELECT *, v - lag(v) OVER (PARTITION BY event_type, r ORDER BY ts) AS d FROM m WHERE v IS NOT NULL),
+k AS (SELECT event_type, r, avg(CAST(d >= 0 AS INT)) >= 0.99 AND avg(CAST(d > 0 AS INT)) >= 0.05 AS hit FROM s GROUP BY 1, 2 HAVING count(*) > 50), w AS (SELECT event_type, count(*) AS judged, count(*) FILTER (hit) AS hits FROM k GROUP BY 1)
+SELECT event_type AS metric_name, printf('%s rises like a counter on %d of %d series; it will leave any fixed range, so it is no feature for a model', event_type, hits, judged) AS warning FROM w WHERE 2 * hits >= judged""")
+def counter_warnings(spark, sf_dir):
+    m = event_metrics(spark, sf_dir).withColumns({"resource_id": F.col("resource_id").cast("long") % 8, "datasource_instance": F.lit(None).cast("string"), "value": F.when(F.col("metric_name") == "click", F.col("ordinal").cast("double")).otherwise(F.col("value"))})
+    return quality.counter_warnings(quality.counter_shape(m))
+
+
+@query(f"""WITH {FC}, o AS (SELECT metric_name AS horizon, actual, median, lower, upper, epoch(timestamp) * 100 + CAST(resource_id AS BIGINT) AS ordinal FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY ordinal DESC) AS k FROM o), l AS (SELECT *, abs(actual - lag(actual) OVER (PARTITION BY horizon ORDER BY ordinal)) AS step FROM r WHERE k <= 500)
+SELECT horizon, round_even(avg(CAST(actual BETWEEN lower AND upper AS INT)), 4) AS picp, round_even(avg(upper - lower), 4) AS mpiw, round_even(avg(abs(actual - median)), 4) AS mae, round_even(avg(abs(actual - median)) / avg(step), 4) AS mase FROM l GROUP BY 1""")
+def accuracy_status(spark, sf_dir):
+    rows = _forecasts(spark, sf_dir).withColumns({"horizon": F.col("metric_name"), "ordinal": F.unix_seconds("timestamp") * 100 + F.col("resource_id").cast("long")})
+    return forecast.accuracy_status(forecast.accuracy(rows))
+
+
+@query(f"WITH {C_SQL}, r AS (SELECT vec_id, label, cluster_id, row_number() OVER (PARTITION BY vec_id ORDER BY q DESC, cluster_id) AS k FROM q) SELECT round(avg(CAST(label <> cluster_id AS INT)), 6) AS changed FROM r WHERE k = 1")
+def cluster_convergence(spark, sf_dir):
+    before = _embeddings(spark, sf_dir).select("vec_id", F.col("label").alias("cluster_id"))
+    return rounded(clustering.changed_share(before, clustering.hard_assign(_soft(spark, sf_dir))))
+
+
+@query(f"""WITH {H}, l AS (SELECT resource_id, metric_name, list(value ORDER BY timestamp) AS v FROM h WHERE value IS NOT NULL AND metric_name IN ('click', 'view', 'purchase') GROUP BY 1, 2), g AS (SELECT *, max(len(v)) OVER (PARTITION BY resource_id) AS longest FROM l),
+x AS (SELECT resource_id, metric_name, longest, len(v) AS n, unnest(v) AS value, unnest(range(len(v))) AS pos FROM g) SELECT resource_id, metric_name, 946684800 + 60 * (longest - n + pos) AS timestamp, round(value, 6) AS value FROM x""")
+def series_frame(spark, sf_dir):
+    split = serving.split_series(hourly_metrics(spark, sf_dir), profiles_frame(spark, PROFILES[:1])).where("kind = 'numerical'")
+    return rounded(features.series_frame(split.select(F.col("resource_id").alias("request_id"), F.col("series").alias("metrics"))))
+
+
+# -- streams -----------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """All events as a stream, to its end; what it has given so far as a table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
+    metrics = stream.select(F.col("user_id").cast("string").alias("resource_id"), F.col("event_type").alias("metric_name"), F.col("ts").cast("timestamp").alias("timestamp"), "value", F.col("event_id").alias("ordinal"))
+    name = f"streamed_{uuid.uuid4().hex}"
+    of(metrics).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("""SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type AS metric_name, round(max(value), 6) AS max_value, round(sum(value), 4) AS sum_value, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2""")
+def streamed_rollup(spark, sf_dir):
+    out = _streamed(spark, sf_dir, streaming.rollup, "complete")
+    return out.select(F.unix_seconds("start").alias("start"), "metric_name", F.round("max_value", 6).alias("max_value"), F.round("sum_value", 4).alias("sum_value"), F.round("avg_value", 6).alias("avg_value"))
+
+
+@query("""WITH r AS (SELECT event_type AS stream, event_id, value AS error, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events), l AS (SELECT stream, event_id, error, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY stream) AS n,
+    avg(error) OVER b AS m0, var_pop(error) OVER b AS v0, avg(error) OVER a AS m1, var_pop(error) OVER a AS v1 FROM r WHERE k <= 500
+  WINDOW w AS (PARTITION BY stream ORDER BY event_id), b AS (PARTITION BY stream ORDER BY event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY stream ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+s AS (SELECT *, abs(m1 - m0) / sqrt(((v0 + v1) / 2 + 1e-10) * (1.0 / 30 + 1.0 / 30)) AS score FROM l WHERE i >= 30 AND i < n - 30), t AS (SELECT stream, max(score) AS score FROM s GROUP BY 1)
+SELECT l.stream, count(*) AS n, coalesce(any_value(t.score) > -ln(0.01), false) AS has_drift, round(CASE WHEN count(*) >= 60 THEN coalesce(any_value(t.score), 0) END, 5) AS score FROM l LEFT JOIN t ON t.stream = l.stream GROUP BY 1""")
+def streamed_change_points(spark, sf_dir):
+    out = _streamed(spark, sf_dir, lambda m: streaming.change_points(m.select(F.col("metric_name").alias("stream"), "ordinal", F.col("value").alias("error"))), "update")
+    return out.select("stream", "n", "has_drift", F.round("score", 5).alias("score"))
