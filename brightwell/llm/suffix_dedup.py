@@ -35,6 +35,7 @@ bytes keep all. Only doc_id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ CHUNK = 2_000_000  # bytes of text handled at once
 FLUSH = 1_500_000  # entries combined at once
 BUCKET_BYTES, MOST_BYTES = 4_000_000, 64_000_000  # of text to a bucket, as long as there are no more than FEW; and at most
 FEW, PARTITIONS = 4096, 20_000
-PACK_BYTES = 1_000_000  # of texts that travel as one
+PACK_BYTES, HELD_BYTES = 1_000_000, 64_000_000  # of texts that travel as one, and that a task holds
 BLOCKS = 200  # rows that Python gets at once where a row is many texts
 LOW48 = U64((1 << 48) - 1)
 MARK = U64(1 << 48)  # in place of a surrounding: the trigger has several
@@ -86,22 +87,6 @@ def unpack_texts(data: bytes, n: int) -> tuple[np.ndarray, list[bytes]]:
     return ids, [raw[z - m : z] for z, m in zip(end.tolist(), size.tolist(), strict=True)]
 
 
-def _packed(route: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
-    """(route, kind, n, data): texts of one route together, some bytes at a time."""
-    have: dict[int, tuple[list[int], list[bytes]]] = {}
-    size: dict[int, int] = {}
-    for r, d, t in zip(route.tolist(), ids.tolist(), texts, strict=True):
-        mine = have.setdefault(r, ([], []))
-        mine[0].append(d)
-        mine[1].append(t)
-        size[r] = size.get(r, 0) + len(t)
-        if size[r] > PACK_BYTES:
-            yield r, TEXT, len(mine[0]), pack_texts(*mine)
-            del have[r], size[r]
-    for r, mine in have.items():
-        yield r, TEXT, len(mine[0]), pack_texts(*mine)
-
-
 def _slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     """f over x[i : i + width] at each i that has as many."""
     out, have = x, 1
@@ -431,8 +416,8 @@ def _apply_entries(buckets: int):
     return run
 
 
-def _with_known(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict[int, _Known], np.ndarray, list[bytes], bytes | None]]:
-    """Blocks of texts (route, decisions of that route, ids, texts, starts); decisions come first."""
+def _with_known(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict[int, _Known], np.ndarray, list[bytes], np.ndarray]]:
+    """Texts of one route (route, its decisions, ids, texts, starts by text); decisions come first."""
     route, rows, known = None, {WHOLE: [], EDGE: []}, None
     for at, part in _by_route(batches):
         if at != route:
@@ -441,17 +426,25 @@ def _with_known(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict[int
         for kind, width, data in zip(told.kind, told.width, told.data, strict=True):
             rows[kind].append(unpack(data, int(width)))
         blocks = part[part.kind == TEXT]
-        if len(blocks) and known is None:
+        if not len(blocks):
+            continue
+        if known is None:
             known = {k: _Known([(a, d) for a, d in v]) for k, v in rows.items()}
-        for width, data, starts in zip(blocks.width, blocks.data, blocks.starts, strict=True):
-            yield at, known, *unpack_texts(data, int(width)), starts
+        ids, texts, starts = [], [], [np.zeros((2, 0), np.int64)]
+        for width, data, own in zip(blocks.width, blocks.data, blocks.starts, strict=True):
+            if own is not None:
+                starts.append(np.array(unpack(own, 2)) + [[len(texts)], [0]])
+            more = unpack_texts(data, int(width))
+            ids.append(more[0])
+            texts += more[1]
+        yield at, known, np.concatenate(ids), texts, np.concatenate(starts, 1)
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pending texts with the strings that occur earlier."""
     for _, known, ids, texts, starts in _with_known(batches):
         out = []
-        which, place = unpack(starts, 2) if starts is not None else (np.zeros(0, np.int64),) * 2
+        which, place = starts
         bounds = np.searchsorted(which, np.arange(len(ids) + 1))
         for i, (doc, raw) in enumerate(zip(ids.tolist(), texts, strict=True)):
             own, later = place[bounds[i] : bounds[i + 1]], known[WHOLE].of(doc)
@@ -464,12 +457,31 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _homes(buckets: int):
-    """Texts to blocks by route."""
+    """Texts to blocks by route: those of one route together, however few a batch brings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have: dict[int, tuple[list[int], list[bytes]]] = {}
+        size: Counter = Counter()
+
+        def block(r: int) -> tuple[int, int, int, bytes]:
+            ids, texts = have.pop(r)
+            size.pop(r)
+            return r, TEXT, len(ids), pack_texts(ids, texts)
+
         for b in batches:
-            ids = b.doc.to_numpy(np.int64)
-            yield _frame(list(_packed(_home(ids, buckets), ids, _raw(b.text))))
+            ids, ready = b.doc.to_numpy(np.int64), []
+            for r, d, t in zip(_home(ids, buckets).tolist(), ids.tolist(), _raw(b.text), strict=True):
+                mine = have.setdefault(r, ([], []))
+                mine[0].append(d)
+                mine[1].append(t)
+                size[r] += len(t)
+                if size[r] > PACK_BYTES:
+                    ready.append(block(r))
+            if size.total() > HELD_BYTES:
+                ready += [block(r) for r in list(have)]
+            if ready:
+                yield _frame(ready)
+        yield _frame([block(r) for r in list(have)])
 
     return run
 
