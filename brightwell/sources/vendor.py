@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from brightwell.sources import CANONICAL
 
+# fixed values of the interface, as are the paths and field names below: items a page, and pages of one series at most
 PAGE = 1000
 DATA_PAGES = 200
 Transport = Callable[[str, Mapping, Mapping], tuple[int, Mapping, dict]]
