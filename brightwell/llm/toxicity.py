@@ -43,6 +43,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +102,14 @@ def features(model: dict, texts: list[str], which: np.ndarray) -> np.ndarray:
     return out
 
 
+def numbered(joined: str) -> dict[str, int]:
+    return {w: i for i, w in enumerate(joined.split("\n"))} if joined else {}
+
+
 def _features(model: dict, texts: list[str], which: np.ndarray) -> np.ndarray:
+    for c in ("word", "begin"):
+        if c not in model:
+            model[c] = numbered(model[f"{c}s"])
     word, begin, unseen = model["word"].get, model["begin"].get, len(model["begin"])
     start, unknown, none = model["start"], model["start"] + 1, unseen + 1
     length, at, before, head = np.zeros(len(texts), int), [], [], []
@@ -139,23 +148,26 @@ class Model:
         self.of_begin = np.zeros((MODELS, 2), np.float32)
         self.coefficients = np.zeros(1 + 2 * WIDTH)
 
-    def learn(self, words: list[str], follows: np.ndarray, shared: np.ndarray, heads: dict[str, int], total: int, contexts: list[str], sums: np.ndarray, first: list[str], second: list[str], counts: np.ndarray, taken: np.ndarray) -> None:
-        """words with their continuation counts `follows` (2, MODELS, words) and numbers of texts `shared`; heads: the sum of these by beginning, total of all words; contexts (words before) with sums (2, MODELS, 2, contexts) of pair counts and of what discounts leave of them; pairs (first, second) with counts (2, MODELS, pairs), and taken, the pairs' discounts (2, MODELS, 4)."""
-        n, start = len(words), len(words)
-        self.word = dict(zip(words, range(n), strict=True))
-        begins, at = np.unique(np.array([w[:PREFIX] for w in words], dtype=object), return_inverse=True)
-        self.begin = dict(zip(begins.tolist(), range(len(begins)), strict=True))
+    def learn(self, words: pa.Array, names: np.ndarray, follows: np.ndarray, shared: np.ndarray, heads: dict[str, int], total: int, contexts: np.ndarray, sums: np.ndarray, first: np.ndarray, second: np.ndarray, counts: np.ndarray, taken: np.ndarray) -> None:
+        """words and their 64-bit names (and, last, that of START), continuation counts `follows` (2, MODELS, words) and numbers of texts `shared`; heads: the sum of these by beginning, total of all words; names of contexts (words before) with sums (2, MODELS, 2, contexts) of pair counts and of what discounts leave of them; pairs by names (first, second) with counts by fold (2, FOLDS, pairs), and taken, the pairs' discounts (2, MODELS, 4)."""
+        n = len(words)
+        self.word = dict(zip(words.to_pylist(), range(n), strict=True))
+        coded = pc.utf8_slice_codeunits(words, 0, PREFIX).dictionary_encode()
+        begins, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.begin = dict(zip(begins, range(len(begins)), strict=True))
         of_head = np.array([heads[b] for b in begins], float)
         within, common = shared / of_head[at], of_head / total
-        number = self.word | {START: start}
-        before = np.array([number[c] for c in contexts], np.int64)
-        one, two = (np.array([number[w] for w in side], np.int64) for side in (first, second))
+        by_name = np.argsort(names)
+        number = lambda x: by_name[np.searchsorted(names, x, sorter=by_name)]
+        before, one, two = number(contexts), number(first), number(second)
         key = (one << 32) | two
         order = np.argsort(key)
         self.pairs, one, two, counts = key[order], one[order], two[order], counts[:, :, order]
+        del key, order
+        whole = counts.sum(1)
         self.of_word, self.of_begin = np.zeros((MODELS, n + 2), np.float32), np.zeros((MODELS, len(begins) + 2), np.float32)
-        self.of_context, self.of_pair = np.zeros((MODELS, n + 2), np.float32), np.zeros((MODELS, len(key)), np.float32)
-        self.p_word, self.p_kept, self.p_left = np.zeros((2, n)), np.zeros((2, len(key))), np.ones((2, n + 2))  # of the model of all
+        self.of_context, self.of_pair = np.zeros((MODELS, n + 2), np.float32), np.zeros((MODELS, len(one)), np.float32)
+        self.p_word, self.p_kept, self.p_left = np.zeros((2, n)), np.zeros((2, len(one))), np.ones((2, n + 2))  # of the model of all
         for j in range(MODELS):
             p, log_begin, log_unseen, left, kept = [], [], [], [], []
             for k in (0, 1):
@@ -175,13 +187,14 @@ class Model:
                 all_[before] = np.maximum(sums[k, j, 0], 1)
                 some[before] = 1 - sums[k, j, 1] / all_[before]
                 left.append(some)
-                kept.append(np.where(counts[k, j] >= CUT, discounted(counts[k, j], taken[k, j]), 0) / all_[one])
+                c = whole[k] - counts[k, j] if j < FOLDS else whole[k]
+                kept.append(np.where(c >= CUT, discounted(c, taken[k, j]), 0) / all_[one])
             self.of_word[j, :n] = np.log(p[1] / p[0])
             self.of_begin[j, :-1] = np.append(log_begin[1] - log_begin[0], log_unseen[1] - log_unseen[0])
             self.of_context[j] = np.log(left[1] / left[0])
             after = [kept[k] + left[k][one] * p[k][two] for k in (0, 1)]
             self.of_pair[j] = np.log(after[1] / after[0]) - np.log(p[1] / p[0])[two]
-            self.p_word, self.p_kept, self.p_left = np.array(p), np.array(kept), np.array(left)
+        self.p_word, self.p_kept, self.p_left = np.array(p), np.array(kept), np.array(left)
 
     def after(self, toxic: int, first: str) -> np.ndarray:
         """The likelihood of each word of the sample after a word, in one class."""
@@ -194,7 +207,8 @@ class Model:
     def state(self, rows: slice = slice(FOLDS, MODELS)) -> dict:
         """What scores texts: the tables of some of the models, by default that of all texts."""
         tables = {c: getattr(self, c)[rows] for c in ("of_word", "of_begin", "of_context", "of_pair")}
-        return tables | {"start": len(self.word), "pairs": self.pairs, "word": self.word, "begin": self.begin, "coefficients": self.coefficients}
+        # words as one text, which takes less than so many texts to send; _features makes them a dict
+        return tables | {"start": len(self.word), "pairs": self.pairs, "words": "\n".join(self.word), "begins": "\n".join(self.begin), "coefficients": self.coefficients}
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, prior: float) -> None:
         """Logistic coefficients by Newton's method with a weak prior; then moved from the sample's share of toxic texts to the labels'."""
@@ -288,20 +302,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
         return F.when(c >= CUT, out).otherwise(0.0)
 
     sums = tally.groupBy("first").agg(*(x.alias(f"{name}_{k}_{j}") for k, j in EACH for name, x in (("all", F.sum(_of(k, j))), ("kept", F.sum(left(k, j))))))
+    # words go by 64-bit names, so that the driver gets each word's text once
+    name = lambda c: F.xxhash64(c).alias(c)
     # a context that the discounts leave no pair adds nothing
-    sums = sums.where(F.greatest(*(F.col(f"kept_{k}_{j}") for k, j in EACH)) > 0).toArrow()
-    pairs = tally.where(F.greatest(_of(0, FOLDS), _of(1, FOLDS)) >= CUT).toArrow()
-    words = words.toArrow()
+    sums = sums.where(F.greatest(*(F.col(f"kept_{k}_{j}") for k, j in EACH)) > 0).withColumn("first", name("first")).toArrow()
+    pairs = tally.where(F.greatest(_of(0, FOLDS), _of(1, FOLDS)) >= CUT).withColumns({c: name(c) for c in ("first", "second")}).toArrow()
+    start = F.xxhash64(F.lit(START))
+    words = words.withColumns({"name": F.xxhash64("key"), "start": start}).toArrow()
     if words.num_rows:
         column = lambda t, c: t[c].to_numpy()
-        by_fold = np.array([[column(pairs, f"c{k * FOLDS + f}") for f in range(FOLDS)] for k in (0, 1)]).reshape(2, FOLDS, -1)
-        counts = np.stack([by_fold.sum(1) - (by_fold[:, j] if j < FOLDS else 0) for j in range(MODELS)], 1)
-        model.learn(
-            words["key"].to_pylist(), np.array([[column(words, f"{k}_{j}") for j in range(MODELS)] for k in (0, 1)]), column(words, "n").astype(float),
-            dict(zip(heads["head"].to_pylist(), heads["n"].to_pylist(), strict=True)), int(total), sums["first"].to_pylist(),
-            np.array([[[column(sums, f"{name}_{k}_{j}") for name in ("all", "kept")] for j in range(MODELS)] for k in (0, 1)], float), pairs["first"].to_pylist(), pairs["second"].to_pylist(), counts, taken,
-        )
-    del words, sums, pairs, heads
+        known = words["key"].combine_chunks(), np.append(column(words, "name"), words["start"][0].as_py()), np.array([[column(words, f"{k}_{j}") for j in range(MODELS)] for k in (0, 1)]), column(words, "n").astype(float)
+        del words
+        before = column(sums, "first"), np.array([[[column(sums, f"{what}_{k}_{j}") for what in ("all", "kept")] for j in range(MODELS)] for k in (0, 1)], np.float64)
+        del sums
+        counted = column(pairs, "first"), column(pairs, "second"), np.array([[column(pairs, f"c{k * FOLDS + f}") for f in range(FOLDS)] for k in (0, 1)])
+        del pairs
+        model.learn(*known, dict(zip(heads["head"].to_pylist(), heads["n"].to_pylist(), strict=True)), int(total), *before, *counted, taken)
+        del known, before, counted
     sent = spark.sparkContext.broadcast(model.state(slice(0, FOLDS)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

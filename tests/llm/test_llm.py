@@ -577,7 +577,7 @@ def test_kneser_ney_against_plain_counters(spark):
     shared = Counter(w for t in texts for w in set(t.split()))
     for j in (1, toxicity.FOLDS):
         of = [_plain_kneser_ney([texts[i] for i, y in known.items() if y == k and zlib.crc32(str(i).encode()) % 3 != 1 and fold[i] != j], shared) for k in (0, 1)]
-        tables = model.state(slice(j, j + 1))
+        tables = model.state(slice(j, j + 1)) | {"word": model.word, "begin": model.begin}
         for w in shared:
             want = np.log(of[1][0](w) / of[0][0](w))
             got = tables["of_word"][0, tables["word"][w]] if w in tables["word"] else tables["of_begin"][0, tables["begin"].get(w[: toxicity.PREFIX], len(tables["begin"]))]
