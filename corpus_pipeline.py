@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brightwell.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
-from brightwell.llm.common import materialize, read
+from brightwell.llm.common import discard, materialize, read
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, kept = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*kept)  # what the stage before it kept is no longer read
+        kept = [docs]
     return docs
