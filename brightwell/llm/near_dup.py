@@ -32,6 +32,12 @@ of a group:
 
 Classes are named by numbers; texts are matched by two 64-bit hashes.
 
+What the driver holds does not grow with the corpus. Beyond PLANNED classes no join is broadcast
+because the planner takes a table for small: it goes by the size of compressed files, and of
+rows before they are joined. Texts to be read again are found by a table of bits of fixed size,
+which lets through some others that the join then drops, and few links are joined to components
+by the driver, more by the executors.
+
 Edge cases: null is an empty text; all texts without words are alike only if they are copies.
 Texts of fewer than five words have one shingle of all words. class_id is the least doc_id of
 a component; null doc_ids come last, so a class of nulls alone has a null class_id. Repeated
@@ -40,14 +46,17 @@ rows stay. Only doc_id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from brightwell.llm.common import U64, batches_of, discard, fresh, id_and_text, materialize, mix, prefix_hash, read, span_hash, text_key
 
@@ -64,7 +73,10 @@ PLANES = 4  # bits of each coordinate in a sketch
 WORDS_64 = -(-K // 64)
 SLOTS = 1 << 20  # 8 MB when broadcast
 GROWTH = 1.05  # of a class of sizes to the next
-BROADCAST_IDS = 500_000  # 8 bytes each
+PLANNED = 100_000  # classes up to which the planner may broadcast what it takes for small
+BROADCAST_ROWS = 50_000  # of a few numbers, some 10 MB; of more keys of texts, a table of 64 * SLOTS bits is broadcast
+FEW_LINKS = 20_000  # links that the driver joins itself
+PARTS = 256  # rows in which a task sends its counts of SLOTS
 CHUNK = 1_500_000  # bytes of text handled at once
 PAIRS, TEXTS = 200, 2000  # rows that Python gets at once: a leader's text comes again with each of its pairs
 
@@ -243,12 +255,51 @@ def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@contextlib.contextmanager
+def _unplanned(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, only what is marked is broadcast."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Written rows, marked to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def _among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose k1 is one of keys, and some others: k1 picks one of 64 * SLOTS bits."""
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(k1, 58) as int))")
+    told = keys.groupBy(F.col("k1").bitwiseAND(SLOTS - 1).alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(SLOTS, np.int64)
+    table[told["slot"].to_numpy()] = told["bits"].to_numpy()
+    known = docs.sparkSession.sparkContext.broadcast(table)
+
+    def has(k1: pd.Series) -> pd.Series:
+        k = k1.to_numpy(np.int64).view(U64)
+        return pd.Series((known.value.view(U64)[(k & U64(SLOTS - 1)).astype(np.int64)] >> (k >> U64(58)) & U64(1)).astype(bool))
+
+    return docs.where(F.pandas_udf(has, BooleanType())("k1"))
+
+
 def _texts_of(cids: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     """(cid, text) of the classes cids, written. docs: doc_id, k1, k2, text."""
     wanted = materialize(known.select("cid", "k1", "k2", "first_id").join(cids, "cid", "left_semi"), "near-wanted")
-    if wanted.count() <= BROADCAST_IDS:  # most texts are left where they are
-        docs = docs.join(F.broadcast(wanted.select("k1").distinct()), "k1", "left_semi")
     side = wanted.withColumnsRenamed({"k1": "x1", "k2": "x2"})
+    if wanted.count() <= BROADCAST_ROWS:  # most texts are left where they are
+        side = F.broadcast(side)
+    else:
+        docs = _among(docs, wanted.select("k1"))
     found = docs.join(side, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = materialize(found.groupBy("cid").agg(F.min("text").alias("text")), "near-texts")
     discard(wanted)
@@ -268,9 +319,10 @@ def _may_be(n: Column, m: Column, sketch: Column, other: Column, similar: float)
 
 def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Of distinct (a, b) pairs of classes, those whose texts are similar. A class `a` with many pairs is dealt to several tasks."""
-    texts = _texts_of(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct(), known, docs)
-    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).alias("slices")).where(F.col("slices") > 1)
-    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("slices", F.lit(1))).alias("slice"))
+    cids = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
+    texts = _texts_of(F.broadcast(cids) if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else cids, known, docs)
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).alias("slices")).where(F.col("slices") > 1)  # a row for HOT pairs at most
+    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("slices", F.lit(1))).alias("slice"))
     left = dealt.select("a", "slice").distinct().join(texts.toDF("a", "left"), "a")
     both = dealt.join(texts.toDF("b", "right"), "b").join(left, ["a", "slice"])
     with batches_of(docs.sparkSession, PAIRS):
@@ -279,8 +331,28 @@ def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, similar: float =
     return links
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of some links, and the least class of the component of each."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    least = np.arange(len(names))
+    while True:
+        new = least.copy()
+        np.minimum.at(new, least[u], least[v])
+        np.minimum.at(new, least[v], least[u])
+        new = new[new]
+        if (new == least).all():
+            return names, names[least]
+        least = new
+
+
 def connected(links: DataFrame) -> DataFrame:
-    """(cid, comp): the least class of the component of each class that has a link; labels spread to neighbours and jump along their pointers."""
+    """(cid, comp): the least class of the component of each class that has a link; the driver joins a few links, of more, labels spread to neighbours and jump along their pointers."""
+    if links.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
+        few = links.select("a", "b").toArrow()
+        names, least = _joined(few["a"].to_numpy(), few["b"].to_numpy())
+        made = links.sparkSession.createDataFrame(pa.table({"cid": names, "comp": least}), "cid long, comp long")
+        return F.broadcast(materialize(made, "near-labels"))
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "near-edges")
     labels = materialize(edges.groupBy(F.col("u").alias("cid")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "near-labels")
     while True:
@@ -362,20 +434,34 @@ def _prefixes(owner: np.ndarray, cell: np.ndarray, n: np.ndarray, often: np.ndar
         yield owner[mine], mix(cell[mine] + mix(pair[owner[mine]].astype(U64) + U64(1))).view(np.int64), np.full(int(mine.sum()), side), at[mine]
 
 
+def _packed(n: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(n.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
+
+
 def rare_bands(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(band, cid, side, at): every two similar texts of (cid, text) have a band in common, on different sides or of equal classes, and as many cells from their positions on as they share."""
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(SLOTS, np.int64)
         for b in batches:
             raw = [t.encode("utf-8", "surrogatepass") for t in b.text]
             for a, z in _chunks(raw):
-                slot, n = np.unique((cells(raw[a:z])[1] & U64(SLOTS - 1)).astype(np.int64), return_counts=True)
-                yield pd.DataFrame({"slot": slot, "n": n})
+                n += np.bincount((cells(raw[a:z])[1] & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        if n.any():
+            yield pd.DataFrame({"part": np.arange(PARTS), "n": [_packed(x) for x in n.reshape(PARTS, -1)]})
 
-    counted = texts.select("text").mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(SLOTS, np.int64)
-    table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    often = texts.sparkSession.sparkContext.broadcast(table)
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": part.part[:1], "n": [_packed(sum(_unpacked(x) for x in part.n))]})
+
+    counted = texts.select("text").mapInPandas(slots, "part int, n binary").groupBy("part").applyInPandas(summed, "part int, n binary").toArrow()
+    table = np.zeros((PARTS, SLOTS // PARTS), np.int64)
+    for part, n in zip(counted["part"].to_pylist(), counted["n"].to_pylist(), strict=True):
+        table[part] = _unpacked(n)
+    often = texts.sparkSession.sparkContext.broadcast(table.ravel())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -391,13 +477,19 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(k1, k2, comp, class_id, first_id): the component of each distinct text, the least doc_id of each. docs: doc_id, k1, k2, text."""
     with batches_of(docs.sparkSession, TEXTS):
         known = materialize(classes(docs).withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    with _unplanned(docs.sparkSession) if known.count() > PLANNED else contextlib.nullcontext():
+        return _grouped(known, docs, similar)
+
+
+def _grouped(known: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     exploded = known.select("cid", F.posexplode("bands").alias("i", "band")).select("band", "cid", (F.col("i") < FIRST_BANDS).alias("early"))
     shared = materialize(shared_bands(exploded, "early"), "near-shared")
     weights = materialize(shared.where("early").groupBy("cid").agg(F.sum("n").alias("weight")), "near-weights")
+    heavy_ones = _few(weights)
     links = compared = comps = None
 
     def placed(bands: DataFrame) -> DataFrame:
-        heavy = bands.join(weights, "cid", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+        heavy = bands.join(heavy_ones, "cid", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
         if comps is None:
             return heavy.withColumn("comp", F.col("cid"))
         return heavy.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

@@ -106,3 +106,41 @@ def test_sketches_count_differing_coordinates(spark):
     rows = [(x.tolist(), y.tolist()) for x, y in zip(near_dup.sketches(a), near_dup.sketches(b), strict=True)]
     got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_dup.differing(F.col("a"), F.col("b")).alias("n")).collect()
     assert [r["n"] for r in got] == ((a ^ b) & np.uint64(15) != 0).sum(1).tolist()
+
+
+@pytest.mark.parametrize("bound", [0, 50_000])
+def test_what_is_broadcast(spark, monkeypatch, bound):
+    """Of many classes only what is marked as small is broadcast, and both ways give all links."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    seen, write = [], near_dup.materialize
+
+    def watched(df, label):
+        if label not in ("near-classes", "near-result"):
+            seen.append(spark.conf.get(threshold))
+        return write(df, label)
+
+    monkeypatch.setattr(near_dup, "materialize", watched)
+    for name in ("PLANNED", "BROADCAST_ROWS", "FEW_LINKS"):
+        monkeypatch.setattr(near_dup, name, bound)
+    before = spark.conf.get(threshold)
+    texts = variants(60, 60, 2, 3, WORDS[:5]) + variants(60, 30, 1, 4)
+    assert found(spark, texts) == by_brute_force(texts)
+    assert spark.conf.get(threshold) == before
+    assert seen and set(seen) == {before if bound else "-1"}
+
+
+def test_counts_of_slots_are_few_rows(spark, monkeypatch):
+    """A task sends its counts of rare cells in PARTS rows, however many cells it has."""
+    sent = []
+    made = type(spark.range(1)).mapInPandas
+
+    def watched(df, run, schema, *more, **named):
+        out = made(df, run, schema, *more, **named)
+        sent.append((df.rdd.getNumPartitions(), out))
+        return out
+
+    texts = spark.createDataFrame(list(enumerate(variants(200, 60, 2, 5))), "cid long, text string").coalesce(2)
+    monkeypatch.setattr(type(texts), "mapInPandas", watched)
+    near_dup.rare_bands(texts)
+    tasks, counts = sent[0]
+    assert counts.count() <= tasks * near_dup.PARTS

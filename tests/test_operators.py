@@ -194,6 +194,22 @@ def test_intervals(spark):
     assert (calm["is_anomaly"], calm["score"], calm["severity"]) == (False, 0.0, "low")
 
 
+def test_silhouette_of_all_rows(spark, monkeypatch):
+    """Every row counts, beyond 2000 and over several groups, as in all pairs at once."""
+    monkeypatch.setattr(clustering, "GROUP", 700)
+    rng = np.random.default_rng(3)
+    label, x = rng.integers(0, 3, 3001), rng.normal(size=(3001, 4))
+    x += label[:, None]
+    rows = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x, strict=True))], "vec_id long, label int, embedding array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    sums, sizes = d @ np.eye(3)[label], np.bincount(label)
+    a = sums[np.arange(3001), label] / (sizes[label] - 1)
+    b = np.where(np.arange(3) == label[:, None], np.inf, sums / sizes).min(1)
+    got = clustering.silhouette(rows).first()
+    assert got["rows"] == 3001
+    assert abs(got["silhouette"] - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
+
+
 def test_silhouette_and_targets(spark):
     rows = spark.createDataFrame([(i, [float(i % 2) * 10 + (i // 2) * 0.01, 0.0], i % 2) for i in range(20)], "vec_id long, embedding array<float>, label int")
     assert clustering.silhouette(rows).first()["silhouette"] > 0.9
