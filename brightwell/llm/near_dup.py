@@ -474,11 +474,14 @@ def rare_bands(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(k1, k2, comp, class_id, first_id): the component of each distinct text, the least doc_id of each. docs: doc_id, k1, k2, text."""
+    """(k1, k2, comp, class_id, first_id): the component of each distinct text, the least doc_id of each; of more than PLANNED, marked to be sorted and merged where it is joined. docs: doc_id, k1, k2, text."""
     with batches_of(docs.sparkSession, TEXTS):
         known = materialize(classes(docs).withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-    with _unplanned(docs.sparkSession) if known.count() > PLANNED else contextlib.nullcontext():
+    if known.count() <= PLANNED:
         return _grouped(known, docs, similar)
+    with _unplanned(docs.sparkSession):
+        made = _grouped(known, docs, similar)
+    return made.hint("merge")  # the caller's join is planned after the settings are back
 
 
 def _grouped(known: DataFrame, docs: DataFrame, similar: float) -> DataFrame:

@@ -144,3 +144,11 @@ def test_counts_of_slots_are_few_rows(spark, monkeypatch):
     near_dup.rare_bands(texts)
     tasks, counts = sent[0]
     assert counts.count() <= tasks * near_dup.PARTS
+
+
+def test_join_of_many_classes_is_merged(spark, monkeypatch):
+    """What the caller joins is planned after the settings are back, so many classes carry a hint of their own."""
+    monkeypatch.setattr(near_dup, "PLANNED", 0)
+    docs = spark.createDataFrame(list(enumerate(variants(20, 30, 1, 6))), "doc_id long, text string")
+    plan = near_dup.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
