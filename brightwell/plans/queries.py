@@ -591,7 +591,6 @@ def cluster_summary(spark, sf_dir):
     return rounded(clustering.cluster_summary(rows, rows.select("vec_id", F.col("label").alias("cluster_id")), clustering.centroids(rows)), 5).select("cluster_id", "size", "mean_distance", "distance_std", "mean_std", "percent")
 
 
-# the sample is the whole table while that has no more than 2000 rows, as all given ones have
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), d AS (SELECT a.vec_id, a.label AS own, b.label, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM e a CROSS JOIN e b GROUP BY 1, 2, 3),
 m AS (SELECT vec_id, max(CASE WHEN label = own AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN label <> own THEN s / n END) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette, count(*) AS rows FROM m""")
 def silhouette(spark, sf_dir):
