@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 LAST_ID = 2**63 - 1
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: While a table is written: Python gets some bytes at once, as each batch is held by Spark, by Arrow and as Python's objects.
+WRITING = {BATCH_BYTES: "4194304"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,21 +34,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While this lasts, Python gets at most so many rows at once; for jobs that run within it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """While this lasts, these settings hold; for jobs that run within it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def batches_of(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager:
+    """While this lasts, Python gets at most so many rows at once."""
+    return settings(spark, {BATCH_ROWS: str(rows)})
+
+
+def trim() -> None:
+    """Hands the memory that Python no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, a function of batches; at its end the worker, which waits for other tasks, hands back what f took."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        trim()
+
+    return run
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/brightwell/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(df.sparkSession, WRITING):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import fresh, id_and_text, materialize, read, text_key
+from brightwell.llm.common import fresh, id_and_text, materialize, read, text_key, trim
 
 RATE = 0.08
 MIN_PIECE = 12
@@ -148,6 +148,8 @@ def _matches(sent: Broadcast):
         match = Matcher(*sent.value)
         for t in texts:
             yield pd.Series([[{"item_id": i, "distance": d, "end": e} for i, d, e in match(x)] for x in t])
+        del match
+        trim()
 
     return of
 

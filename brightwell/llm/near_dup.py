@@ -58,7 +58,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
-from brightwell.llm.common import U64, batches_of, discard, fresh, id_and_text, materialize, mix, prefix_hash, read, span_hash, text_key
+from brightwell.llm.common import U64, batches_of, discard, fresh, id_and_text, materialize, mix, prefix_hash, read, span_hash, text_key, tidy
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -226,7 +226,7 @@ def classes(docs: DataFrame) -> DataFrame:
                 keys = {"k1": b.k1.to_numpy()[a:z], "k2": b.k2.to_numpy()[a:z], "doc_id": b.doc_id.iloc[a:z].astype("Int64").array}
                 yield pd.DataFrame(keys | {"cells": n, "sketch": list(sketches(signature)), "bands": [x if m else [] for x, m in zip(bands, n, strict=True)]})
 
-    made = docs.select("k1", "k2", "doc_id", "text").mapInPandas(run, "k1 long, k2 long, doc_id long, cells long, sketch array<long>, bands array<long>")
+    made = docs.select("k1", "k2", "doc_id", "text").mapInPandas(tidy(run), "k1 long, k2 long, doc_id long, cells long, sketch array<long>, bands array<long>")
     return made.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("cells", "sketch", "bands")))
 
 
@@ -457,7 +457,7 @@ def rare_bands(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": part.part[:1], "n": [_packed(sum(_unpacked(x) for x in part.n))]})
 
-    counted = texts.select("text").mapInPandas(slots, "part int, n binary").groupBy("part").applyInPandas(summed, "part int, n binary").toArrow()
+    counted = texts.select("text").mapInPandas(tidy(slots), "part int, n binary").groupBy("part").applyInPandas(summed, "part int, n binary").toArrow()
     table = np.zeros((PARTS, SLOTS // PARTS), np.int64)
     for part, n in zip(counted["part"].to_pylist(), counted["n"].to_pylist(), strict=True):
         table[part] = _unpacked(n)
@@ -470,7 +470,7 @@ def rare_bands(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 for owner, band, side, at in _prefixes(*cells(raw[a:z]), often.value, similar):
                     yield pd.DataFrame({"band": band, "cid": cid[a:z][owner], "side": side, "at": at})
 
-    return texts.select("cid", "text").mapInPandas(run, "band long, cid long, side int, at int")
+    return texts.select("cid", "text").mapInPandas(tidy(run), "band long, cid long, side int, at int")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -48,7 +48,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import discard, fresh, materialize, read
+from brightwell.llm.common import discard, fresh, materialize, read, tidy, trim
 
 PREFIX = 4
 FOLDS = 4
@@ -239,7 +239,7 @@ def shared_counts(texts: DataFrame) -> DataFrame:
                     tally.clear()
         yield pd.DataFrame(list(tally.items()), columns=["key", "n"])
 
-    return texts.select("text").mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInPandas(tidy(count), "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
     # of rows that repeat a doc_id one is learnt from; the sample's texts alone move
     found = texts.join(sample, "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))
     chosen = materialize(found.select("toxic", "fold", "text").repartition(16), "toxic-sample")
-    tally = chosen.mapInPandas(_count_pairs, "slot int, first string, second string, n long").groupBy("first", "second")
+    tally = chosen.mapInPandas(tidy(_count_pairs), "slot int, first string, second string, n long").groupBy("first", "second")
     tally = materialize(tally.agg(*(F.coalesce(F.sum(F.when(F.col("slot") == s, F.col("n"))), F.lit(0)).cast("int").alias(f"c{s}") for s in range(2 * FOLDS))), "toxic-pairs")
     model = Model()
     often = tally.agg(*(F.count(F.when(_of(k, j) == i, 1)).alias(f"{k}_{j}_{i}") for k, j in EACH for i in (1, 2, 3, 4))).first()
@@ -319,17 +319,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
         del pairs
         model.learn(*known, dict(zip(heads["head"].to_pylist(), heads["n"].to_pylist(), strict=True)), int(total), *before, *counted, taken)
         del known, before, counted
+        trim()
     sent = spark.sparkContext.broadcast(model.state(slice(0, FOLDS)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"x": list(features(sent.value, b.text.tolist(), b.fold.to_numpy(int))), "y": b.toxic.to_numpy()})
 
-    xy = chosen.mapInPandas(measure, "x array<double>, y int").toArrow().to_pandas()
+    xy = chosen.mapInPandas(tidy(measure), "x array<double>, y int").toArrow().to_pandas()
     sent.destroy()
     if len(xy):
         model.calibrate(np.stack(xy.x), xy.y.to_numpy(float), n.get(1, 0) / max(1, sum(n.values())))
     discard(chosen, tally, shared)
+    del xy
+    trim()
     return model
 
 
@@ -341,6 +344,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series(scores(sent.value, t.tolist()))
+        trim()
 
     return docs.withColumn(column, of(F.coalesce(F.col("text"), F.lit(""))))
 

@@ -8,10 +8,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from brightwell.llm import chat, decontaminate, licenses, line_dedup, media, mixing, near_dup, registry, secrets, suffix_dedup, toxicity
+from brightwell.llm import chat, common, decontaminate, licenses, line_dedup, media, mixing, near_dup, registry, secrets, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -629,6 +630,20 @@ def test_expressions_of_ordinary_words_are_evidence(spark):
     assert sum(caught) / len(caught) > 0.9 and sum(wrong) / len(wrong) < 0.03
 
 
+def test_python_gets_bounded_batches_and_hands_memory_back(spark, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"rows": [len(b)], "size": [b.text.str.len().sum()]})
+
+    texts = spark.range(3000).coalesce(1).select(F.rpad(F.col("id").cast("string"), 10_000, "x").alias("text"))
+    got = common.materialize(texts.mapInPandas(sizes, "rows long, size long"), "test-batches").collect()
+    assert sum(r["rows"] for r in got) == 3000 and max(r["size"] for r in got) < 5_000_000
+    assert spark.conf.get(common.BATCH_BYTES, None) != common.WRITING[common.BATCH_BYTES]
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda: calls.append(1))
+    assert list(common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and calls == [1]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
