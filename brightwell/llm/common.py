@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 LAST_ID = 2**63 - 1
 BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-#: While a table is written: Python gets some bytes at once, as each batch is held by Spark, by Arrow and as Python's objects.
-WRITING = {BATCH_BYTES: "4194304"}
+#: While a table is written: what is shuffled for it goes once it is there, and Python gets some bytes at once, as each batch is held by Spark, by Arrow and as Python's objects.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH_BYTES: "4194304"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,7 +70,7 @@ def tidy(f: Callable) -> Callable:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. The files of its shuffles are deleted as soon as it is written, so they add to those of no later step."""
     path = f"{shared_dir(df.sparkSession)}/brightwell/{label}-{uuid.uuid4().hex}"
     with settings(df.sparkSession, WRITING):
         df.write.option("compression", "zstd").parquet(path)

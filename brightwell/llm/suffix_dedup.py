@@ -44,13 +44,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import U64, batches_of, discard, id_and_text, materialize, mix, prefix_hash, read, span_hash
+from brightwell.llm.common import U64, batches_of, discard, id_and_text, materialize, mix, prefix_hash, read, span_hash, tidy
 
 LENGTH = 50
 GRAM = 20
 REACH = LENGTH - GRAM  # bytes before a trigger that a string with it can start
 NULLS = 1 << 62  # doc_ids from here on stand for rows without one
-CHUNK = 2_000_000  # bytes of text handled at once
+CHUNK = 1_000_000  # bytes of text handled at once
 FLUSH = 1_500_000  # entries combined at once
 BUCKET_BYTES, MOST_BYTES = 4_000_000, 64_000_000  # of text to a bucket, as long as there are no more than FEW; and at most
 FEW, PARTITIONS = 4096, 20_000
@@ -504,15 +504,15 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         return df.repartition(partitions, "route").sortWithinPartitions("route", "kind")
 
     # decisions are written before texts move, so the files of the two shuffles need not exist at once
-    decided = materialize(dealt(docs.mapInPandas(_entries(buckets), ROWS)).mapInPandas(_sorted_reduce(_decide_entries, buckets), ROWS), "suffix-decided")
-    texts = docs.mapInPandas(_homes(buckets), ROWS)
+    decided = materialize(dealt(docs.mapInPandas(tidy(_entries(buckets)), ROWS)).mapInPandas(tidy(_sorted_reduce(_decide_entries, buckets)), ROWS), "suffix-decided")
+    texts = docs.mapInPandas(tidy(_homes(buckets)), ROWS)
     with batches_of(docs.sparkSession, BLOCKS):
-        passed = materialize(dealt(texts.unionAll(decided).select("*", nothing)).mapInPandas(_apply_entries(buckets), PASS), "suffix-pass")
+        passed = materialize(dealt(texts.unionAll(decided).select("*", nothing)).mapInPandas(tidy(_apply_entries(buckets)), PASS), "suffix-pass")
         discard(decided)
         strings = passed.where(F.col("kind") == STRINGS).select("route", F.when(F.col("width") < 0, WHOLE).otherwise(ENTRY).alias("kind"), F.abs("width").alias("width"), "data")
-        later = materialize(dealt(strings).mapInPandas(_sorted_reduce(_decide_strings, buckets), ROWS), "suffix-later")
+        later = materialize(dealt(strings).mapInPandas(tidy(_sorted_reduce(_decide_strings, buckets)), ROWS), "suffix-later")
         pending = passed.where(F.col("kind") == PENDING).select("route", F.lit(TEXT).alias("kind"), "width", "data", "starts")
-        finished = dealt(pending.unionAll(later.select("*", nothing))).mapInPandas(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        finished = dealt(pending.unionAll(later.select("*", nothing))).mapInPandas(tidy(_finish), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         done = passed.where(F.col("kind") == DONE).select(*finished.columns)
         result = materialize(done.unionAll(finished), "suffix-result")
         discard(passed, later)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -432,6 +433,19 @@ def test_substrings_are_those_of_brute_force(spark, sf):
     assert sorted(map(str, map(tuple, suffix_dedup.dedup_substrings(df).collect()))) == removed(rows)
 
 
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    """Once a table is written its shuffle's files go, without waiting for the driver's garbage collector."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getPath() for f in (b for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if "shuffle_" in f.getName()}
+    before = files()
+    kept = common.materialize(spark.range(20_000).repartition(5, "id"), "test-shuffle")
+    wait = time.monotonic() + 20
+    while (left := files() - before) and time.monotonic() < wait:
+        time.sleep(0.2)
+    assert not left and kept.count() == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
 # -- 9 -----------------------------------------------------------------------------------------
 
 
